@@ -50,17 +50,24 @@ def clean_url(url: Column) -> Column:
     return F.when(~url.startswith("file://"), url)
 
 
-def _tidy_base(base: Column) -> Column:
-    """The part before ``?`` the way a parsed URL is written back: lower-case
-    scheme, and no empty parameter list at the end of a path."""
-    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
-    lowered = F.when(
-        scheme != "", F.concat(F.lower(scheme), F.substr(base, F.length(scheme) + 1))
-    ).otherwise(base)
-    return F.when(
-        lowered.rlike(r"^https?://[^/]*/(?:.*/)?[^/;]*;$"),
-        F.left(lowered, F.length(lowered) - 1),
-    ).otherwise(lowered)
+def _redact_query(url: Column, keys: Sequence[str]) -> Column:
+    """Redact in a chain of whole-string replacements. Each leaves a URL alone
+    that it does not concern, so no part is cut out and computed twice."""
+    names = "|".join(rf"\Q{k}\E" for k in keys)
+    key = rf"(?i:{names})="
+    # From the first "?" on, or from where the last replacement ended: pass over
+    # the parameters that are not sensitive, then replace one value.
+    steps = [
+        (rf"(^[^?#]*\?|\G(?!^)&)((?:(?!{key})[^&#]*&)*)({key})[^&#]*",
+         rf"$1$2$3{S.REDACTED}"),
+        # A URL with a query is written back without an empty fragment and
+        # without an empty parameter list at the end of its path.
+        (r"^([^?#]*\?[^#]+)#$", "$1"),
+        (r"^(https?://[^/?#]*/(?:[^?#]*/)?[^/;?#]*);(?=\?[^#])", "$1"),
+    ]
+    for pattern, replacement in steps:
+        url = F.regexp_replace(url, pattern, replacement)
+    return url
 
 
 def scrub_url(url: Column, keys: Sequence[str] = S.SENSITIVE_URL_KEYS) -> Column:
@@ -72,26 +79,19 @@ def scrub_url(url: Column, keys: Sequence[str] = S.SENSITIVE_URL_KEYS) -> Column
     """
     if not keys:
         return url
-    plain = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
-    front = F.substring_index(plain, "#", 1)
-    fragment = F.substr(plain, F.length(front) + 2)
-    base = F.substring_index(front, "?", 1)
-    query = F.substr(front, F.length(base) + 2)
-    names = "|".join(rf"\Q{k}\E" for k in keys)
-    # A parameter is redacted where its whole key matches, so one pass over the
-    # query string is enough; the parts need not be split.
-    redacted = F.regexp_replace(query, rf"(?i)(^|&)({names})=[^&]*", rf"$1$2={S.REDACTED}")
-    host = F.regexp_extract(base, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/]*)", 1)
-    bad_host = host.rlike(r"[\[\]]") & ~host.rlike(
-        r"^(?:.*@)?\[(?:[0-9A-Fa-f.]*:[0-9A-Fa-f:.]*(?:%[^\]]*)?|v[0-9A-Fa-f]+\.[^\]]+)\](?::.*)?$"
-    )
-    rebuilt = F.concat(
-        _tidy_base(base),
-        F.lit("?"),
-        redacted,
-        F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(""),
+    has_query = url.rlike(r"^[^?#]*\?[^#]")
+    bad_host = url.rlike(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*[\[\]]") & ~url.rlike(
+        r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#]*@)?"
+        r"\[(?:[0-9A-Fa-f.]*:[0-9A-Fa-f:.]*(?:%[^\]/?#]*)?|v[0-9A-Fa-f]+\.[^\]/?#]+)\](?::[^/?#]*)?(?:[/?#]|$)"
     )
-    return F.when((query != "") & ~bad_host, rebuilt).otherwise(url)
+    # Only odd URLs need these: control characters, an upper-case scheme.
+    plain = F.regexp_replace(url, r"^[\x00-\x20]+|[\t\r\n]", "")
+    scheme = F.regexp_extract(plain, r"^[A-Za-z][A-Za-z0-9+.-]*:", 0)
+    written = F.when(
+        url.rlike(r"^[\x00-\x20]|[\t\r\n]|^[A-Za-z0-9+.-]*[A-Z][A-Za-z0-9+.-]*:"),
+        F.concat(F.lower(scheme), F.substr(plain, F.length(scheme) + 1)),
+    ).otherwise(url)
+    return F.when(has_query & ~bad_host, _redact_query(written, keys)).otherwise(url)
 
 
 def scrub_text_urls(text: Column, keys: Sequence[str] = S.SENSITIVE_URL_KEYS) -> Column:
@@ -103,8 +103,15 @@ def scrub_text_urls(text: Column, keys: Sequence[str] = S.SENSITIVE_URL_KEYS) ->
         return text
     gaps = F.split(text, URL_IN_TEXT, -1)
     urls = F.regexp_extract_all(text, F.lit(URL_IN_TEXT), F.lit(0))
-    scrubbed = F.transform(urls, lambda u: scrub_url(u, keys))
-    woven = F.zip_with(gaps, scrubbed, lambda g, u: F.concat(g, F.coalesce(u, F.lit(""))))
+
+    # Found URLs start with a plain scheme and hold no whitespace.
+    def scrub(url: Column) -> Column:
+        brackets = url.rlike(r"^https?://[^/?#]*[\[\]]")
+        return F.when(brackets, scrub_url(url, keys)).otherwise(_redact_query(url, keys))
+
+    woven = F.zip_with(
+        gaps, F.transform(urls, scrub), lambda g, u: F.concat(g, F.coalesce(u, F.lit("")))
+    )
     return F.when(
         text.rlike(rf"https?://[^{WS}<>\"'?]*\?"), F.array_join(woven, "")
     ).otherwise(text)

@@ -15,14 +15,21 @@ def by_id(df: DataFrame, row_id: int, id_column: str = "id") -> DataFrame:
     return df.filter(F.col(id_column) == row_id)
 
 
+def _within(df: DataFrame, ts: str, start: dt.datetime, end: dt.datetime) -> DataFrame:
+    if "date" in df.columns:
+        # Stored tables are partitioned by date: read only the days concerned.
+        df = df.filter(F.col("date").between(F.to_date(F.lit(start)), F.to_date(F.lit(end))))
+    return df.filter(F.col(ts).between(F.lit(start), F.lit(end)))
+
+
 def captures_between(df: DataFrame, start: dt.datetime, end: dt.datetime) -> DataFrame:
     """Captures within [start, end], oldest first."""
-    return df.filter(F.col("ts").between(F.lit(start), F.lit(end))).orderBy("ts", "id")
+    return _within(df, "ts", start, end).orderBy("ts", "id")
 
 
 def sessions_between(df: DataFrame, start: dt.datetime, end: dt.datetime) -> DataFrame:
     """Sessions that *start* within [start, end], oldest first."""
-    return df.filter(F.col("start_ts").between(F.lit(start), F.lit(end))).orderBy("start_ts", "id")
+    return _within(df, "start_ts", start, end).orderBy("start_ts", "id")
 
 
 def captures_by_app(df: DataFrame, app: str, limit: int = S.CAPTURE_LIMIT) -> DataFrame:

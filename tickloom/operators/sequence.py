@@ -174,20 +174,14 @@ def segments(
 
     along = Window.partitionBy(*keys).orderBy(SLICE, "_no")
     edges = local.filter(at_edge).withColumn("_before", F.lag("tail").over(along))
-    # Two edge segments next to each other are neighbours only if no inner
-    # segment lies between them.
-    gap_inside = (F.lag(SLICE).over(along) == F.col(SLICE)) & (
-        F.col("_no") - F.lag("_no").over(along) > 1
-    )
+    # Only the first segment of a slice can continue the one before it.
     apart = (
         F.col("_before").isNull()
-        | F.col("_inside")
         | (F.col("_no") > 1)
         | starts(lambda c: F.col("_before")[c], lambda c: F.col("head")[c])
     )
     stitched = (
-        edges.withColumn("_inside", F.coalesce(gap_inside, F.lit(False)))
-        .withColumn("_apart", F.when(apart, 1).otherwise(0))
+        edges.withColumn("_apart", F.when(apart, 1).otherwise(0))
         .withColumn(
             "_no2",
             F.sum("_apart").over(

@@ -123,8 +123,8 @@ def write_summaries(df: DataFrame, sessions: DataFrame, path: str) -> DataFrame:
     return _append(known, path, "session_summaries").unionByName(with_id(unknown))
 
 
-def to_json_records(df: DataFrame) -> DataFrame:
-    """Each row as one JSON record, NULL fields included, non-ASCII as it is."""
-    return df.select(
-        F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("record")
-    )
+def to_json_records(df: DataFrame, *beside: str) -> DataFrame:
+    """Each row as one JSON record, NULL fields included, non-ASCII as it is.
+    ``beside`` names columns to have next to the record as well."""
+    record = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
+    return df.select(*beside, record.alias("record"))
