@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -22,6 +22,12 @@ def _folded(word: str) -> Column:
     return fold(F.lit(word))
 
 
+def _matcher(word: str, is_prefix: bool) -> Callable[[Column], Column]:
+    """Test of a term column against one unit of the query."""
+    folded = _folded(word)
+    return (lambda t: t.startswith(folded)) if is_prefix else (lambda t: t == folded)
+
+
 def _bm25(frequency: Column, containing: Column, n_docs: Column, length: Column,
           average: Column) -> Column:
     raw = F.log((n_docs - containing + 0.5) / (containing + 0.5))
@@ -53,15 +59,8 @@ def search(
     units = _units(terms)
     words = docs.withColumn("_words", tokens(F.coalesce(F.col(text), F.lit(""))))
     counted = words.withColumn("_len", F.size("_words"))
-    for i, (word, is_prefix) in enumerate(units):
-        unit = _folded(word)
-        counted = counted.withColumn(
-            f"_f{i}",
-            F.size(F.filter(
-                "_words",
-                (lambda w, u=unit: w.startswith(u)) if is_prefix else (lambda w, u=unit: w == u),
-            )),
-        )
+    for i, unit in enumerate(units):
+        counted = counted.withColumn(f"_f{i}", F.size(F.filter("_words", _matcher(*unit))))
     counted = counted.drop("_words")
     figures = counted.agg(
         F.count(F.lit(1)).alias("_docs"),
@@ -134,10 +133,7 @@ def search_postings(
     ``stats`` is ``corpus_stats`` of the documents (one row).
     """
     units = _units(terms)
-    matches = [
-        F.col("term").startswith(_folded(w)) if is_prefix else F.col("term") == _folded(w)
-        for w, is_prefix in units
-    ]
+    matches = [_matcher(*unit)(F.col("term")) for unit in units]
     wanted = matches[0]
     for match in matches[1:]:
         wanted = wanted | match

@@ -1,6 +1,8 @@
 """All registered queries."""
 
-from tickloom.plans import captures, lookups, sequences  # noqa: F401
+from tickloom.plans import (  # noqa: F401
+    captures, lookups, reports, searches, sequences, trees,
+)
 from tickloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
