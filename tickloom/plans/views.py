@@ -173,9 +173,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view by name, with bounds and paths as the operators want them."""
-    source, expressions = VIEWS[name]
-    df = table(spark, sf_dir, source)
+    """A view by name."""
+    return shaped(table(spark, sf_dir, VIEWS[name][0]), name)
+
+
+def shaped(df: DataFrame, name: str) -> DataFrame:
+    """A given table, or a stream of it, in the shape of a view, with bounds
+    and paths as the operators want them."""
+    _, expressions = VIEWS[name]
     if any("{k}" in e for e in expressions):
         df = settle(df, _k=F.get_json_object("props", "$.k").cast("int"))
     df = df.selectExpr(*(e.format(**SPARK) for e in expressions))

@@ -2,6 +2,20 @@
 
 from pyspark.sql import types as T
 
+_TYPES = {
+    "string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(),
+    "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType(),
+}
+
+
+def flat(columns: str) -> T.StructType:
+    """``"a long, b string"`` as a schema, without a running session."""
+    return T.StructType([
+        T.StructField(name, _TYPES[kind])
+        for name, kind in (part.split() for part in columns.split(","))
+    ])
+
+
 BOUNDS = T.StructType([
     T.StructField("X", T.IntegerType()),
     T.StructField("Y", T.IntegerType()),
