@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tickloom import settings as S
 from tickloom.functions import privacy, text as X
+from tickloom.session import spread
 
 
 def drop_hidden(df: DataFrame) -> DataFrame:
@@ -49,7 +50,7 @@ def capture(
     is_blocked = privacy.is_app_blocked(F.coalesce("app", F.lit("")), blocked)
     title = F.when(matched, X.strip(F.coalesce("ax_title", F.lit("")))).otherwise("")
     shown = F.col("_blocked") | ~F.coalesce("hidden", F.lit(False))
-    seen = observations.withColumn("_blocked", is_blocked)
+    seen = spread(observations).withColumn("_blocked", is_blocked)
     if only_recorded:
         seen = seen.filter(shown)
     read = (

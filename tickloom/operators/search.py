@@ -7,7 +7,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tickloom import settings as S
+from tickloom.functions.settle import settle
 from tickloom.functions.text import fold, tokens
+from tickloom.session import spread
 
 # Fixed values of the BM25 ranking.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -40,7 +42,7 @@ def _bm25(frequency: Column, containing: Column, n_docs: Column, length: Column,
 def corpus_stats(docs: DataFrame, text: str = "summary") -> DataFrame:
     """Number of documents and their average length in words: one row."""
     length = F.size(tokens(F.coalesce(F.col(text), F.lit(""))))
-    return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(length).alias("avg_len"))
+    return spread(docs.select(text)).agg(F.count(F.lit(1)).alias("n_docs"), F.avg(length).alias("avg_len"))
 
 
 def document_frequency(postings: DataFrame) -> DataFrame:
@@ -57,28 +59,31 @@ def search(
     the corpus figures, which is one row, and one for the hits.
     """
     units = _units(terms)
-    words = docs.withColumn("_words", tokens(F.coalesce(F.col(text), F.lit(""))))
-    counted = words.withColumn("_len", F.size("_words"))
-    for i, unit in enumerate(units):
-        counted = counted.withColumn(f"_f{i}", F.size(F.filter("_words", _matcher(*unit))))
-    counted = counted.drop("_words")
-    figures = counted.agg(
-        F.count(F.lit(1)).alias("_docs"),
-        F.avg("_len").alias("_avg"),
-        *(F.count(F.when(F.col(f"_f{i}") > 0, 1)).alias(f"_n{i}") for i in range(len(units))),
-    )
+    words = settle(spread(docs), _words=tokens(F.coalesce(F.col(text), F.lit(""))))
+    counted = settle(
+        words,
+        _len=F.size("_words"),
+        **{f"_f{i}": F.size(F.filter("_words", _matcher(*u))) for i, u in enumerate(units)},
+    ).drop("_words")
+    # One row, taken in as a value.
+    figures = counted.agg(F.struct(
+        F.count(F.lit(1)).alias("docs"),
+        F.avg("_len").alias("avg"),
+        *(F.count(F.when(F.col(f"_f{i}") > 0, 1)).alias(f"n{i}") for i in range(len(units))),
+    ).alias("figures")).scalar()
     hits = counted
     for i in range(len(units)):
         hits = hits.filter(F.col(f"_f{i}") > 0)
+    figure = F.col("_figures")
     score = sum(
         (
-            _bm25(F.col(f"_f{i}"), F.col(f"_n{i}"), F.col("_docs"), F.col("_len"), F.col("_avg"))
+            _bm25(F.col(f"_f{i}"), figure[f"n{i}"], figure["docs"], F.col("_len"), figure["avg"])
             for i in range(len(units))
         ),
         F.lit(0.0),
     )
     return (
-        hits.join(F.broadcast(figures))
+        hits.withColumn("_figures", figures)
         .withColumn("rank", -score)
         .select(*docs.columns, "rank")
         .orderBy("rank", "id")
@@ -92,8 +97,9 @@ def build_postings(docs: DataFrame, text: str = "summary") -> DataFrame:
     All words of a document are counted where it is read, so what is shuffled
     is one row per document and word.
     """
-    words = docs.select(
-        F.col("id").alias("doc_id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("_words")
+    words = settle(
+        spread(docs.select(F.col("id").alias("doc_id"), text)),
+        _words=tokens(F.coalesce(F.col(text), F.lit(""))),
     )
     return (
         words.select("doc_id", F.size("_words").alias("doc_len"), F.explode("_words").alias("term"))
@@ -146,22 +152,23 @@ def search_postings(
             for i, match in enumerate(matches)
         ))
     )
-    containing = per_doc.agg(*(
-        F.count(F.when(F.col(f"_f{i}") > 0, 1)).alias(f"_n{i}") for i in range(len(units))
-    ))
+    containing = per_doc.agg(F.struct(*(
+        F.count(F.when(F.col(f"_f{i}") > 0, 1)).alias(f"n{i}") for i in range(len(units))
+    )).alias("containing")).scalar()
+    corpus = stats.select(F.struct("n_docs", "avg_len")).scalar()
     hits = per_doc
     for i in range(len(units)):
         hits = hits.filter(F.col(f"_f{i}") > 0)
     score = sum(
         (
-            _bm25(F.col(f"_f{i}"), F.col(f"_n{i}"), F.col("n_docs"), F.col("doc_len"),
-                  F.col("avg_len"))
+            _bm25(F.col(f"_f{i}"), F.col("_in")[f"n{i}"], F.col("_corpus")["n_docs"],
+                  F.col("doc_len"), F.col("_corpus")["avg_len"])
             for i in range(len(units))
         ),
         F.lit(0.0),
     )
     top = (
-        hits.join(F.broadcast(containing)).join(F.broadcast(stats))
+        hits.withColumns({"_in": containing, "_corpus": corpus})
         .select(F.col("doc_id").alias("id"), (-score).alias("rank"))
         .orderBy("rank", "id")
         .limit(limit)

@@ -14,6 +14,7 @@ from tickloom.operators.last_kept import keep_against_last
 from tickloom.operators.sequence import (
     Order, asof_join, segments, trailing_window, with_earlier,
 )
+from tickloom.session import write_and_reread
 
 DEVICE = ["device_id"]
 
@@ -178,8 +179,9 @@ def screen_at(
         "device_id", "moment_id", "at_ts", "layout_ts", "z",
         F.col("_pane")["window_id"].alias("window_id"),
     )
+    # The second search reads its left side twice; the first one runs once.
     return asof_join(
-        shown,
+        write_and_reread(shown),
         captures.select(
             "device_id", "window_id", F.col("ts").alias("capture_ts"), "id",
             F.col("app"), F.col("title"), F.col("text"),

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tickloom import schemas, settings as S
 from tickloom.functions import privacy, text as X
+from tickloom.session import spread
 
 NODE_KEY = ["tree_id", "node_id"]
 
@@ -26,8 +27,11 @@ def prune_secure(nodes: DataFrame, secure: Sequence[str] = S.SECURE_SUBROLES) ->
     roots = nodes.filter(privacy.is_secure_field(F.col("subrole"), secure)).select(
         "tree_id", F.col("node_id").alias("_up")
     )
+    # Most trees have no secure node; only the others look at ancestors.
     below = (
-        nodes.select("tree_id", "node_id", F.explode("path").alias("_up"))
+        nodes.select("tree_id", "node_id", "path")
+        .join(roots, "tree_id", "left_semi")
+        .select("tree_id", "node_id", F.explode("path").alias("_up"))
         .join(roots, ["tree_id", "_up"], "left_semi")
         .select(*NODE_KEY)
         .distinct()
@@ -86,26 +90,17 @@ def best_root(nodes: DataFrame, search_depth: int = S.WEB_SEARCH_DEPTH) -> DataF
     """Per tree the web area with most children and grandchildren, the first
     in reading order where several have as many. Trees without one are absent.
     """
-    children = nodes.groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(
-        F.count(F.lit(1)).alias("_children")
-    )
-    # The grandchildren of a node are the children of its children.
-    grandchildren = (
-        nodes.select("tree_id", "node_id", "parent_id")
-        .join(children, NODE_KEY)
-        .groupBy("tree_id", F.col("parent_id").alias("node_id"))
-        .agg(F.sum("_children").alias("_grandchildren"))
+    # A node counts for its parent and for its parent's parent.
+    counts = (
+        nodes.select("tree_id", F.explode(F.slice(F.reverse("path"), 2, 2)).alias("node_id"))
+        .groupBy(*NODE_KEY)
+        .agg(F.count(F.lit(1)).alias("score"))
     )
     areas = nodes.filter(
         (F.col("role") == S.WEB_ROLE) & (F.col("depth") <= search_depth)
     ).select("tree_id", "node_id", "depth", "preorder")
-    scored = (
-        areas.join(children, NODE_KEY, "left")
-        .join(grandchildren, NODE_KEY, "left")
-        .withColumn(
-            "score",
-            F.coalesce("_children", F.lit(0)) + F.coalesce("_grandchildren", F.lit(0)),
-        )
+    scored = areas.join(counts, NODE_KEY, "left").withColumn(
+        "score", F.coalesce("score", F.lit(0))
     )
     best = scored.groupBy("tree_id").agg(
         F.min_by(
@@ -255,6 +250,6 @@ def _read_pages(batches: Iterator[pa.RecordBatch], id_column: str, html_column:
 def html_nodes(pages: DataFrame, id_column: str = "page_id", html_column: str = "html") -> DataFrame:
     """Node rows of whole pages. One page becomes many rows; pages are read in
     Arrow batches where they are stored."""
-    return pages.select(id_column, html_column).mapInArrow(
+    return spread(pages.select(id_column, html_column)).mapInArrow(
         lambda it: _read_pages(it, id_column, html_column), schemas.NODE
     )

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tickloom.operators import tree as T
 from tickloom.plans.registry import query
 from tickloom.plans.views import table, view
+from tickloom.session import write_and_reread
 
 # Secure nodes and all below them; ancestors of heap node n are n >> 1, n >> 2, ...
 PRUNED = """
@@ -99,15 +100,20 @@ def html_nodes(spark, sf):
     return T.html_nodes(table(spark, sf, "pages")).drop("path")
 
 
+def page_nodes(spark, sf):
+    """Node table of the pages, stored: it is read many times below."""
+    return write_and_reread(T.html_nodes(table(spark, sf, "pages")))
+
+
 @query("X2_page_text")
 def page_text(spark, sf):
     """What would be captured of each page."""
-    found = T.window_text(T.html_nodes(table(spark, sf, "pages")))
+    found = T.window_text(page_nodes(spark, sf))
     return found.select("tree_id", F.array_join("texts", " | ").alias("text"))
 
 
 @query("A1_page_depth_profile")
 def page_profile(spark, sf):
-    return T.depth_profile(T.html_nodes(table(spark, sf, "pages"))).withColumn(
+    return T.depth_profile(page_nodes(spark, sf)).withColumn(
         "samples", F.array_join("samples", "|")
     )

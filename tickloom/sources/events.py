@@ -96,9 +96,8 @@ def recent_activity(
     if now is not None:
         recent = both.filter((F.col("ts") >= F.lit(now) - span) & (F.col("ts") <= F.lit(now)))
     else:
-        # One row, whatever the size of the table.
-        newest = events.agg(F.max("ts").alias("_now"))
-        recent = both.join(F.broadcast(newest), F.col("ts") >= F.col("_now") - span).drop("_now")
+        newest = events.agg(F.max("ts")).scalar()
+        recent = both.filter(F.col("ts") >= newest - span)
     return recent.orderBy("ts", *extra)
 
 

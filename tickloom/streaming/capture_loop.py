@@ -14,7 +14,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -35,9 +35,9 @@ OUTPUT = flat(
     "panes string"
 )
 _HELD = [f.name for f in INPUT.fields if f.name not in ("device_id", "ts")]
-_STATE = T.StructType([
-    T.StructField("micros", T.LongType()), *(f for f in INPUT.fields if f.name in _HELD)
-])
+# Rows wait as JSON, all of one micro-batch in one entry: every entry of a list
+# state is a round trip between processes.
+_WAITING = flat("earliest long, rows string")
 _DEVICE = flat("is_idle boolean, layout string")
 _WINDOW = flat("window_id long")
 _LAST_KEPT = flat("micros long, app string, title string, url string, text string")
@@ -68,6 +68,36 @@ def loop_rows(ticks: DataFrame, observations: DataFrame, **privacy) -> DataFrame
     )
 
 
+class _Remembered:
+    """A map state read and written once per window and call: each access to
+    the state itself is a round trip between processes."""
+
+    def __init__(self, state) -> None:
+        self.state = state
+        self.known: dict[tuple, tuple | None] = {}
+        self.changed: set[tuple] = set()
+        self.cleared = False
+
+    def get(self, key: tuple) -> tuple | None:
+        if key not in self.known:
+            there = not self.cleared and self.state.containsKey(key)
+            self.known[key] = tuple(self.state.getValue(key)) if there else None
+        return self.known[key]
+
+    def put(self, key: tuple, value: tuple) -> None:
+        self.known[key] = value
+        self.changed.add(key)
+
+    def clear(self) -> None:
+        self.known, self.changed, self.cleared = {}, set(), True
+
+    def store(self) -> None:
+        if self.cleared:
+            self.state.clear()
+        for key in self.changed:
+            self.state.updateValue(key, self.known[key])
+
+
 class CaptureLoop(StatefulProcessor):
     """State of one device."""
 
@@ -80,35 +110,37 @@ class CaptureLoop(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", _STATE)
+        self.held = handle.getListState("held", _WAITING)
         self.device = handle.getValueState("device", _DEVICE)
         self.kept = handle.getMapState("kept", _WINDOW, _LAST_KEPT)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        earliest = None
+        waiting = []
         for batch in rows:
             micros = batch["ts"].astype("datetime64[us]").astype("int64")
             clean = batch[_HELD].astype(object).where(batch[_HELD].notna(), None)
-            self.held.appendList([
-                (int(m), *self._typed(r))
+            waiting += [
+                [int(m), *self._typed(r)]
                 for m, r in zip(micros, clean.itertuples(index=False, name=None))
-            ])
-            least = int(micros.min())
-            earliest = least if earliest is None else min(earliest, least)
-        if earliest is not None:
+            ]
+        if waiting:
+            earliest = min(row[0] for row in waiting)
+            self.held.appendValue((earliest, json.dumps(waiting)))
             self._wake_at(earliest)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs() * 1000
         ready, later = [], []
-        for row in self.held.get():
-            (ready if row[0] <= watermark else later).append(tuple(row))
+        for entry in self.held.get():
+            for row in json.loads(entry[1]):
+                (ready if row[0] <= watermark else later).append(row)
         if later:
-            self.held.put(later)
             # The earliest row, not the latest: a timer behind all of them
             # would hold everything back.
-            self._wake_at(min(row[0] for row in later))
+            earliest = min(row[0] for row in later)
+            self.held.put([(earliest, json.dumps(later))])
+            self._wake_at(earliest)
         else:
             self.held.clear()
         if not ready:
@@ -127,8 +159,8 @@ class CaptureLoop(StatefulProcessor):
         pass
 
     @staticmethod
-    def _typed(values: tuple) -> tuple:
-        """Plain Python values: state takes no numpy numbers."""
+    def _typed(values: tuple) -> list:
+        """Plain Python values instead of numpy's."""
         typed = []
         for name, value in zip(_HELD, values):
             if value is None:
@@ -141,7 +173,7 @@ class CaptureLoop(StatefulProcessor):
                 typed.append(float(value))
             else:
                 typed.append(value)
-        return tuple(typed)
+        return typed
 
     def _wake_at(self, micros: int) -> None:
         self.handle.registerTimer(-(-micros // 1000))
@@ -152,6 +184,7 @@ class CaptureLoop(StatefulProcessor):
         for row in rows:
             ticks.setdefault(row["micros"], []).append(row)
         is_idle, layout = self.device.get() if self.device.exists() else (False, None)
+        windows_kept = _Remembered(self.kept)
         for micros in sorted(ticks):
             windows = sorted(
                 (r for r in ticks[micros] if r["z"] is not None), key=lambda r: r["z"]
@@ -167,7 +200,7 @@ class CaptureLoop(StatefulProcessor):
                 continue
             if is_idle:
                 is_idle, layout = False, None
-                self.kept.clear()
+                windows_kept.clear()
             if not any(r["matched"] for r in windows):
                 continue
             now = json.dumps([[r["window_id"], r["pane_app"], r["pane_title"]] for r in windows])
@@ -176,21 +209,22 @@ class CaptureLoop(StatefulProcessor):
                 yield {**base, "kind": "layout",
                        "panes": "[" + ",".join(r["pane"] for r in windows) + "]"}
             for r in windows:
-                if r["recorded"] and self._keeps(micros, r):
+                if r["recorded"] and self._keeps(windows_kept, micros, r):
                     yield {**base, "kind": "capture", "idle": False,
                            **{c: r[c] for c in ("id", "app", "title", "text", "url", "pid",
                                                 "window_id", "idle_s", "filtered")}}
+        windows_kept.store()
         self.device.update((is_idle, layout))
 
-    def _keeps(self, micros: int, r: dict) -> bool:
+    def _keeps(self, kept: _Remembered, micros: int, r: dict) -> bool:
         window = (r["window_id"] if r["window_id"] is not None else -1,)
         content = (r["app"], r["title"], r["url"], (r["text"] or "")[: self.max_compare])
-        if self.kept.containsKey(window):
-            last = self.kept.getValue(window)
+        last = kept.get(window)
+        if last is not None:
             due = micros - last[0] >= self.rule.horizon_after(content) * 1_000_000
             if not due and not self.rule.differs(content, tuple(last[1:])):
                 return False
-        self.kept.updateValue(window, (micros, *content))
+        kept.put(window, (micros, *content))
         return True
 
 
