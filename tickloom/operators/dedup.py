@@ -66,7 +66,7 @@ def dedup(
     threshold: float = S.SIMILARITY_THRESHOLD,
     forced_snapshot_s: float = S.FORCED_SNAPSHOT_S,
     max_compare: int = S.MAX_TEXT_COMPARE,
-    slice_s: float = 86_400,
+    slice_s: float = S.SLICE_S,
 ) -> DataFrame:
     """The captures left after dropping near-duplicates of the last kept one.
 
@@ -84,20 +84,12 @@ def dedup(
     return keep_against_last(compared, keys, order, rule, slice_s).select(*captures.columns)
 
 
-def kept_flags(captures: DataFrame, kept: DataFrame, row_key: Sequence[str]) -> DataFrame:
-    """All captures with a ``kept`` column, for reports."""
-    marks = kept.select(*row_key).withColumn("kept", F.lit(True))
-    return captures.join(marks, list(row_key), "left").withColumn(
-        "kept", F.coalesce("kept", F.lit(False))
-    )
-
-
 def _changed(before: str, here: str, first: str) -> Column:
     return F.col(first).isNotNull() & ~F.col(before).eqNullSafe(F.col(here))
 
 
 def count_transitions(
-    df: DataFrame, keys: Sequence[str], order: Order, slice_s: float = 86_400
+    df: DataFrame, keys: Sequence[str], order: Order, slice_s: float = S.SLICE_S
 ) -> DataFrame:
     """Per sequence: rows and changes of app from one row to the next."""
     seen = with_earlier(
@@ -117,7 +109,7 @@ def dedup_report(
     kept: DataFrame,
     keys: Sequence[str],
     order: Order = Order("ts", "id"),
-    slice_s: float = 86_400,
+    slice_s: float = S.SLICE_S,
 ) -> DataFrame:
     """Per sequence: rows and app changes before and after, and the reduction."""
     before = count_transitions(raw, keys, order, slice_s).select(

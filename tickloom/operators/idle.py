@@ -12,7 +12,7 @@ TICK = Order("tick_ts", "tick_ts")
 
 
 def idle_segments(
-    ticks: DataFrame, timeout_s: float = S.IDLE_TIMEOUT_S, slice_s: float = 86_400
+    ticks: DataFrame, timeout_s: float = S.IDLE_TIMEOUT_S, slice_s: float = S.SLICE_S
 ) -> DataFrame:
     """Ticks with ``is_idle``, ``starts_idle`` and ``epoch``.
 
@@ -56,7 +56,7 @@ def active_epochs(segmented: DataFrame) -> DataFrame:
     return segmented.filter(~F.col("is_idle")).select("device_id", "tick_ts", "epoch")
 
 
-def layout_changes(observations: DataFrame, slice_s: float = 86_400) -> DataFrame:
+def layout_changes(observations: DataFrame, slice_s: float = S.SLICE_S) -> DataFrame:
     """Ticks whose ordered windows differ from the previous tick that had any.
 
     Compares (window_id, app, title) front to back; bounds do not count.
@@ -81,7 +81,7 @@ def layout_changes(observations: DataFrame, slice_s: float = 86_400) -> DataFram
 
 
 def idle_stretches(
-    ticks: DataFrame, timeout_s: float = S.IDLE_TIMEOUT_S, slice_s: float = 86_400
+    ticks: DataFrame, timeout_s: float = S.IDLE_TIMEOUT_S, slice_s: float = S.SLICE_S
 ) -> DataFrame:
     """Every idle stretch with its ``start_ts``, last idle tick ``end_ts`` and
     ``n`` ticks, and the first active tick after it, if there is one."""

@@ -29,6 +29,7 @@ from typing import Any, Protocol
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from tickloom import settings as S
 from tickloom.operators.sequence import Order, slice_of
 from tickloom.session import write_and_reread
 
@@ -194,7 +195,7 @@ def keep_against_last(
     keys: Sequence[str],
     order: Order,
     rule: Rule,
-    slice_s: float = 86_400,
+    slice_s: float = S.SLICE_S,
 ) -> DataFrame:
     """The rows of ``df`` that ``rule`` keeps, per sequence ``keys``.
 

@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.window import WindowSpec
 
+from tickloom import settings as S
+
 SLICE = "_slice"
 CARRY = "_carry"
 
@@ -46,7 +48,7 @@ def with_earlier(
     previous: dict[str, Column] | None = None,
     latest: dict[str, Column] | None = None,
     running: dict[str, Column] | None = None,
-    slice_s: float = 86_400,
+    slice_s: float = S.SLICE_S,
 ) -> DataFrame:
     """Add columns that look back along a sequence.
 
@@ -129,7 +131,7 @@ def segments(
     carry: Sequence[str],
     starts: Callable[[Callable[[str], Column], Callable[[str], Column]], Column],
     sums: Sequence[str] = (),
-    slice_s: float = 86_400,
+    slice_s: float = S.SLICE_S,
 ) -> DataFrame:
     """Cut sequences into segments and describe each by one row.
 
@@ -209,7 +211,7 @@ def asof_join(
     right_ts: str,
     right_tie: str,
     columns: Sequence[str],
-    slice_s: float = 86_400,
+    slice_s: float = S.SLICE_S,
 ) -> DataFrame:
     """For each left row, ``columns`` of the latest right row not after it.
 
@@ -243,7 +245,7 @@ def asof_join(
 
 
 def trailing_window(
-    df: DataFrame, keys: Sequence[str], ts: str, seconds: int, slice_s: float = 86_400
+    df: DataFrame, keys: Sequence[str], ts: str, seconds: int, slice_s: float = S.SLICE_S
 ) -> tuple[DataFrame, WindowSpec]:
     """Rows plus a window over the last ``seconds`` up to each row.
 

@@ -19,7 +19,7 @@ from tickloom.session import write_and_reread
 DEVICE = ["device_id"]
 
 
-def transitions(captures: DataFrame, order: Order = Order(), slice_s: float = 86_400) -> DataFrame:
+def transitions(captures: DataFrame, order: Order = Order(), slice_s: float = S.SLICE_S) -> DataFrame:
     """Changes of app along a device: ``from_app``, ``to_app`` and when."""
     seen = with_earlier(
         captures.select("device_id", order.ts, order.tie, "app"), DEVICE, order,
@@ -30,7 +30,7 @@ def transitions(captures: DataFrame, order: Order = Order(), slice_s: float = 86
     ).select("device_id", order.ts, order.tie, "from_app", F.col("app").alias("to_app"))
 
 
-def flag_transitions(captures: DataFrame, order: Order = Order(), slice_s: float = 86_400) -> DataFrame:
+def flag_transitions(captures: DataFrame, order: Order = Order(), slice_s: float = S.SLICE_S) -> DataFrame:
     """Captures with ``transition``: the app differs from the capture before."""
     seen = with_earlier(
         captures.drop("transition"), DEVICE, order,
@@ -46,7 +46,7 @@ def sessions(
     captures: DataFrame,
     gap_s: float = S.SESSION_GAP_S,
     order: Order = Order(),
-    slice_s: float = 86_400,
+    slice_s: float = S.SLICE_S,
 ) -> DataFrame:
     """Stretches of one app and title, continued over pauses below ``gap_s``."""
     keys = ["device_id", "app", "title"]
@@ -62,7 +62,7 @@ def sessions(
     )
 
 
-def app_runs(captures: DataFrame, order: Order = Order(), slice_s: float = 86_400) -> DataFrame:
+def app_runs(captures: DataFrame, order: Order = Order(), slice_s: float = S.SLICE_S) -> DataFrame:
     """Unbroken stretches of one app along a device."""
     runs = segments(
         captures.select("device_id", order.ts, order.tie, "app"), DEVICE, order, ["app"],
@@ -83,7 +83,7 @@ def app_totals(events: DataFrame) -> DataFrame:
 
 def switch_bursts(
     captures: DataFrame, at_least: int = 8, within_s: int = 300,
-    order: Order = Order(), slice_s: float = 86_400,
+    order: Order = Order(), slice_s: float = S.SLICE_S,
 ) -> DataFrame:
     """Switches that complete ``at_least`` switches within ``within_s``."""
     rows, window = trailing_window(
@@ -105,7 +105,7 @@ def distraction_dwell(
 
 
 def focus_ends(
-    captures: DataFrame, over_s: float = 1800, order: Order = Order(), slice_s: float = 86_400,
+    captures: DataFrame, over_s: float = 1800, order: Order = Order(), slice_s: float = S.SLICE_S,
     run_slice_s: float | None = None,
 ) -> DataFrame:
     """Runs of one app longer than ``over_s`` that end with a switch: the app
@@ -151,7 +151,7 @@ class CooldownRule:
 def cool_down(
     triggers: DataFrame, cooldown_s: float = S.COOLDOWN_S,
     dismissed_s: float = S.COOLDOWN_DISMISSED_S, order: Order = Order(),
-    slice_s: float = 86_400,
+    slice_s: float = S.SLICE_S,
 ) -> DataFrame:
     """The triggers that pass the cool-down after the last one that passed."""
     return keep_against_last(
@@ -160,7 +160,7 @@ def cool_down(
 
 
 def screen_at(
-    moments: DataFrame, layouts: DataFrame, captures: DataFrame, slice_s: float = 86_400
+    moments: DataFrame, layouts: DataFrame, captures: DataFrame, slice_s: float = S.SLICE_S
 ) -> DataFrame:
     """What was on screen at each moment: the latest layout not after it, and
     for each of its panes the latest capture not after it.
@@ -191,7 +191,7 @@ def screen_at(
     )
 
 
-def screen_share(layouts: DataFrame, slice_s: float = 86_400) -> DataFrame:
+def screen_share(layouts: DataFrame, slice_s: float = S.SLICE_S) -> DataFrame:
     """Share of screen area and time per device and app: each layout counts
     with the areas of its panes until the next layout of the device."""
     # The time a layout lasted is known at the next one.

@@ -24,7 +24,7 @@ def run_loop(
     idle_timeout_s: float = S.IDLE_TIMEOUT_S,
     threshold: float = S.SIMILARITY_THRESHOLD,
     forced_snapshot_s: float = S.FORCED_SNAPSHOT_S,
-    slice_s: float = 86_400,
+    slice_s: float = S.SLICE_S,
 ) -> LoopResult:
     """Observations to kept captures, layout changes and idle markers.
 

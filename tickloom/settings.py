@@ -24,6 +24,11 @@ COOLDOWN_DISMISSED_S = 1800
 SESSION_GAP_S = 120
 TICK_SECONDS = 3
 
+# Length of the time slices that sequences are cut into. A slice of one key is
+# the most that one task sorts, so data with a very busy key wants short ones;
+# every slice costs one small row.
+SLICE_S = 3600
+
 # --- Fixed values: owners that are never user windows -------------------------
 SYSTEM_OWNERS = [
     "Control Center",
