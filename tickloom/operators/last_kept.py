@@ -129,18 +129,26 @@ class _Decider:
         return bool(left)
 
 
+def _values(batch: pa.RecordBatch, name: str) -> list:
+    """A column as Python values, by the fast way where Arrow has one."""
+    column = batch.column(batch.schema.get_field_index(name))
+    kind = column.type
+    if pa.types.is_string(kind) or (
+        column.null_count == 0 and (pa.types.is_integer(kind) or pa.types.is_floating(kind))
+    ):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    return column.to_pylist()
+
+
 def _decide_slices(
     batches: Iterator[pa.RecordBatch], rule: Rule, keys: list[str], tie: str
 ) -> Iterator[pa.RecordBatch]:
     current, decider = None, None
     label_type = pa.list_(pa.struct([("micros", pa.int64()), ("tie", pa.int64())]))
     for batch in batches:
-        def column(name: str) -> list:
-            return batch.column(batch.schema.get_field_index(name)).to_pylist()
-
-        groups = list(zip(*(column(k) for k in [*keys, _SLICE])))
-        micros, ties, leads = column(_MICROS), column(tie), column(_LEAD)
-        contents = list(zip(*(column(c) for c in rule.columns)))
+        groups = list(zip(*(_values(batch, k) for k in [*keys, _SLICE])))
+        micros, ties, leads = (_values(batch, c) for c in (_MICROS, tie, _LEAD))
+        contents = list(zip(*(_values(batch, c) for c in rule.columns)))
         mask, only_if = [], []
         for i, group in enumerate(groups):
             if group != current:
@@ -164,26 +172,24 @@ def _decide_slices(
 
 
 def _follow(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
-    """Walk the undecided rows of a sequence and pick those really kept."""
+    """Walk the undecided rows of a sequence, one line per start state, and
+    pick those really kept."""
     current = slice_no = last = start = None
     for batch in batches:
-        rows = batch.to_pylist()
+        groups = zip(*(_values(batch, k) for k in keys))
+        columns = (_values(batch, c) for c in (_SLICE, _MICROS, "_tie", "_if_micros", "_if_tie"))
+        certain = _values(batch, "_certain")
         picked = []
-        for row in rows:
-            group = tuple(row[k] for k in keys)
+        for group, is_certain, row_slice, micros, tie, if_micros, if_tie in zip(
+            groups, certain, *columns
+        ):
             if group != current:
                 current, slice_no, last = group, None, None
-            if row[_SLICE] != slice_no:
-                slice_no, start = row[_SLICE], last
-            only_if = row[_ONLY_IF]
-            here = (row[_MICROS], row["_tie"])
-            if only_if is None:
-                last = here
-                picked.append(False)
-                continue
-            kept = start in {(s["micros"], s["tie"]) for s in only_if}
-            if kept:
-                last = here
+            if row_slice != slice_no:
+                slice_no, start = row_slice, last
+            kept = not is_certain and start == (if_micros, if_tie)
+            if kept or is_certain:
+                last = (micros, tie)
             picked.append(kept)
         yield batch.filter(pa.array(picked, pa.bool_())).select(
             [*keys, _SLICE, _MICROS, "_tie"]
@@ -232,7 +238,6 @@ def keep_against_last(
     # Slices with undecided rows, and the last certain row of the slices they
     # may have to look back to: ids only.
     open_rows = decided.filter(F.col(_ONLY_IF).isNotNull())
-    slim = [*keys, _SLICE, _MICROS, F.col(order.tie).alias("_tie"), _ONLY_IF]
     open_keys = open_rows.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).distinct()
     same_key = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
     anchors = (
@@ -240,9 +245,22 @@ def keep_against_last(
         .groupBy(*keys, _SLICE)
         .agg(F.max(F.struct(_MICROS, F.col(order.tie).alias("_tie"))).alias("_at"))
         .join(open_keys, same_key, "left_semi")
-        .select(*keys, _SLICE, "_at.*", F.lit(None).cast(label).alias(_ONLY_IF))
+        .select(
+            *keys, _SLICE, "_at.*", F.lit(True).alias("_certain"),
+            F.lit(0).cast("long").alias("_if_micros"), F.lit(0).cast("long").alias("_if_tie"),
+        )
+    )
+    walk = (
+        open_rows.select(
+            *keys, _SLICE, _MICROS, F.col(order.tie).alias("_tie"),
+            F.explode(_ONLY_IF).alias("_if"),
+        )
+        .select(
+            *keys, _SLICE, _MICROS, "_tie", F.lit(False).alias("_certain"),
+            F.col("_if")["micros"].alias("_if_micros"), F.col("_if")["tie"].alias("_if_tie"),
+        )
+        .unionByName(anchors)
     )
-    walk = open_rows.select(*slim).unionByName(anchors)
     walk = walk.repartition(*keys).sortWithinPartitions(*keys, _SLICE, _MICROS, "_tie")
     found_schema = T.StructType([
         f for f in walk.schema.fields if f.name in {*keys, _SLICE, _MICROS, "_tie"}

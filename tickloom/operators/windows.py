@@ -28,19 +28,23 @@ def filter_visible(
     )
 
 
-def drop_unmatched_ticks(
-    observations: DataFrame, tick: Sequence[str] = ("device_id", "tick_ts")
-) -> DataFrame:
-    """Drop ticks in which no window has an element: a screen in transition.
+TICK = ("device_id", "tick_ts")
 
-    The flags are combined per tick map-side; the rows then only need a join.
-    """
-    good = (
+
+def matched_ticks(observations: DataFrame, tick: Sequence[str] = TICK) -> DataFrame:
+    """Ticks in which some window has an element. The flags are combined per
+    tick map-side, so this is small against the observations."""
+    return (
         observations.groupBy(*tick)
         .agg(F.bool_or("matched").alias("_any"))
         .filter("_any")
+        .select(*tick)
     )
-    return observations.join(good, list(tick), "left_semi")
+
+
+def drop_unmatched_ticks(observations: DataFrame, tick: Sequence[str] = TICK) -> DataFrame:
+    """Drop ticks in which no window has an element: a screen in transition."""
+    return observations.join(matched_ticks(observations, tick), list(tick), "left_semi")
 
 
 def _near(a: Column, b: Column, tolerance: int) -> Column:

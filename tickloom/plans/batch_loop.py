@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from tickloom import settings as S
 from tickloom.operators import capture as C, idle, windows as W
@@ -34,15 +34,20 @@ def run_loop(
     each stretch between idle times, is a sequence of its own.
     """
     segmented = idle.idle_segments(ticks, idle_timeout_s, slice_s)
-    seen = W.drop_unmatched_ticks(W.filter_visible(observations))
-    active = seen.join(idle.active_epochs(segmented), ["device_id", "tick_ts"])
-    captured = C.capture(
-        active.withColumn("ts", F.col("tick_ts")), keep=["id", "device_id", "ts", "epoch"]
-    )
+    seen = W.filter_visible(observations)
+    # Which ticks count is settled on rows of ticks; texts are masked and cut
+    # where they are read, before they are shuffled.
+    live = idle.active_epochs(segmented).join(W.matched_ticks(seen), ["device_id", "tick_ts"])
+    captured = C.capture(seen, keep=["id", "device_id", "tick_ts"]).join(
+        live, ["device_id", "tick_ts"]
+    ).withColumnRenamed("tick_ts", "ts")
+    shown = seen.select(
+        "device_id", "tick_ts", "z", "window_id", "app", "pid", "title", "bounds"
+    ).join(live, ["device_id", "tick_ts"])
     kept = dedup(
         captured, ["device_id", "window_id", "epoch"], Order("ts", "id"),
         threshold, forced_snapshot_s, slice_s=slice_s,
     )
     return LoopResult(
-        kept.drop("epoch"), idle.layout_changes(active, slice_s), idle.idle_markers(segmented)
+        kept.drop("epoch"), idle.layout_changes(shown, slice_s), idle.idle_markers(segmented)
     )

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from tickloom.functions.similarity import similarity_bound, text_similarity
 from tickloom.operators import dedup as D, idle, sessions as R
 from tickloom.operators.sequence import Order, with_earlier
-from tickloom.operators.windows import drop_unmatched_ticks, filter_visible
 from tickloom.plans.batch_loop import run_loop
 from tickloom.plans.captures import CAPTURED, VISIBLE
 from tickloom.plans.registry import query
@@ -234,6 +233,4 @@ good AS (SELECT v.* FROM visible v WHERE EXISTS (SELECT 1 FROM visible o
 """ + LAYOUTS.format(source="good") + "SELECT device_id, ts, layout FROM changes")
 def loop_layouts(spark, sf):
     seen = view(spark, sf, "observations")
-    epochs = idle.active_epochs(idle.idle_segments(day_ticks(seen), slice_s=3 * DAY))
-    active = drop_unmatched_ticks(filter_visible(seen)).join(epochs, ["device_id", "tick_ts"])
-    return layout_text(idle.layout_changes(active, slice_s=3 * DAY))
+    return layout_text(run_loop(day_ticks(seen), seen, slice_s=3 * DAY).layouts)
