@@ -47,7 +47,7 @@ def afk_events_newest(spark, sf):
 @query("S3_bucket_id", "activity", oracle="""
 SELECT event_id, 'aw-watcher-' || kind || '_' || host AS bucket_id FROM activity""")
 def bucket_ids(spark, sf):
-    return view(spark, sf, "activity").select(
+    return view(spark, sf, "activity", "event_id", "kind", "host").select(
         "event_id", times.bucket_id(F.col("kind"), F.col("host")).alias("bucket_id")
     )
 
@@ -56,7 +56,7 @@ def bucket_ids(spark, sf):
 SELECT bucket, kind, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts
 FROM activity GROUP BY bucket, kind""")
 def buckets(spark, sf):
-    return E.list_buckets(view(spark, sf, "activity"))
+    return E.list_buckets(view(spark, sf, "activity", "bucket", "ts"))
 
 
 @query("S6_read_captures", "captures", oracle="""
@@ -72,7 +72,7 @@ SELECT id, device_id, ts, app, title,
  CASE WHEN app IN ('view', 'click') THEN NULL ELSE window_id END AS window_id FROM captures""")
 def aligned(spark, sf):
     # Rows written before windows were told apart, and rows written since.
-    rows = view(spark, sf, "captures").select("id", "device_id", "ts", "app", "title", "window_id")
+    rows = view(spark, sf, "captures", "id", "device_id", "ts", "app", "title", "window_id")
     is_old = F.col("app").isin("view", "click")
     old = rows.filter(is_old).drop("window_id")
     both = [tables.align_schema(part, schemas.CAPTURE) for part in (old, rows.filter(~is_old))]
@@ -84,7 +84,7 @@ SELECT s.id, s.session_id, s.session_id IN (SELECT id FROM known_sessions) AS ac
 FROM summaries s""")
 def foreign_key(spark, sf):
     accepted, rejected = tables.split_known_sessions(
-        view(spark, sf, "summaries").select("id", "session_id"), view(spark, sf, "known_sessions")
+        view(spark, sf, "summaries", "id", "session_id"), view(spark, sf, "known_sessions")
     )
     return accepted.withColumn("accepted", F.lit(True)).unionByName(
         rejected.withColumn("accepted", F.lit(False))
@@ -96,28 +96,26 @@ SELECT k.id FROM known_sessions k
 WHERE NOT EXISTS (SELECT 1 FROM summaries s WHERE s.session_id = k.id)""")
 def orphan_sessions(spark, sf):
     used = view(spark, sf, "summaries").select(F.col("session_id").alias("id"))
-    return view(spark, sf, "known_sessions").select("id").join(used, "id", "left_anti")
+    return view(spark, sf, "known_sessions", "id").join(used, "id", "left_anti")
 
 
 @query("K6_json_records", "captures", oracle="""
 SELECT id, '{"id":' || id || ',"app":"' || app || '","title":"' || title || '","url":' ||
  CASE WHEN url IS NULL THEN 'null' ELSE '"' || url || '"' END || '}' AS record FROM captures""")
 def json_records(spark, sf):
-    rows = view(spark, sf, "captures").select("id", "app", "title", "url")
+    rows = view(spark, sf, "captures", "id", "app", "title", "url")
     return tables.to_json_records(rows, "id")
 
 
 @query("F1_capture_by_id", "captures", oracle="SELECT id, ts, app, title FROM captures WHERE id = 77")
 def capture_by_id(spark, sf):
-    return lookup.by_id(view(spark, sf, "captures"), 77).select("id", "ts", "app", "title")
+    return lookup.by_id(view(spark, sf, "captures", "id", "ts", "app", "title"), 77)
 
 
 @query("F2_captures_between", "captures", oracle=f"""
 SELECT id, device_id, ts, app, title, text, url FROM captures WHERE ts {BETWEEN}""")
 def between(spark, sf):
-    rows = view(spark, sf, "captures").select(
-        "id", "device_id", "ts", "app", "title", "text", "url"
-    )
+    rows = view(spark, sf, "captures", "id", "device_id", "ts", "app", "title", "text", "url")
     return lookup.captures_between(rows, START, END)
 
 
@@ -134,17 +132,15 @@ def sessions_starting(spark, sf):
 SELECT id, device_id, ts, app, title FROM captures WHERE app = 'click'
 ORDER BY ts DESC, id LIMIT 500""")
 def by_app(spark, sf):
-    return lookup.captures_by_app(view(spark, sf, "captures"), "click").select(
-        "id", "device_id", "ts", "app", "title"
+    return lookup.captures_by_app(
+        view(spark, sf, "captures", "id", "device_id", "ts", "app", "title"), "click"
     )
 
 
 @query("T1_most_recent", "captures", oracle="""
 SELECT id, device_id, ts, app, title FROM captures ORDER BY ts DESC, id LIMIT 500""")
 def recent(spark, sf):
-    return lookup.most_recent(view(spark, sf, "captures")).select(
-        "id", "device_id", "ts", "app", "title"
-    )
+    return lookup.most_recent(view(spark, sf, "captures", "id", "device_id", "ts", "app", "title"))
 
 
 PANES_JSON = """
@@ -176,7 +172,10 @@ def latest_layout(spark, sf):
 SELECT device_id, tick_ts, arg_min(window_id, z) AS window_id, arg_min(app, z) AS app,
  arg_min(id, z) AS id FROM observations GROUP BY device_id, tick_ts""")
 def frontmost(spark, sf):
-    return lookup.frontmost(view(spark, sf, "observations"), ["window_id", "app", "id"])
+    return lookup.frontmost(
+        view(spark, sf, "observations", "id", "device_id", "tick_ts", "z", "window_id", "app"),
+        ["window_id", "app", "id"],
+    )
 
 
 @query("P1_event_records", "activity", oracle="""
@@ -196,7 +195,7 @@ def parsed(spark, sf):
     shifted = F.date_format(
         F.col("ts") + F.expr("INTERVAL 2 HOURS"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
     )
-    return view(spark, sf, "activity").select(
+    return view(spark, sf, "activity", "event_id", "ts", "bucket").select(
         "event_id",
         times.parse_ts(F.concat(ts, F.lit("Z"))).alias("from_z"),
         times.parse_ts(F.concat(shifted, F.lit("+02:00"))).alias("from_offset"),
@@ -210,7 +209,7 @@ SELECT event_id, abs(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-15 00:00:00')) /
 FROM activity""")
 def distance(spark, sf):
     noon = F.lit(dt.datetime(2024, 1, 15))
-    return view(spark, sf, "activity").select(
+    return view(spark, sf, "activity", "event_id", "ts").select(
         "event_id", times.seconds_between(F.col("ts"), noon).alias("seconds")
     )
 
@@ -232,9 +231,10 @@ def recent_activity(spark, sf):
 SELECT event_id, ts, bucket FROM activity
 WHERE bucket IN ('aw-watcher-window_host3', 'aw-watcher-afk_host3')""")
 def merged(spark, sf):
-    window = E.read_window_events(view(spark, sf, "activity"), "host3", limit=-1)
-    afk = E.read_afk_events(view(spark, sf, "activity"), "host3", limit=-1)
-    return window.unionByName(afk).select("event_id", "ts", "bucket").orderBy("ts", "event_id")
+    events = view(spark, sf, "activity", "event_id", "ts", "bucket")
+    window = E.read_window_events(events, "host3", limit=-1)
+    afk = E.read_afk_events(events, "host3", limit=-1)
+    return window.unionByName(afk).orderBy("ts", "event_id")
 
 
 @query("J2_summaries_of_sessions", "summaries", "known_sessions", oracle="""
@@ -243,7 +243,7 @@ WHERE s.session_id IN (SELECT id FROM known_sessions)""")
 def session_summaries(spark, sf):
     return lookup.summaries_for(
         view(spark, sf, "known_sessions"),
-        view(spark, sf, "summaries").select("id", "session_id", "model", "created_ts"),
+        view(spark, sf, "summaries", "id", "session_id", "model", "created_ts"),
     )
 
 

@@ -81,7 +81,7 @@ def normalised(spark, sf):
 SELECT device_id, CAST(ts AS DATE) AS day, app, round(sum(duration), 4) AS total_s, count(*) AS n_events
 FROM activity GROUP BY ALL""")
 def app_totals(spark, sf):
-    totals = R.app_totals(view(spark, sf, "activity"))
+    totals = R.app_totals(view(spark, sf, "activity", "device_id", "ts", "app", "duration"))
     return totals.withColumn("total_s", F.round("total_s", 4))
 
 
@@ -92,7 +92,7 @@ counted AS (SELECT id, device_id, ts, count(*) OVER (PARTITION BY device_id ORDE
  RANGE BETWEEN INTERVAL 345600 SECOND PRECEDING AND CURRENT ROW) AS n_switches FROM switches)
 SELECT * FROM counted WHERE n_switches >= 8""")
 def switch_bursts(spark, sf):
-    return R.switch_bursts(view(spark, sf, "captures"), 8, 4 * DAY, slice_s=5 * DAY)
+    return R.switch_bursts(view(spark, sf, "captures", "id", "device_id", "ts", "app"), 8, 4 * DAY, slice_s=5 * DAY)
 
 
 @query("D6_distraction_dwell", "captures", oracle=SESSIONS + """
@@ -116,7 +116,7 @@ SELECT r.device_id, r.app AS focus_app, n.app AS next_app, n.s AS switch_ts,
 FROM runs r JOIN runs n ON n.device_id = r.device_id AND n.no = r.no + 1
 WHERE epoch_us(r.e) - epoch_us(r.s) > CAST(43200 AS BIGINT) * 1000000""")
 def focus_ends(spark, sf):
-    return R.focus_ends(view(spark, sf, "captures"), 43_200, slice_s=3 * DAY)
+    return R.focus_ends(view(spark, sf, "captures", "id", "device_id", "ts", "app"), 43_200, slice_s=3 * DAY)
 
 
 @query("D8_returns_from_idle", "ticks", oracle="""
@@ -175,7 +175,7 @@ def screen_share(spark, sf):
 SELECT device_id, CAST(ts AS DATE) AS day, count(*) AS n_rows, CAST(sum(length(text)) AS BIGINT) AS n_chars,
  count(*) < 4 AND sum(length(text)) < 80 AS on_target FROM captures GROUP BY ALL""")
 def daily_volume(spark, sf):
-    return R.daily_volume(view(spark, sf, "captures"), 4, 80)
+    return R.daily_volume(view(spark, sf, "captures", "device_id", "ts", "text"), 4, 80)
 
 
 @query("D14_summary_coverage", "summaries", "known_sessions", oracle="""
@@ -189,7 +189,7 @@ def coverage(spark, sf):
 @query("D14_tokens_per_model", "summaries", oracle="""
 SELECT model, count(*) AS n_summaries, CAST(sum(tokens) AS BIGINT) AS tokens FROM summaries GROUP BY model""")
 def tokens(spark, sf):
-    return R.tokens_per_model(view(spark, sf, "summaries"))
+    return R.tokens_per_model(view(spark, sf, "summaries", "model", "tokens"))
 
 
 @query("G2_rolling_activity", "activity", oracle="""
@@ -200,5 +200,5 @@ WITH hours AS (
 SELECT bucket, window_start, window_start + INTERVAL 6 HOUR AS window_end, count(*) AS n_events,
  round(sum(duration), 4) AS total_s FROM hours GROUP BY bucket, window_start""")
 def rolling(spark, sf):
-    found = rolling_activity(view(spark, sf, "activity"), "6 hours", "1 hour")
+    found = rolling_activity(view(spark, sf, "activity", "bucket", "ts", "duration"), "6 hours", "1 hour")
     return found.withColumn("total_s", F.round("total_s", 4))

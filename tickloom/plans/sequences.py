@@ -89,14 +89,14 @@ SELECT id, device_id, ts, from_app, app AS to_app FROM (
  SELECT *, lag(app) OVER (PARTITION BY device_id ORDER BY ts, id) AS from_app FROM captures)
 WHERE from_app <> app""")
 def transitions(spark, sf):
-    return R.transitions(view(spark, sf, "captures"), slice_s=3 * DAY)
+    return R.transitions(view(spark, sf, "captures", "id", "device_id", "ts", "app"), slice_s=3 * DAY)
 
 
 @query("D13_transition_flag", "captures", oracle="""
 SELECT id, device_id, ts, app, coalesce(
  lag(app) OVER (PARTITION BY device_id ORDER BY ts, id) <> app, false) AS transition FROM captures""")
 def transition_flag(spark, sf):
-    rows = view(spark, sf, "captures").select("id", "device_id", "ts", "app")
+    rows = view(spark, sf, "captures", "id", "device_id", "ts", "app")
     return R.flag_transitions(rows, slice_s=3 * DAY)
 
 
@@ -127,7 +127,7 @@ walk AS (
 SELECT q.id, q.device_id, q.ts, q.app, q.title, q.url FROM walk w JOIN repeats q ON q.id = w.id
 WHERE w.keep""")
 def dedup_rules(spark, sf):
-    rows = view(spark, sf, "repeats").select("id", "device_id", "ts", "app", "title", "url", "text")
+    rows = view(spark, sf, "repeats", "id", "device_id", "ts", "app", "title", "url", "text")
     kept = D.dedup(rows, ["device_id", "app"], threshold=0, forced_snapshot_s=SNAPSHOT_S,
                    slice_s=SLICE_S)
     return kept.drop("text")
@@ -141,9 +141,7 @@ active AS (SELECT * FROM spans WHERE NOT is_idle),""" + kept_sql(
 SELECT q.id, q.device_id, q.ts, q.app, q.title, q.url FROM walk w JOIN repeats q ON q.id = w.id
 WHERE w.keep""")
 def dedup_per_epoch(spark, sf):
-    rows = view(spark, sf, "repeats").select(
-        "id", "device_id", "ts", "app", "title", "url", "text", "idle_s"
-    )
+    rows = view(spark, sf, "repeats", "id", "device_id", "ts", "app", "title", "url", "text", "idle_s")
     ticks = rows.select("id", "device_id", F.col("ts").alias("tick_ts"), "idle_s")
     epochs = idle.active_epochs(idle.idle_segments(ticks, slice_s=3 * DAY))
     active = rows.join(epochs.withColumnRenamed("tick_ts", "ts"), ["device_id", "ts"])
@@ -155,7 +153,7 @@ def dedup_per_epoch(spark, sf):
 @query("W1_dedup_full_rule")
 def dedup_full(spark, sf):
     """All rules, with text similarity, over the repeating sequences."""
-    rows = view(spark, sf, "repeats").drop("k")
+    rows = view(spark, sf, "repeats", "id", "device_id", "ts", "app", "title", "url", "text")
     return D.dedup(rows, ["device_id", "app"], forced_snapshot_s=SNAPSHOT_S, slice_s=SLICE_S)
 
 
@@ -198,7 +196,7 @@ after AS (SELECT device_id, count(*) AS n_kept, count(*) FILTER (WHERE a <> app)
 SELECT device_id, n_raw, n_kept, round(1 - n_kept / n_raw, 9) AS reduction, transitions_raw, transitions_kept
 FROM before JOIN after USING (device_id)""")
 def report(spark, sf):
-    raw = view(spark, sf, "repeats").select("id", "device_id", "ts", "app", "title", "url", "text")
+    raw = view(spark, sf, "repeats", "id", "device_id", "ts", "app", "title", "url", "text")
     kept = D.dedup(raw, ["device_id"], threshold=0, forced_snapshot_s=SNAPSHOT_S, slice_s=SLICE_S)
     counted = D.dedup_report(raw, kept, ["device_id"], slice_s=5 * DAY)
     return counted.withColumn("reduction", F.round("reduction", 9))

@@ -172,15 +172,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view by name."""
-    return shaped(table(spark, sf_dir, VIEWS[name][0]), name)
+def view(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """A view by name, with all of its columns or those named."""
+    return shaped(table(spark, sf_dir, VIEWS[name][0]), name, *columns)
 
 
-def shaped(df: DataFrame, name: str) -> DataFrame:
+def _named(expression: str) -> str:
+    return expression.rsplit(" AS ", 1)[-1]
+
+
+def shaped(df: DataFrame, name: str, *columns: str) -> DataFrame:
     """A given table, or a stream of it, in the shape of a view, with bounds
     and paths as the operators want them."""
-    _, expressions = VIEWS[name]
+    expressions = VIEWS[name][1]
+    if columns:
+        by_name = {_named(e): e for e in expressions}
+        expressions = [by_name[c] for c in columns]
     if any("{k}" in e for e in expressions):
         df = settle(df, _k=F.get_json_object("props", "$.k").cast("int"))
     df = df.selectExpr(*(e.format(**SPARK) for e in expressions))
@@ -192,7 +199,7 @@ def shaped(df: DataFrame, name: str) -> DataFrame:
                 F.col("bw").alias("Width"), F.col("bh").alias("Height"),
             ),
         ).drop("bx", "by_", "bw", "bh")
-    if name == "nodes":
+    if name == "nodes" and not columns:
         # The ancestors of heap node n are n/2, n/4, ...; the node ends the path.
         df = df.withColumn(
             "path",
