@@ -232,3 +232,12 @@ def test_match(spark):
 def test_dedup_keeps_input(spark):
     empty = captures(spark, []).selectExpr("1L AS device_id", "1L AS window_id", "1L AS id", "*", "'' AS url")
     assert dedup(empty).count() == 0
+
+
+def test_shared_folder_is_the_clusters(spark):
+    from tickloom.session import shared_folder, write_and_reread
+
+    folder = spark.conf.get("spark.checkpoint.dir")
+    assert shared_folder(spark) == folder
+    stored = write_and_reread(spark.range(3))
+    assert stored.count() == 3 and folder in stored.inputFiles()[0]

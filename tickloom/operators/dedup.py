@@ -25,10 +25,11 @@ class CaptureRule:
     threshold: float = S.SIMILARITY_THRESHOLD
     horizon_s: float = S.FORCED_SNAPSHOT_S
     _matchers: dict = field(default_factory=dict, repr=False, compare=False)
+    _answers: dict = field(default_factory=dict, repr=False, compare=False)
 
     # Texts arrive cut to the length that is compared.
     columns: ClassVar[list[str]] = ["_app", "_title", "_url", "_text"]
-    _REMEMBERED: ClassVar[int] = 64
+    _REMEMBERED: ClassVar[int] = 512
 
     def horizon_after(self, kept: tuple) -> float:
         return self.horizon_s
@@ -48,6 +49,16 @@ class CaptureRule:
         # Cheap upper bounds first: lengths, then letter counts.
         if 2.0 * min(len(new), len(last)) / (len(new) + len(last)) < self.threshold:
             return False
+        # Slices follow several states at once and so ask for a pair again.
+        answer = self._answers.get((new, last))
+        if answer is None:
+            answer = self._compare(new, last)
+            if len(self._answers) >= self._REMEMBERED:
+                self._answers.clear()
+            self._answers[new, last] = answer
+        return answer
+
+    def _compare(self, new: str, last: str) -> bool:
         matcher = self._matchers.get(last)
         if matcher is None:
             if len(self._matchers) >= self._REMEMBERED:

@@ -45,7 +45,7 @@ def shared_folder(spark: SparkSession) -> str:
     Only where none is named and the master is local does it fall back to a
     temporary folder, because no other machine could read that one.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
     master = spark.sparkContext.master
