@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -19,9 +21,6 @@ SETTINGS = {
 }
 
 
-_LOCAL_FOLDERS: dict[str, str] = {}
-
-
 def local_session(cores: str = "8", shuffle_partitions: int = 8, **extra: str) -> SparkSession:
     """A local session for tests and the bench; a cluster brings its own."""
     builder = (
@@ -32,6 +31,11 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, **extra: str) -
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
+    # One machine: any folder is a shared one. It goes with the process.
+    if "spark.checkpoint.dir" not in extra:
+        folder = tempfile.mkdtemp(prefix="tickloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        extra["spark.checkpoint.dir"] = folder
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -40,32 +44,46 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, **extra: str) -
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for intermediate tables: the cluster's checkpoint folder.
-
-    Only where none is named and the master is local does it fall back to a
-    temporary folder, because no other machine could read that one.
+    """Folder for intermediate tables: the one the cluster names in
+    ``spark.checkpoint.dir``. ``local_session`` sets one where none is named.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder
-    master = spark.sparkContext.master
-    if not master.startswith("local"):
+    if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_FOLDERS:
-        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="tickloom-")
-    return _LOCAL_FOLDERS[app]
+    return folder
+
+
+def stage_folder(spark: SparkSession) -> str:
+    """Where this application keeps its intermediate tables."""
+    return f"{shared_folder(spark).rstrip('/')}/tickloom-{spark.sparkContext.applicationId}"
+
+
+def clear_stages(spark: SparkSession) -> None:
+    """Delete the application's intermediate tables; results that read them end too."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(stage_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def write_and_reread(df: DataFrame) -> DataFrame:
     """Store ``df`` once in the shared folder and read it back.
 
-    Cuts the lineage: expensive Python stages are not run again for every
-    branch that reads the result, nor after an executor is lost.
+    Cuts the lineage: expensive stages are not run again for every branch that
+    reads the result, nor after an executor is lost. The shuffle files of the
+    write are of no use afterwards and are dropped at its end.
     """
-    path = os.path.join(shared_folder(df.sparkSession), f"stage-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{stage_folder(spark)}/stage-{uuid.uuid4().hex}"
+    before = spark.conf.get(_DROP_SHUFFLES, "false")
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_DROP_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 SPREAD_BELOW = 256 * 1024 * 1024
