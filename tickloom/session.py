@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -31,11 +32,6 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, **extra: str) -
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
-    # One machine: any folder is a shared one. It goes with the process.
-    if "spark.checkpoint.dir" not in extra:
-        folder = tempfile.mkdtemp(prefix="tickloom-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        extra["spark.checkpoint.dir"] = folder
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -45,11 +41,19 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, **extra: str) -
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder for intermediate tables: the one the cluster names in
-    ``spark.checkpoint.dir``. ``local_session`` sets one where none is named.
+    ``spark.checkpoint.dir``.
+
+    Where none is named, a session on one machine gets a folder that ends with
+    the process; any other must name one, since no other machine could read it.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
+    if folder:
+        return folder
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
+    folder = tempfile.mkdtemp(prefix="tickloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
@@ -106,3 +110,22 @@ def spread(df: DataFrame, below: int = SPREAD_BELOW) -> DataFrame:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if size < below else df
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once for an application.
+
+    Python stages then run on workers that have neither the package nor its path.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="tickloom-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = shutil.make_archive(f"{folder}/tickloom-code", "zip", root, "tickloom")
+    spark.sparkContext.addPyFile(path)
