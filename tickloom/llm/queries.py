@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import suffix_dedup, window_dedup
+from tickloom.llm import minhash, suffix_dedup, window_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,10 +23,15 @@ def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return window_dedup.cuts(_documents(spark, folder))
 
 
+def op9_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.groups(_documents(spark, folder))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
         op1_suffix_array_dedup,
         op8_substring_dedup,
+        op9_minhash_near_dedup,
     )
 }
 
