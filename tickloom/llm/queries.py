@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import minhash, suffix_dedup, window_dedup
+from tickloom.llm import minhash, mixing, quality_rules, suffix_dedup, window_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,10 @@ def op1_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.cuts(_documents(spark, folder))
 
 
+def op6_mixing_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.takes(_documents(spark, folder))
+
+
 def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return window_dedup.cuts(_documents(spark, folder))
 
@@ -27,11 +31,17 @@ def op9_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.groups(_documents(spark, folder))
 
 
+def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.judged(_documents(spark, folder))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
         op1_suffix_array_dedup,
+        op6_mixing_sources,
         op8_substring_dedup,
         op9_minhash_near_dedup,
+        op10_quality_rules,
     )
 }
 
