@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import minhash, mixing, quality_rules, suffix_dedup, window_dedup
+from tickloom.llm import language_id, minhash, mixing, quality_rules, suffix_dedup, window_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,10 @@ def op1_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.cuts(_documents(spark, folder))
 
 
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.identify(_documents(spark, folder))
+
+
 def op6_mixing_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.takes(_documents(spark, folder))
 
@@ -38,6 +42,7 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
         op1_suffix_array_dedup,
+        op2_language_id,
         op6_mixing_sources,
         op8_substring_dedup,
         op9_minhash_near_dedup,
