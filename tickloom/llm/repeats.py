@@ -5,13 +5,14 @@ occurs once in the corpus is dropped with all its windows; for most text this
 ends here, after one small row for each anchor. What is left is looked at in
 *blocks*, whole runs of windows with one anchor: all windows of a block are
 settled at once where the same block starts earlier. Only blocks that come
-first but share their seed with another block go to level 2, where substrings
-of ``(seed + window) / 2`` symbols on either side of the anchor are ranked by
-the pair (seed, rest), and to level 3, where the windows themselves are ranked
-by the pair (half, half). Each level drops what has become unique.
+first but share their seed with another block go on. At level 2 they are cut
+into runs of a few windows, which have nearly a whole window in common, their
+*core*; runs are ranked by the pair (seed, core) and settled in the same way.
+At level 3 the windows that are still open are ranked by the pair (core,
+window). Each level drops what has become unique.
 
-A rank is a 64-bit hash and always stands in a key together with the one of
-the level before, so that 128 bits decide.
+A rank is a 64-bit hash and always stands in a key together with another one,
+so that 128 bits decide.
 
 Rows of one group are only ever counted, or reduced to their least place:
 Spark combines them before the shuffle, and joins that look a group up can be
@@ -45,8 +46,9 @@ class Ladder:
     seed: int
 
     @property
-    def half(self) -> int:
-        return (self.window + self.seed) // 2
+    def run(self) -> int:
+        """Windows of a run at level 2."""
+        return max(1, (self.window - self.seed) // 8)
 
 
 def all_blocks(ladder: Ladder, codes: np.ndarray, bounds: np.ndarray) -> Blocks:
@@ -106,11 +108,11 @@ def _scan(ladder: Ladder, seeds_only: bool):
                 text, first = first_in_text(found, bounds)
                 own = np.flatnonzero(first == np.arange(len(first)))
                 if seeds_only:
-                    yield _arrow(("seed", found.seed[own]))
+                    yield _arrow(("outer", found.seed[own]))
                     continue
                 lo, text = found.first[own], text[own]
                 yield _arrow(
-                    ("seed", found.seed[own]), ("body", found.body[own]),
+                    ("outer", found.seed[own]), ("inner", found.body[own]),
                     ("doc_id", ids[piece.begin + text].astype(np.int64)),
                     ("place", places.pack(
                         lo - bounds[text], found.anchor[own] - lo, found.count[own])),
@@ -126,56 +128,55 @@ def listed(batch: pa.RecordBatch, piece: Piece) -> tuple[np.ndarray, np.ndarray]
     return lists.flatten().to_numpy().astype(np.int64), np.repeat(np.arange(len(size)), size)
 
 
-def _pairs(ladder: Ladder, windows: bool):
-    """Ranks of the halves of blocks, or of the windows in them."""
-    places, lead_in = Places(ladder), ladder.half - ladder.seed
+def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... for each range in turn."""
+    return np.arange(count.sum()) + np.repeat(start - np.cumsum(count) + count, count)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _ranks(ladder: Ladder, windows: bool):
+    """Ranks of the runs of blocks, or of the windows of runs."""
+    places, window, run = Places(ladder), ladder.window, ladder.run
+
+    def ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for piece in pieces(batch.column("text"), PIECE // 2):
                 codes, bounds = ladder.symbols(piece)
                 rolling = Rolling(codes)
                 place, text = listed(batch, piece)
-                doc = ids[piece.begin + text].astype(np.int64)
-                lo, lead, n = places.unpack(place)
-                at = bounds[text] + lo
-                if windows:
-                    left = lead >= lead_in
-                    yield from _windows(rolling, doc, lo, at, n, at + lead - lead_in * left, left)
-                    continue
-                # The first windows of a block hold the left half, the others the right one.
-                n_left = np.clip(lead - lead_in + 1, 0, n)
-                for left, skip, count in ((True, 0 * n, n_left), (False, n_left, n - n_left)):
-                    use = np.flatnonzero(count > 0)
-                    s = (at + lead)[use]
-                    yield _arrow(
-                        ("seed", mix(rolling.of(s, s + ladder.seed)).view(np.int64)),
-                        ("half", _half(rolling, s - lead_in * left, left)),
-                        ("doc_id", doc[use]),
-                        ("place", places.pack(
-                            (lo + skip)[use], (lead - skip)[use], count[use])),
-                    )
-
-    def _half(rolling, start, left):
-        h = rolling.of(start, start + ladder.half)
-        return mix(h + np.asarray(left).astype(U64)).view(np.int64)
-
-    def _windows(rolling, doc, lo, at, n, start, left):
-        half = _half(rolling, start, left)
-        for a in range(0, len(n), 10_000):
-            part = slice(a, a + 10_000)
-            count = n[part]
-            step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            first = np.repeat(at[part], count) + step
-            rank = mix(rolling.of(first, first + ladder.window))
-            yield _arrow(
-                ("half", np.repeat(half[part], count)), ("win", rank.view(np.int64)),
-                ("doc_id", np.repeat(doc[part], count)),
-                ("pos", np.repeat(lo[part], count) + step),
-            )
+                for a in range(0, len(place), 20_000):
+                    part = slice(a, a + 20_000)
+                    yield level(rolling, ids[piece.begin:], bounds, place[part], text[part])
+
+    def level(rolling, ids, bounds, place, text):
+        lo, lead, n = places.unpack(place)
+        if windows:
+            count, step = n, 1
+            skip = _ranges(0 * n, n)
+        else:
+            # A run holds the windows of one multiple of the distance to the anchor.
+            top, low = lead // run, (lead - n + 1) // run
+            count = top - low + 1
+            skip = np.maximum(np.repeat(lead + 1, count)
+                              - run * (np.repeat(top + 1, count) - _ranges(0 * top, count)), 0)
+        lo, lead, n, text = (np.repeat(x, count) for x in (lo, lead, n, text))
+        at, lead = bounds[text] + lo + skip, lead - skip
+        if windows:
+            n = np.ones_like(n)
+        else:
+            n = np.minimum(lead % run + 1, n - skip)
+        s = at + lead
+        seed = mix(rolling.of(s, s + ladder.seed))
+        first = s - lead // run * run
+        core = mix(seed + rolling.of(first, first + window - run + 1) * U64(BASE))
+        body = rolling.of(at, at + window + n - 1)
+        return _arrow(
+            ("outer", core.view(np.int64)),
+            ("inner", mix(body + (lead * window + n).astype(U64) * U64(BASE)).view(np.int64)),
+            ("doc_id", ids[text].astype(np.int64)),
+            ("place", places.pack(lo + skip, lead, n)))
 
-    return run
+    return ranks
 
 
 def with_places(docs: DataFrame, rows: DataFrame, how: str = "inner") -> DataFrame:
@@ -184,6 +185,20 @@ def with_places(docs: DataFrame, rows: DataFrame, how: str = "inner") -> DataFra
     return docs.join(by_doc, "doc_id", how)
 
 
+ROWS = "outer long, inner long, doc_id long, place long"
+
+
+def _judged(rows: DataFrame, within_texts: bool) -> DataFrame:
+    """Rows with an earlier equal one (``covered``) and first rows that share ``outer``."""
+    me = F.struct("doc_id", "place") if within_texts else F.col("doc_id")
+    classes = write_and_reread(rows.groupBy("outer", "inner").agg(F.min(me).alias("first")))
+    shared = classes.groupBy("outer").agg((F.count("*") > 1).alias("shared"))
+    return write_and_reread(
+        rows.join(classes.join(shared, "outer"), ["outer", "inner"])
+        .select("doc_id", "place", (me > F.col("first")).alias("covered"), "shared")
+        .where("covered OR shared"))
+
+
 def repeated_windows(docs: DataFrame, ladder: Ladder, within_texts: bool) -> DataFrame:
     """Places (doc_id, place) of windows that also start earlier.
 
@@ -192,41 +207,21 @@ def repeated_windows(docs: DataFrame, ladder: Ladder, within_texts: bool) -> Dat
     what is said of it holds for the others (see ``removed_windows``).
     """
     base = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    unit = ladder.window + 1
-
     seeds = write_and_reread(
-        base.mapInArrow(_scan(ladder, True), "seed long")
-        .groupBy("seed").count().where("count > 1").select("seed"))
-    found = write_and_reread(
-        base.mapInArrow(_scan(ladder, False), "seed long, body long, doc_id long, place long")
-        .join(seeds, "seed", "left_semi"))
-
-    classes = write_and_reread(
-        found.groupBy("seed", "body").agg(F.min("doc_id").alias("first")))
-    shared = classes.groupBy("seed").agg((F.count("*") > 1).alias("shared"))
-    judged = write_and_reread(
-        found.join(classes.join(shared, "seed"), ["seed", "body"])
-        .select("doc_id", "place", (F.col("doc_id") > F.col("first")).alias("covered"), "shared")
-        .where("covered OR shared"))
-
-    edges = judged.where("NOT covered").select("doc_id", "place")
-    halves = write_and_reread(
-        with_places(base, edges)
-        .mapInArrow(_pairs(ladder, False), "seed long, half long, doc_id long, place long"))
-    again = halves.groupBy("seed", "half").count().where("count > 1").select("seed", "half")
-    windows = write_and_reread(
-        with_places(base, halves.join(again, ["seed", "half"], "left_semi"))
-        .mapInArrow(_pairs(ladder, True), "half long, win long, doc_id long, pos long"))
-
-    if within_texts:
-        least, later = F.min(F.struct("doc_id", "pos")), F.struct("doc_id", "pos") > F.col("least")
-    else:
-        least, later = F.min("doc_id"), F.col("doc_id") > F.col("least")
-    first = windows.groupBy("half", "win").agg(F.count("*").alias("copies"), least.alias("least"))
-    single = (
-        windows.join(first.where("copies > 1"), ["half", "win"]).where(later)
-        .select("doc_id", (F.col("pos") * unit * unit + 1).alias("place")))
-    return judged.where("covered").select("doc_id", "place").unionByName(single)
+        base.mapInArrow(_scan(ladder, True), "outer long")
+        .groupBy("outer").count().where("count > 1").select("outer"))
+    blocks_ = write_and_reread(
+        base.mapInArrow(_scan(ladder, False), ROWS).join(seeds, "outer", "left_semi"))
+    # Equal blocks of one text are one row here, so the least doc_id is enough.
+    level = _judged(blocks_, False)
+    covered = [level]
+    for windows in (False, True):
+        edges = level.where("NOT covered").select("doc_id", "place")
+        rows = write_and_reread(with_places(base, edges).mapInArrow(_ranks(ladder, windows), ROWS))
+        level = _judged(rows, within_texts)
+        covered.append(level)
+    found = [x.where("covered").select("doc_id", "place") for x in covered]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 def removed_windows(
@@ -246,12 +241,11 @@ def removed_windows(
     if not len(again):
         return marked
     count = found.count[again]
-    inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    to = np.repeat(found.first[again], count) + inner
+    to = _ranges(found.first[again], count)
     if within_texts:
         marked[to] = True
     else:
-        marked[to] = marked[np.repeat(found.first[origin[again]], count) + inner]
+        marked[to] = marked[_ranges(found.first[origin[again]], count)]
     return marked
 
 
