@@ -64,9 +64,8 @@ def test_groups_equal_all_pairs(spark):
 
 
 def test_small_cells(spark, monkeypatch):
-    """Bands larger than a cell, without the step that joins most members first."""
+    """Bands larger than a cell."""
     monkeypatch.setattr(minhash, "CELL", 4)
-    monkeypatch.setattr(minhash, "LEADERS", 1)
     rows = corpus()
     got = {r[0]: tuple(r[1:]) for r in minhash.groups(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == brute(rows)

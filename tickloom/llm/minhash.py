@@ -6,12 +6,12 @@ of similarity 0.8 share no band with probability 5e-8. Pairs are first verified
 on the signatures (those that agree on fewer than 62 % cannot be links but with
 probability 2e-7), then on the full sets.
 
-A band value shared by many classes is not expanded into pairs:
-
-1. every class is compared with the least class of each of its bands,
-2. classes outside the largest component of a band with eight of that component,
-3. what still lies in different components of one band with each other, in
-   cells of bounded size. Nothing is capped: step 3 covers all that is left.
+A band value shared by many classes is not expanded into pairs. Every class is
+first compared with the least class of each of its bands. Then bands that still
+hold several components are looked at: those with the same largest component
+are taken together, and their classes are compared across components inside
+tasks, in cells of bounded size. A task only returns links, and stops comparing
+what it has already joined. Nothing is capped.
 
 Results for unusual rows: NULL and empty texts have no shingles and link with
 nothing; so do rows with NULL doc_id, whose component is NULL and which are
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tickloom.llm.anchors import BASE, U64, mix
 from tickloom.llm.components import components
@@ -37,8 +37,10 @@ SHINGLE = 4
 PERCENT = 80
 #: Least share of equal minima for a pair to be looked at on full sets.
 ESTIMATE = 0.62
-LEADERS = 8
+#: Classes of a block; a cell compares two blocks.
 CELL = 2000
+#: Low bits of shingles that are looked up first.
+_LOW = 1 << 20
 
 _RANDOM = np.random.default_rng(20240607)
 _A = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * U64(2) + U64(1)
@@ -142,51 +144,82 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b")):
-                a, b = (np.frombuffer(v.as_py(), U64) for v in (x, y))
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                good.append(100 * both >= percent * (len(a) + len(b) - both))
+            good = [_linked(np.frombuffer(x.as_py(), U64), np.frombuffer(y.as_py(), U64), percent)
+                    for x, y in zip(batch.column("set_a"), batch.column("set_b"))]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return run
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Likely pairs across components of one cell; its rows follow each other."""
-
-    def pairs(rows: list[tuple]):
-        node, comp, side, sign = zip(*rows)
-        node, comp, side = np.array(node), np.array(comp), np.array(side)
-        sign = np.frombuffer(b"".join(sign), np.uint8).reshape(len(rows), -1)
-        out = []
-        for i in np.flatnonzero(side != 1):
-            # side 0: a cell of one block with itself; 2 and 1: of two blocks.
-            other = np.flatnonzero((comp != comp[i]) & (
-                (side == 1) if side[i] == 2 else (node > node[i])))
-            if len(other):
-                like = other[(sign[other] == sign[i]).mean(axis=1) >= ESTIMATE]
-                out += [(min(node[i], node[j]), max(node[i], node[j])) for j in like]
-        return out
-
-    held, rows = None, []
-    for batch in batches:
-        found = []
-        for key, row in zip(
-            zip(*(batch.column(c).to_pylist() for c in ("band", "i", "j"))),
-            zip(*(batch.column(c).to_pylist() for c in ("node", "component", "side", "sign"))),
-        ):
-            if key != held and rows:
-                found += pairs(rows)
-                rows = []
-            held = key
-            rows.append(row)
-        yield _pair_batch(found)
-    if rows:
-        yield _pair_batch(pairs(rows))
-
-
-def _pair_batch(found: list[tuple]) -> pa.RecordBatch:
+class _Cell:
+    """Classes of one cell: compares those of different components."""
+
+    def __init__(self, rows: list[tuple], percent: int):
+        self.percent = percent
+        node, component, asks, sign, sets = zip(*rows)
+        self.node, self.asks = np.array(node), np.array(asks, bool)
+        _, self.root = np.unique(np.array(component), return_inverse=True)
+        self.sign = np.frombuffer(b"".join(sign), np.uint8).reshape(len(rows), -1)
+        self.sets = [np.frombuffer(x, U64) for x in sets]
+        self.size = np.array([len(x) for x in self.sets])
+        self.start = np.cumsum(self.size) - self.size
+        self.low = (np.concatenate(self.sets) & U64(_LOW - 1)).astype(np.int32)
+
+    def links(self) -> Iterator[tuple[int, int]]:
+        seen = np.zeros(_LOW, bool)
+        for i in np.flatnonzero(self.asks):
+            other = np.flatnonzero(~self.asks & (self.root != self.root[i]))
+            if not len(other):
+                continue
+            alike = (self.sign[other] == self.sign[i]).mean(axis=1)
+            other, alike = other[alike >= ESTIMATE], alike[alike >= ESTIMATE]
+            if not len(other):
+                continue
+            # Equal low bits bound the intersection from above.
+            mine = self.low[self.start[i]:self.start[i] + self.size[i]]
+            seen[mine] = True
+            n = self.size[other]
+            at = np.repeat(self.start[other] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            bound = np.add.reduceat(seen[self.low[at]].astype(np.int64), np.cumsum(n) - n)
+            seen[mine] = False
+            able = 100 * bound >= self.percent * (n + self.size[i] - bound)
+            for j in other[able][np.argsort(-alike[able], kind="stable")]:
+                if self.root[j] != self.root[i] and _linked(
+                        self.sets[i], self.sets[j], self.percent):
+                    self.root[self.root == self.root[j]] = self.root[i]
+                    yield int(self.node[i]), int(self.node[j])
+
+
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def _cells(percent: int):
+    """Links across components; the rows of a cell follow each other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = None, []
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for key, row in zip(
+                zip(*(batch.column(c).to_pylist() for c in ("main", "i", "j"))),
+                zip(*(batch.column(c).to_pylist()
+                      for c in ("node", "component", "asks", "sign", "shingles"))),
+            ):
+                if key != held and rows:
+                    found += _Cell(rows, percent).links()
+                    rows = []
+                held = key
+                rows.append(row)
+            yield _pair_batch(found)
+        if rows:
+            yield _pair_batch(list(_Cell(rows, percent).links()))
+
+    return run
+
+
+def _pair_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
@@ -216,73 +249,63 @@ class _Search:
             base.withColumnRenamed("doc_id", "node").join(used, "node", "left_semi")
             .dropDuplicates(["node"]).withColumnRenamed("node", "doc_id")
             .mapInArrow(_sets(size), "node long, shingles binary"))
-        self.links = None
 
-    def verified(self, pairs: DataFrame, signed: bool = False) -> DataFrame:
+    def verified(self, pairs: DataFrame) -> DataFrame:
         pairs = pairs.distinct()
-        for side in () if signed else ("a", "b"):
+        for side in ("a", "b"):
             pairs = pairs.join(self.nodes.select(
                 F.col("node").alias(side), F.col("sign").alias(f"sign_{side}")), side)
-        if not signed:
-            pairs = write_and_reread(pairs.mapInArrow(_likely, "a long, b long"))
+        pairs = write_and_reread(pairs.mapInArrow(_likely, "a long, b long"))
         for side in ("b", "a"):
             pairs = pairs.join(self.sets.select(
                 F.col("node").alias(side), F.col("shingles").alias(f"set_{side}")), side)
         return pairs.mapInArrow(_confirm(self.percent), "a long, b long")
 
-    def add(self, pairs: DataFrame, signed: bool = False) -> DataFrame:
-        """Verify and add pairs; the components so far."""
-        found = self.verified(pairs, signed)
-        if self.links is not None:
-            found = self.links.unionByName(found)
-        self.links = write_and_reread(found)
-        # The tree of the components says as much as all links.
-        self.tree = components(self.links)
-        self.links = self.tree.where("node <> component").select(
-            F.col("node").alias("a"), F.col("component").alias("b"))
-        return self.tree
-
-    def open_bands(self) -> DataFrame:
-        """Members of bands that still hold several components."""
-        placed = (
-            self.bands.select("band", "node").join(self.tree, "node", "left")
-            .withColumn("component", F.coalesce("component", "node")))
-        several = placed.groupBy("band").agg(
-            F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")
-        ).where("x <> y").select("band", "n")
-        return write_and_reread(placed.join(several, "band"))
-
     def run(self) -> DataFrame:
-        self.add(self.bands.where("node <> head").select(
-            F.col("head").alias("a"), F.col("node").alias("b")))
-
-        rows = self.open_bands()
-        parts = rows.groupBy("band", "component").agg(F.count("*").alias("size"))
-        largest = parts.groupBy("band").agg(
-            F.max(F.struct("size", "component")).alias("top")).where("top.size > 1").select(
-            "band", F.col("top.component").alias("main"))
-        sided = rows.join(largest, "band")
-        rank = F.xxhash64("node")
-        picks = sided.where("component = main").groupBy("band", F.pmod(rank, F.lit(LEADERS))).agg(
-            F.min("node").alias("a")).select("band", "a")
-        self.add(sided.where("component <> main").select("band", F.col("node").alias("b"))
-                 .join(picks, "band").select("a", "b"))
-
-        rows = self.open_bands()
-        blocks = F.ceil(F.col("n") / CELL).cast("long")
-        mine = F.pmod(F.xxhash64("node"), blocks)
-        spread = rows.withColumn("mine", mine).withColumn(
-            "other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-        cells = spread.select(
-            "band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
-            "node", "component",
-            F.when(F.col("mine") == F.col("other"), 0)
-            .when(F.col("mine") < F.col("other"), 2).otherwise(1).alias("side"))
-        lower_bytes = self.nodes.mapInArrow(_narrow, "node long, sign binary")
-        pairs = (
-            cells.join(lower_bytes, "node").repartition("band", "i", "j")
-            .sortWithinPartitions("band", "i", "j").mapInArrow(_cells, "a long, b long"))
-        return self.add(write_and_reread(pairs.distinct()), signed=True)
+        """(node, component) of every node that has a link."""
+        links = write_and_reread(self.verified(self.bands.where("node <> head").select(
+            F.col("head").alias("a"), F.col("node").alias("b"))))
+        tree = components(links)
+
+        # Bands that still hold several components, by the largest of them.
+        placed = self.bands.select("band", "node").join(tree, "node", "left").withColumn(
+            "component", F.coalesce("component", "node"))
+        parts = placed.groupBy("band", "component").agg(F.count("*").alias("size"))
+        several = parts.groupBy("band").agg(
+            F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("parts")
+        ).where("parts > 1").select("band", F.col("top.component").alias("main"))
+        rows = write_and_reread(
+            placed.join(several, "band").select("main", "node", "component").distinct())
+
+        # Classes outside the largest component ask all members; a cell is a
+        # block of those that ask and a block of members.
+        outside = F.col("component") != F.col("main")
+        sizes = rows.groupBy("main").agg(
+            F.ceil(F.count("*") / CELL).cast("long").alias("blocks"),
+            F.ceil(F.count_if(outside) / CELL).cast("long").alias("asking"))
+        sized = rows.join(sizes, "main")
+
+        def block(n: str) -> Column:
+            return F.pmod(F.xxhash64("node"), F.col(n))
+
+        def every(n: str) -> Column:
+            return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+        members = sized.select("main", every("asking").alias("i"), block("blocks").alias("j"),
+                               "node", "component", F.lit(False).alias("asks"))
+        askers = sized.where(outside).select(
+            "main", block("asking").alias("i"), every("blocks").alias("j"),
+            "node", "component", F.lit(True).alias("asks"))
+        cells = members.unionByName(askers)
+        more = (
+            cells.join(self.nodes.mapInArrow(_narrow, "node long, sign binary"), "node")
+            .join(self.sets, "node").repartition("main", "i", "j")
+            .sortWithinPartitions("main", "i", "j")
+            .mapInArrow(_cells(self.percent), "a long, b long"))
+        # The tree says as much as the links it was made of.
+        known = tree.where("node <> component").select(
+            F.col("node").alias("a"), F.col("component").alias("b"))
+        return components(known.unionByName(more))
 
 
 def _narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
