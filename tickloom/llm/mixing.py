@@ -226,7 +226,8 @@ class Mix:
             "shard long, number int, slot long, turn long, block long, words long")
         begin = F.greatest("start", F.col("block") * block)
         stop = F.least("end", F.col("block") * block + F.col("words"))
-        self.parts = slots.join(blocks, ["number", "block"]).select(
+        # Spark takes the slots for as few as the groups; they must not be broadcast.
+        self.parts = slots.hint("merge").join(blocks, ["number", "block"]).select(
             "number", "bucket", "row", "doc_id", "copy", "shard", "slot", "turn",
             (begin - F.col("start")).alias("begin"), (stop - F.col("start")).alias("end"),
         ).where("end > begin")
