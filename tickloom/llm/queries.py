@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickloom.llm import language_id, minhash, mixing, quality_rules, suffix_dedup, window_dedup
+from tickloom.llm import (
+    language_id, minhash, mixing, quality_rules, sentence_pieces, site_quality, suffix_dedup,
+    toxicity, vantage, window_dedup,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +18,10 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def _labels(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/labels.parquet")
+
+
 def op1_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.cuts(_documents(spark, folder))
 
@@ -23,10 +30,28 @@ def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.identify(_documents(spark, folder))
 
 
+def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return site_quality.scored(site_quality.by_source(_documents(spark, folder)), _labels(spark, folder))
+
+
+def op4_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return sentence_pieces.checked(_documents(spark, folder))
+
+
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.scored(_documents(spark, folder), _labels(spark, folder))
+
+
 def op6_mixing_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.takes(_documents(spark, folder))
 
 
+def op7_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet").select(
+        F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return vantage.nearest(vectors, F.col("id") % 20 == 0)
+
+
 def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return window_dedup.cuts(_documents(spark, folder))
 
@@ -41,12 +66,9 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
-        op1_suffix_array_dedup,
-        op2_language_id,
-        op6_mixing_sources,
-        op8_substring_dedup,
-        op9_minhash_near_dedup,
-        op10_quality_rules,
+        op1_suffix_array_dedup, op2_language_id, op3_quality_classifier, op4_sentencepiece,
+        op5_toxicity, op6_mixing_sources, op7_nearest_neighbours, op8_substring_dedup,
+        op9_minhash_near_dedup, op10_quality_rules,
     )
 }
 
