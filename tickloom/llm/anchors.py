@@ -21,7 +21,7 @@ U64 = np.uint64
 #: Odd, so that it has an inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 #: Symbols handled at once; it bounds the memory of a task.
-PIECE = 1 << 19
+PIECE = 1 << 18
 _ORDER_BITS = 20
 
 
