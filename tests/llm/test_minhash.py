@@ -56,10 +56,10 @@ def corpus():
 def test_groups_equal_all_pairs(spark):
     rows = corpus()
     df = spark.createDataFrame(rows, SCHEMA).repartition(7)
-    got = {r[0]: tuple(r[1:]) for r in minhash.groups(df).collect()}
+    got = {r[0]: tuple(r[1:]) for r in minhash.groups(df, size=4).collect()}
     want = brute(rows)
     assert got == want
-    kept = {r["doc_id"] for r in minhash.dedup(df).collect()}
+    kept = {r["doc_id"] for r in minhash.dedup(df, size=4).collect()}
     assert kept == {i for i, w in want.items() if w[2]}
 
 
@@ -67,7 +67,7 @@ def test_small_cells(spark, monkeypatch):
     """Bands larger than a cell."""
     monkeypatch.setattr(minhash, "CELL", 4)
     rows = corpus()
-    got = {r[0]: tuple(r[1:]) for r in minhash.groups(spark.createDataFrame(rows, SCHEMA)).collect()}
+    got = {r[0]: tuple(r[1:]) for r in minhash.groups(spark.createDataFrame(rows, SCHEMA), size=4).collect()}
     assert got == brute(rows)
 
 
@@ -75,7 +75,7 @@ def test_unusual_rows(spark):
     text = "a b c d e f g"
     rows = [(None, text, None, None), (3, text, None, None), (3, text, None, None), (5, text, None, None)]
     df = spark.createDataFrame(rows, SCHEMA)
-    got = sorted(((r[0] or 0), r[2] or 0, r[3]) for r in minhash.groups(df).collect())
+    got = sorted(((r[0] or 0), r[2] or 0, r[3]) for r in minhash.groups(df, size=4).collect())
     assert got == [(0, 0, True), (3, 3, True), (3, 3, True), (5, 3, False)]
     assert minhash.groups(spark.createDataFrame([], SCHEMA)).count() == 0
 

@@ -33,7 +33,7 @@ from tickloom.llm.texts import Piece, lower, pieces, word_hashes, words
 from tickloom.session import write_and_reread
 
 BANDS, ROWS = 32, 4
-SHINGLE = 4
+SHINGLE = 5
 PERCENT = 80
 #: Least share of equal minima for a pair to be looked at on full sets.
 ESTIMATE = 0.62

@@ -57,7 +57,7 @@ def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return minhash.groups(_documents(spark, folder))
+    return minhash.groups(_documents(spark, folder), size=4, percent=80)
 
 
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
