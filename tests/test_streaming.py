@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from tickloom.operators.windows import panes_json
-from tickloom.plans.batch_loop import run_loop
+from tickloom.plans.batch_loop import CaptureLoop
 from tickloom.streaming.capture_loop import INPUT, loop_rows, run_stream, start_loop
 from tickloom.streaming.rolling import rolling_activity
 
@@ -69,7 +69,7 @@ def test_stream_equals_batch(spark, tmp_path):
     query.awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).filter("device_id <> 99")
 
-    want = run_loop(tdf, odf)
+    want = CaptureLoop(tdf, odf)
     cols = ["id", "device_id", "ts", "app", "title", "text", "url", "filtered", "window_id"]
     assert _rows(got.filter("kind = 'capture'"), cols) == _rows(want.captures, cols)
     assert _rows(got.filter("kind = 'layout'"), ["device_id", "ts", "panes"]) == _rows(

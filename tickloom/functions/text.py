@@ -144,8 +144,9 @@ def normalise_text(text: Column) -> Column:
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents, as words are compared in search."""
-    return F.translate(F.lower(text), ACCENTED, PLAIN)
+    """Lower case without accents, as words are compared in search; accents that
+    are characters of their own go too."""
+    return F.translate(F.lower(F.regexp_replace(text, r"\p{M}+", "")), ACCENTED, PLAIN)
 
 
 def tokens(text: Column) -> Column:

@@ -29,6 +29,7 @@ class CaptureRule:
 
     # Texts arrive cut to the length that is compared.
     columns: ClassVar[list[str]] = ["_app", "_title", "_url", "_text"]
+    cuts: ClassVar[list[str]] = ["_app", "_title"]
     _REMEMBERED: ClassVar[int] = 512
 
     def horizon_after(self, kept: tuple) -> float:
@@ -77,7 +78,7 @@ def dedup(
     threshold: float = S.SIMILARITY_THRESHOLD,
     forced_snapshot_s: float = S.FORCED_SNAPSHOT_S,
     max_compare: int = S.MAX_TEXT_COMPARE,
-    slice_s: float = S.SLICE_S,
+    slice_s: float = S.RECURRENCE_SLICE_S,
 ) -> DataFrame:
     """The captures left after dropping near-duplicates of the last kept one.
 

@@ -1,23 +1,32 @@
 """Keep-or-drop against the last *kept* row, in parallel.
 
 The decision for a row depends on which earlier row was kept last, so it is a
-recurrence and no window function expresses it. What makes it parallel is the
-horizon: a row that comes ``horizon`` seconds or more after the last kept one
-is always kept. Hence
-
-* a sequence is cut into time slices, each decided in one streaming pass over
-  a sorted partition (no group is ever loaded whole);
-* a slice also receives the rows of the last two horizons before it (the
-  *lead-in*). From these the pass works out every state the sequence can be in
-  when the slice starts, and follows all of them at once. States that keep the
-  same row become one, and mostly only one is left after a row or two;
-* a row kept under all states is certain. A row kept under some of them is
-  written with those states, and a small second pass over ids alone picks the
-  state that really occurred.
-
-Two horizons are enough: a state older than that is either replaced inside the
-lead-in, or the slice starts after a silence of one horizon and then its first
-row is kept under any state.
+recurrence and no window function expresses it. Two facts make it parallel:
+
+* Some rows are kept whatever was kept before: the first of a sequence, one that
+  comes ``horizon`` seconds or more after the row before it, and one that differs
+  from the row before it in a column in which a dropped row never differs from
+  the last kept one (``Rule.cuts``). At these *cuts* a sequence falls into runs
+  that know nothing of each other. Cuts are found on narrow rows, without the
+  texts.
+* A row that comes ``horizon`` seconds or more after the last kept one is always
+  kept, so what was kept long ago does not matter.
+
+A sequence is cut into time slices. A run that crosses a boundary goes to the
+slice it began in, so that every slice starts with a certain row and is decided
+in one streaming pass over a sorted partition; no group is ever loaded whole.
+
+Only a run without any cut for more than ``longest`` slices is divided. Each
+further slice of it (an *open* one) then also receives the rows of the last two
+horizons before it, the *lead-in*. From these the pass works out every state the
+sequence can be in when the slice starts, and follows all of them until they
+merge. A row kept under some of them is written with those states, and a small
+second pass over ids alone picks the state that really occurred. Two horizons
+are enough: a state older than that is either replaced inside the lead-in, or
+the slice starts after a silence of one horizon and then its first row is kept
+under any state.
+
+Rows without a timestamp have no place in a sequence; they are all kept.
 """
 
 from __future__ import annotations
@@ -27,10 +36,10 @@ from collections.abc import Iterator, Sequence
 from typing import Any, Protocol
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tickloom import settings as S
-from tickloom.operators.sequence import Order, slice_of
+from tickloom.operators.sequence import Order, slice_of, with_earlier
 from tickloom.session import write_and_reread
 
 _SLICE, _LEAD, _MICROS, _ONLY_IF = "_slice", "_lead_in", "_micros", "_only_if"
@@ -41,6 +50,8 @@ class Rule(Protocol):
     row in these columns, as a tuple, are its content."""
 
     columns: Sequence[str]
+    #: Of these, the ones in which a dropped row never differs from the last kept one.
+    cuts: Sequence[str]
     horizon_s: float
 
     def horizon_after(self, kept: tuple) -> float:
@@ -196,33 +207,74 @@ def _follow(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.R
         )
 
 
+def _heads(
+    df: DataFrame, keys: list[str], order: Order, rule: Rule, slice_s: float, longest: int
+) -> DataFrame:
+    """Per sequence and slice: its first cut, the last slice before it that has
+    one, and whether the rows before its first cut are an open slice."""
+    seen = with_earlier(
+        df.select(*keys, order.ts, order.tie, *rule.cuts), keys, order,
+        previous={"_before": F.struct(F.col(order.ts).alias("ts"), *rule.cuts)}, slice_s=slice_s,
+    )
+    gap = F.unix_micros(order.ts) - F.unix_micros("_before.ts") >= F.lit(
+        int(rule.horizon_s * 1_000_000))
+    cut = F.col("_before").isNull() | gap
+    for c in rule.cuts:
+        cut = cut | ~F.col(c).eqNullSafe(F.col("_before")[c])
+    place = F.struct(F.unix_micros(order.ts).alias("micros"), F.col(order.tie).alias("tie"))
+    first = seen.groupBy(*keys, slice_of(F.col(order.ts), slice_s).alias("_home")).agg(
+        F.min(F.when(cut, place)).alias("_cut"))
+    before = Window.partitionBy(*keys).orderBy("_home").rowsBetween(Window.unboundedPreceding, -1)
+    owner = F.last(F.when(F.col("_cut").isNotNull(), F.col("_home")), True).over(before)
+    return first.withColumn("_owner", owner).withColumn(
+        "_open", F.coalesce(F.col("_home") - F.col("_owner") > longest, F.lit(False)))
+
+
+def _same(keys: list[str], other: str) -> list[Column]:
+    return [F.col(k).eqNullSafe(F.col(f"{other}{k}")) for k in keys]
+
+
 def keep_against_last(
     df: DataFrame,
     keys: Sequence[str],
     order: Order,
     rule: Rule,
-    slice_s: float = S.SLICE_S,
+    slice_s: float = S.RECURRENCE_SLICE_S,
+    longest: int = 7,
 ) -> DataFrame:
     """The rows of ``df`` that ``rule`` keeps, per sequence ``keys``.
 
     ``order.tie`` must be a BIGINT that makes (ts, tie) unique in a sequence.
-    The decided rows are stored once in the shared folder, so that the Python
-    pass over all texts runs a single time.
+    ``slice_s`` is two horizons at least. The decided rows are stored once in
+    the shared folder, so that the Python pass over all texts runs a single time.
     """
     keys, payload = list(keys), df.columns
     horizon = rule.horizon_s
-    slice_s = max(slice_s, 2 * horizon)
+    if slice_s < 2 * horizon:
+        raise ValueError(f"slice_s must be two horizons at least, {2 * horizon} seconds")
+    nowhere = df.where(F.col(order.ts).isNull())
+    df = df.where(F.col(order.ts).isNotNull())
+    heads = write_and_reread(_heads(df, keys, order, rule, slice_s, longest))
+    named = heads.select(
+        *(F.col(k).alias(f"_h{k}") for k in keys), F.col("_home").alias("_hhome"), "_cut", "_owner", "_open")
     home = slice_of(F.col(order.ts), slice_s)
-    lead_to = F.floor(
-        (F.unix_micros(F.col(order.ts)) + F.lit(int(2 * horizon * 1_000_000)))
-        / F.lit(int(slice_s * 1_000_000))
-    )
+    placed = df.withColumn("_home", home).withColumn(_MICROS, F.unix_micros(F.col(order.ts)))
+    here = placed.join(named, [*_same(keys, "_h"), F.col("_home") == F.col("_hhome")])
+    early = F.col("_cut").isNull() | (
+        F.struct(F.col(_MICROS).alias("micros"), F.col(order.tie).alias("tie")) < F.col("_cut"))
+    # Two units to a slice: what is open, and what starts with a cut.
+    unit = (
+        F.when(early & F.col("_open"), 2 * F.col("_home"))
+        .when(early, 2 * F.col("_owner") + 1).otherwise(2 * F.col("_home") + 1))
+    columns = [*payload, _MICROS]
+    own = here.select(*columns, unit.alias(_SLICE), F.lit(False).alias(_LEAD))
+    reach = F.floor(
+        (F.col(_MICROS) + F.lit(int(2 * horizon * 1_000_000))) / F.lit(int(slice_s * 1_000_000)))
+    leads = placed.where(reach > F.col("_home")).join(
+        named.where("_open"), [*_same(keys, "_h"), F.col("_home") + 1 == F.col("_hhome")]
+    ).select(*columns, (2 * F.col("_hhome")).alias(_SLICE), F.lit(True).alias(_LEAD))
     sliced = (
-        df.withColumn("_home", home)
-        .withColumn(_SLICE, F.explode(F.sequence("_home", lead_to)))
-        .withColumn(_LEAD, F.col(_SLICE) != F.col("_home"))
-        .withColumn(_MICROS, F.unix_micros(F.col(order.ts)))
-        .drop("_home")
+        own.unionByName(leads)
         .repartition(*keys, _SLICE)
         .sortWithinPartitions(*keys, _SLICE, F.col(_LEAD).desc(), _MICROS, order.tie)
     )
@@ -276,4 +328,4 @@ def keep_against_last(
     ]
     settled = open_rows.join(found, same_row, "left_semi")
     certain = decided.filter(F.col(_ONLY_IF).isNull())
-    return certain.select(*payload).unionByName(settled.select(*payload))
+    return certain.select(*payload).unionByName(settled.select(*payload)).unionByName(nowhere)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -9,15 +10,31 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tickloom import settings as S
 from tickloom.functions.settle import settle
 from tickloom.functions.text import fold, tokens
-from tickloom.session import spread
+from tickloom.session import write_and_reread
 
 # Fixed values of the BM25 ranking.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
 def _units(terms: Sequence[str]) -> list[tuple[str, bool]]:
-    """(word, is prefix) for each query term; ``word*`` is a prefix."""
-    return [(t[:-1], True) if t.endswith("*") else (t, False) for t in terms]
+    """(word, is prefix) for each word of the query. A term may hold several
+    words, as users type them; all are wanted. ``word*`` is a prefix."""
+    units: list[tuple[str, bool]] = []
+    for term in terms:
+        word = ""
+        for char in unicodedata.normalize("NFC", term) + " ":
+            kind = unicodedata.category(char)[0]
+            if kind in "LNM":
+                word += char
+                continue
+            if word:
+                units.append((word, char == "*"))
+            word = ""
+    return units
+
+
+def _nothing(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("rank", F.lit(0.0)).limit(0)
 
 
 def _folded(word: str) -> Column:
@@ -42,7 +59,7 @@ def _bm25(frequency: Column, containing: Column, n_docs: Column, length: Column,
 def corpus_stats(docs: DataFrame, text: str = "summary") -> DataFrame:
     """Number of documents and their average length in words: one row."""
     length = F.size(tokens(F.coalesce(F.col(text), F.lit(""))))
-    return spread(docs.select(text)).agg(F.count(F.lit(1)).alias("n_docs"), F.avg(length).alias("avg_len"))
+    return docs.select(text).agg(F.count(F.lit(1)).alias("n_docs"), F.avg(length).alias("avg_len"))
 
 
 def document_frequency(postings: DataFrame) -> DataFrame:
@@ -56,10 +73,13 @@ def search(
     """Rows that contain all terms, best first (the lower ``rank`` the better).
 
     Counts words inside each row, so the texts are not shuffled: one pass for
-    the corpus figures, which is one row, and one for the hits.
+    the corpus figures, which is one row, and one for the hits. Without any word
+    in ``terms`` nothing is found.
     """
     units = _units(terms)
-    words = settle(spread(docs), _words=tokens(F.coalesce(F.col(text), F.lit(""))))
+    if not units:
+        return _nothing(docs)
+    words = settle(docs, _words=tokens(F.coalesce(F.col(text), F.lit(""))))
     counted = settle(
         words,
         _len=F.size("_words"),
@@ -98,7 +118,7 @@ def build_postings(docs: DataFrame, text: str = "summary") -> DataFrame:
     is one row per document and word.
     """
     words = settle(
-        spread(docs.select(F.col("id").alias("doc_id"), text)),
+        docs.select(F.col("id").alias("doc_id"), text),
         _words=tokens(F.coalesce(F.col(text), F.lit(""))),
     )
     return (
@@ -134,17 +154,20 @@ def search_postings(
     terms: Sequence[str],
     limit: int = S.SEARCH_LIMIT,
 ) -> DataFrame:
-    """``search`` over the index. Reads the postings of the query's terms only.
+    """``search`` over the index. Reads the postings of the query's terms only,
+    once: what they say of each document is stored, as counts, and then ranked.
 
     ``stats`` is ``corpus_stats`` of the documents (one row).
     """
     units = _units(terms)
+    if not units:
+        return _nothing(docs)
     matches = [_matcher(*unit)(F.col("term")) for unit in units]
     wanted = matches[0]
     for match in matches[1:]:
         wanted = wanted | match
     # Word counts per document and unit; a prefix counts all its words.
-    per_doc = (
+    per_doc = write_and_reread(
         postings.filter(wanted)
         .groupBy("doc_id", "doc_len")
         .agg(*(
@@ -174,6 +197,6 @@ def search_postings(
         .limit(limit)
     )
     # At most ``limit`` rows meet the documents.
-    found = docs.join(F.broadcast(top) if limit <= 100_000 else top, "id")
+    found = docs.join(top, "id")
     return found.select(*docs.columns, "rank").orderBy("rank", "id")
 

@@ -14,7 +14,6 @@ from tickloom.operators.last_kept import keep_against_last
 from tickloom.operators.sequence import (
     Order, asof_join, segments, trailing_window, with_earlier,
 )
-from tickloom.session import write_and_reread
 
 DEVICE = ["device_id"]
 
@@ -136,6 +135,7 @@ class CooldownRule:
     cooldown_s: float = S.COOLDOWN_S
     dismissed_s: float = S.COOLDOWN_DISMISSED_S
     columns: ClassVar[list[str]] = ["dismissed"]
+    cuts: ClassVar[list[str]] = []
 
     @property
     def horizon_s(self) -> float:
@@ -151,7 +151,7 @@ class CooldownRule:
 def cool_down(
     triggers: DataFrame, cooldown_s: float = S.COOLDOWN_S,
     dismissed_s: float = S.COOLDOWN_DISMISSED_S, order: Order = Order(),
-    slice_s: float = S.SLICE_S,
+    slice_s: float = S.RECURRENCE_SLICE_S,
 ) -> DataFrame:
     """The triggers that pass the cool-down after the last one that passed."""
     return keep_against_last(
@@ -169,7 +169,8 @@ def screen_at(
     """
     placed = asof_join(
         moments.select("device_id", "moment_id", "at_ts"),
-        layouts.select("device_id", F.col("ts").alias("layout_ts"), "id", "panes"),
+        layouts.select("device_id", F.col("ts").alias("layout_ts"), "id",
+                       F.transform("panes", lambda p: p["window_id"]).alias("panes")),
         DEVICE, "at_ts", "layout_ts", "id", ["layout_ts", "panes"], slice_s,
     )
     shown = placed.select(
@@ -177,18 +178,21 @@ def screen_at(
         F.posexplode("panes").alias("z", "_pane"),
     ).select(
         "device_id", "moment_id", "at_ts", "layout_ts", "z",
-        F.col("_pane")["window_id"].alias("window_id"),
+        F.col("_pane").alias("window_id"),
     )
-    # The second search reads its left side twice; the first one runs once.
-    return asof_join(
-        write_and_reread(shown),
+    # The second search carries ids; texts meet only the captures it found.
+    found = asof_join(
+        shown,
         captures.select(
             "device_id", "window_id", F.col("ts").alias("capture_ts"), "id",
-            F.col("app"), F.col("title"), F.col("text"),
+            F.col("id").alias("capture_id"),
         ),
         ["device_id", "window_id"], "at_ts", "capture_ts", "id",
-        ["capture_ts", "app", "title", "text"], slice_s,
+        ["capture_ts", "capture_id"], slice_s,
     )
+    texts = captures.select(F.col("id").alias("capture_id"), "app", "title", "text")
+    return found.join(texts, "capture_id", "left").select(
+        *shown.columns, "capture_ts", "app", "title", "text")
 
 
 def screen_share(layouts: DataFrame, slice_s: float = S.SLICE_S) -> DataFrame:

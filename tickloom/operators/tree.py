@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tickloom import schemas, settings as S
 from tickloom.functions import privacy, text as X
-from tickloom.session import spread
 
 NODE_KEY = ["tree_id", "node_id"]
 
@@ -66,21 +65,27 @@ def tree_texts(
     )
 
 
-def first_texts(texts: DataFrame, max_length: int = S.MAX_TEXT_LENGTH) -> DataFrame:
-    """Distinct texts of a tree joined in reading order, cut at ``max_length``.
+def first_texts(
+    texts: DataFrame, max_length: int | None = S.MAX_TEXT_LENGTH
+) -> DataFrame:
+    """Distinct texts of a tree in reading order, as many as the first
+    ``max_length`` characters of the joined text can need.
 
-    A distinct text takes at least one character and a separator, which bounds
-    how many can reach the cut text; only so many are collected per tree.
+    One text may still be dropped as the title's copy when they are joined
+    (``assemble_text``, which also cuts), so the longest one so far does not
+    count. NULL for ``max_length``: all texts.
     """
     distinct = texts.groupBy("tree_id", "text").agg(
         F.min(F.struct("preorder", "part")).alias("_at")
     )
-    reach = max_length // (1 + len(S.TEXT_SEPARATOR)) + 2
-    order = Window.partitionBy("tree_id").orderBy("_at")
+    if max_length is not None:
+        before = Window.partitionBy("tree_id").orderBy("_at").rowsBetween(
+            Window.unboundedPreceding, -1)
+        size = F.length("text") + len(S.TEXT_SEPARATOR)
+        start = F.coalesce(F.sum(size).over(before) - F.max(size).over(before), F.lit(0))
+        distinct = distinct.withColumn("_start", start).filter(F.col("_start") < max_length)
     return (
-        distinct.withColumn("_rank", F.row_number().over(order))
-        .filter(F.col("_rank") <= reach)
-        .groupBy("tree_id")
+        distinct.groupBy("tree_id")
         .agg(F.array_sort(F.collect_list(F.struct("_at", "text"))).alias("_texts"))
         .select("tree_id", F.transform("_texts", lambda t: t["text"]).alias("texts"))
     )
@@ -137,7 +142,7 @@ def window_texts(
 
 
 def window_text(
-    nodes: DataFrame, max_length: int = S.MAX_TEXT_LENGTH, **options
+    nodes: DataFrame, max_length: int | None = S.MAX_TEXT_LENGTH, **options
 ) -> DataFrame:
     """(tree_id, texts): what the capture projection takes as ``texts``."""
     return first_texts(window_texts(nodes, **options), max_length)
@@ -186,6 +191,8 @@ HTML_ROLES = {
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta",
          "source", "track", "wbr"}
 _SILENT = {"script", "style"}
+# Elements that end where the next of their kind begins.
+_ENDED_BY_NEXT = {"li", "p", "tr", "td", "th", "option", "dt", "dd"}
 
 
 class _NodeReader(HTMLParser):
@@ -198,6 +205,8 @@ class _NodeReader(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         given = dict(attrs)
+        if tag in _ENDED_BY_NEXT and self.open and self.open[-1][0] == tag:
+            self.open.pop()
         above = self.open[-1][1] if self.open else None
         node_id = len(self.nodes) + 1
         secure = tag == "input" and (given.get("type") or "").lower() == "password"
@@ -250,6 +259,6 @@ def _read_pages(batches: Iterator[pa.RecordBatch], id_column: str, html_column:
 def html_nodes(pages: DataFrame, id_column: str = "page_id", html_column: str = "html") -> DataFrame:
     """Node rows of whole pages. One page becomes many rows; pages are read in
     Arrow batches where they are stored."""
-    return spread(pages.select(id_column, html_column)).mapInArrow(
+    return pages.select(id_column, html_column).mapInArrow(
         lambda it: _read_pages(it, id_column, html_column), schemas.NODE
     )

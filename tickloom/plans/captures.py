@@ -6,22 +6,30 @@ from tickloom import settings as S
 from tickloom.functions import privacy, text as X
 from tickloom.operators import capture as C, windows as W
 from tickloom.plans.registry import query
-from tickloom.plans.views import table, view
+from tickloom.plans.views import dealt, table, view
 
 # Fixed values for the check: the query keys found in the given pages.
 PAGE_KEYS = ["ref", "utm_source"]
 WS = r"\s\x{1c}-\x{1f}\x{85}\p{Z}"
 
-BLOCKED = "lower(app) IN ('1password', 'bitwarden', 'lastpass', 'dashlane', 'keepassxc', 'keychain access', 'passwords')"
-TITLE_RX = "(?i)password\\s*manager|passwords?\\s*[-—]|saved\\s*passwords?|keychain|credentials?|autofill|credit\\s*card|payment\\s*method|billing\\s*info|bank\\s*account"
-TEXT_RX = "(?i)(copy|hide|show|edit|delete)\\s*password|copy\\s*username|search\\s*passwords|card\\s*number|expir(y|ation)\\s*date|security\\s*code|cvv|(routing|account)\\s*number"
-PRIVATE_RX = "(?i)private browsing|incognito|inprivate|private window"
+
+def sql_list(values: list[str]) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+# The lists of the settings, as SQL.
+BLOCKED = f"lower(app) IN ({sql_list([a.lower() for a in S.BLOCKED_APPS])})"
+TITLE_RX = "(?i)" + "|".join(S.SENSITIVE_TITLE_PATTERNS)
+TEXT_RX = "(?i)" + "|".join(S.SENSITIVE_CONTENT_PATTERNS)
+PRIVATE_RX = "(?i)" + "|".join(S.PRIVATE_TITLE_PATTERNS)
+VISIBLE = (f"coalesce(layer, -1) = 0 AND app NOT IN ({sql_list(S.SYSTEM_OWNERS)})"
+           f" AND bw >= {S.MIN_WINDOW_SIDE} AND bh >= {S.MIN_WINDOW_SIDE}")
 
 
 def private_sql(title: str) -> str:
     attributes = " OR ".join(
         f"coalesce({c}, '') ILIKE '%{w}%'"
-        for c in ("identifier", "descr", "subrole") for w in ("incognito", "private")
+        for c in ("identifier", "descr", "subrole") for w in S.PRIVATE_ATTRIBUTE_WORDS
     )
     return f"(regexp_matches({title}, '{PRIVATE_RX}') OR {attributes})"
 
@@ -73,11 +81,6 @@ def sensitive_observations(spark, sf):
     )
 
 
-VISIBLE = """coalesce(layer, -1) = 0 AND app NOT IN ('Control Center', 'Dock', 'Finder Desktop',
- 'Hidden Bar', 'Notification Center', 'Screenshot', 'SystemUIServer', 'TextInputMenuAgent',
- 'Wallpaper', 'Window Server', 'WindowManager', 'Wispr Flow') AND bw >= 100 AND bh >= 100"""
-
-
 @query("F10_visible_windows", "observations", oracle=f"""
 SELECT id, device_id, tick_ts, app, window_id FROM observations WHERE {VISIBLE}""")
 def visible(spark, sf):
@@ -87,11 +90,11 @@ def visible(spark, sf):
 
 
 @query("F11_drop_empty", "observations", oracle="""
-SELECT id, ax_title AS title, texts[1] AS text FROM observations
-WHERE NOT (ax_title = '' AND length(texts[1]) < 7)""")
+WITH each AS (SELECT id, ax_title AS title, unnest(texts) AS text FROM observations)
+SELECT id, title, text FROM each WHERE NOT (title = '' AND length(text) < 7)""")
 def not_empty(spark, sf):
     rows = view(spark, sf, "observations").select(
-        "id", F.col("ax_title").alias("title"), F.col("texts")[0].alias("text")
+        "id", F.col("ax_title").alias("title"), F.explode("texts").alias("text")
     )
     return C.drop_empty(rows, 7)
 
@@ -254,12 +257,11 @@ captured AS (
 SELECT id, device_id, tick_ts, app, title, text, url, pid, window_id, idle_s, filtered
 FROM captured""")
 def captured(spark, sf):
-    return C.capture(view(spark, sf, "observations"), keep=["id", "device_id", "tick_ts"])
+    return C.capture(dealt(view(spark, sf, "observations")), keep=["id", "device_id", "tick_ts"])
 
 
 @query("J4_match_windows", "cg_windows", "ax_elements", oracle="""
-WITH elements AS (SELECT * FROM ax_elements WHERE flag <> 'N'),
-counted AS (SELECT *, count(*) OVER (PARTITION BY pid) AS n FROM elements),
+WITH counted AS (SELECT *, count(*) OVER (PARTITION BY pid) AS n FROM ax_elements),
 win AS (SELECT *, row_number() OVER () AS wid FROM cg_windows),
 pairs AS (
  SELECT w.wid, e.ax_order,
@@ -275,6 +277,6 @@ SELECT w.pid, w.window_id, b.ax_order,
  CASE b.prio WHEN 1 THEN 'title' WHEN 2 THEN 'bounds' WHEN 3 THEN 'only' END AS match_kind
 FROM win w LEFT JOIN best b ON b.wid = w.wid AND b.r = 1""")
 def matched(spark, sf):
-    elements = view(spark, sf, "ax_elements").filter(F.col("flag") != "N")
-    found = W.match_windows(view(spark, sf, "cg_windows"), elements, process=["pid"])
+    found = W.match_windows(
+        view(spark, sf, "cg_windows"), view(spark, sf, "ax_elements"), process=["pid"])
     return found.select("pid", "window_id", "ax_order", "match_kind")

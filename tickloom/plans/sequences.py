@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 from tickloom.functions.similarity import similarity_bound, text_similarity
 from tickloom.operators import dedup as D, idle, sessions as R
 from tickloom.operators.sequence import Order, with_earlier
-from tickloom.plans.batch_loop import run_loop
+from tickloom.plans.batch_loop import CaptureLoop
 from tickloom.plans.captures import CAPTURED, VISIBLE
 from tickloom.plans.registry import query
-from tickloom.plans.views import view
+from tickloom.plans.views import dealt, view
 
 # Events of one user are hours apart in the given data, so the thresholds are
 # days and a time slice is a month.
@@ -144,7 +144,9 @@ def dedup_per_epoch(spark, sf):
     rows = view(spark, sf, "repeats", "id", "device_id", "ts", "app", "title", "url", "text", "idle_s")
     ticks = rows.select("id", "device_id", F.col("ts").alias("tick_ts"), "idle_s")
     epochs = idle.active_epochs(idle.idle_segments(ticks, slice_s=3 * DAY))
-    active = rows.join(epochs.withColumnRenamed("tick_ts", "ts"), ["device_id", "ts"])
+    # Several rows of one instant are one tick: a join on it must not multiply them.
+    spans = epochs.groupBy("device_id", F.col("tick_ts").alias("ts")).agg(F.max("epoch").alias("epoch"))
+    active = rows.join(spans, ["device_id", "ts"])
     kept = D.dedup(active, ["device_id", "app", "epoch"], threshold=0,
                    forced_snapshot_s=SNAPSHOT_S, slice_s=SLICE_S)
     return kept.select("id", "device_id", "ts", "app", "title", "url")
@@ -216,9 +218,9 @@ active AS (
 SELECT a.id, a.device_id, a.ts, a.app, a.title, a.text, a.url, a.filtered
 FROM walk w JOIN active a ON a.id = w.id WHERE w.keep""")
 def loop_captures(spark, sf):
-    seen = view(spark, sf, "observations")
-    result = run_loop(day_ticks(seen), seen, threshold=0, forced_snapshot_s=SNAPSHOT_S,
-                      slice_s=SLICE_S)
+    seen = dealt(view(spark, sf, "observations"))
+    result = CaptureLoop(day_ticks(seen), seen, threshold=0, forced_snapshot_s=SNAPSHOT_S,
+                         slice_s=SLICE_S, dedup_slice_s=SLICE_S)
     return result.captures.select(
         "id", "device_id", "ts", "app", "title", "text", "url", "filtered"
     )
@@ -231,4 +233,4 @@ good AS (SELECT v.* FROM visible v WHERE EXISTS (SELECT 1 FROM visible o
 """ + LAYOUTS.format(source="good") + "SELECT device_id, ts, layout FROM changes")
 def loop_layouts(spark, sf):
     seen = view(spark, sf, "observations")
-    return layout_text(run_loop(day_ticks(seen), seen, slice_s=3 * DAY).layouts)
+    return layout_text(CaptureLoop(day_ticks(seen), seen, slice_s=3 * DAY).layouts)

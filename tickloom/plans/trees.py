@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from tickloom.functions import text as X
 from tickloom.operators import tree as T
 from tickloom.plans.registry import query
-from tickloom.plans.views import table, view
+from tickloom.plans.views import dealt, table, view
 from tickloom.session import write_and_reread
 
 # Secure nodes and all below them; ancestors of heap node n are n >> 1, n >> 2, ...
@@ -97,19 +98,19 @@ def depth_profile(spark, sf):
 
 @query("X3_html_nodes")
 def html_nodes(spark, sf):
-    return T.html_nodes(table(spark, sf, "pages")).drop("path")
+    return T.html_nodes(dealt(table(spark, sf, "pages"))).drop("path")
 
 
 def page_nodes(spark, sf):
     """Node table of the pages, stored: it is read many times below."""
-    return write_and_reread(T.html_nodes(table(spark, sf, "pages")))
+    return write_and_reread(T.html_nodes(dealt(table(spark, sf, "pages"))))
 
 
 @query("X2_page_text")
 def page_text(spark, sf):
     """What would be captured of each page."""
     found = T.window_text(page_nodes(spark, sf))
-    return found.select("tree_id", F.array_join("texts", " | ").alias("text"))
+    return found.select("tree_id", X.assemble_text(F.col("texts"), F.lit("")).alias("text"))
 
 
 @query("A1_page_depth_profile")

@@ -172,6 +172,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores, for costly work on each. The given tables come as
+    one file with one row group each, which is one task; tables of many files
+    need no dealing."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """A view by name, with all of its columns or those named."""
     return shaped(table(spark, sf_dir, VIEWS[name][0]), name, *columns)

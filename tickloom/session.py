@@ -90,28 +90,6 @@ def write_and_reread(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-SPREAD_BELOW = 256 * 1024 * 1024
-
-
-def spread(df: DataFrame, below: int = SPREAD_BELOW) -> DataFrame:
-    """Deal the rows of a small input to all cores before costly per-row work.
-
-    A small table often is one row group, hence one task. Only inputs known to
-    be smaller than ``below`` bytes are moved; anything larger has splits
-    enough and stays where it is read. Filters and column choices still pass
-    through to the scan.
-    """
-    if df.isStreaming:
-        return df
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except AttributeError:
-        # A remote session does not show its plan.
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if size < below else df
-
-
 _SHIPPED: set[str] = set()
 
 

@@ -28,6 +28,9 @@ TICK_SECONDS = 3
 # the most that one task sorts, so data with a very busy key wants short ones;
 # every slice costs one small row.
 SLICE_S = 3600
+# The same where a row depends on what was kept before it. Rows of a sequence are
+# streamed, so a long slice costs no memory.
+RECURRENCE_SLICE_S = 86_400
 
 # --- Fixed values: owners that are never user windows -------------------------
 SYSTEM_OWNERS = [

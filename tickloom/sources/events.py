@@ -92,7 +92,7 @@ def recent_activity(
             part = events.filter(F.col("bucket").isin([bucket_name(kind, h) for h in hosts]))
         parts.append(to_records(part, *extra))
     both = parts[0].unionByName(parts[1])
-    span = F.expr(f"INTERVAL '{int(minutes * 60)}' SECOND")
+    span = F.make_dt_interval(secs=F.lit(round(minutes * 60, 6)))
     if now is not None:
         recent = both.filter((F.col("ts") >= F.lit(now) - span) & (F.col("ts") <= F.lit(now)))
     else:

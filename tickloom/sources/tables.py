@@ -41,9 +41,8 @@ def quarantine(df: DataFrame) -> DataFrame:
 
 def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     """A stored table with its fixed shape; columns missing in old files are NULL."""
-    return align_schema(
-        spark.read.option("mergeSchema", "true").parquet(path), schemas.TABLES[name]
-    )
+    schema = schemas.TABLES[name]
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
 
 
 def align_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -65,12 +64,10 @@ def fill_captures(df: DataFrame) -> DataFrame:
 
 def with_id(df: DataFrame) -> DataFrame:
     """Fill missing ids with a stable hash of the row: the same row gets the
-    same id on every attempt, and no global numbering is needed."""
-    parts = [
-        F.to_json(c) if isinstance(f.dataType, (T.ArrayType, T.StructType)) else F.col(c)
-        for f in df.schema.fields for c in [f.name] if c != "id"
-    ]
-    return df.withColumn("id", F.coalesce("id", F.xxhash64(*parts)))
+    same id on every attempt, and no global numbering is needed. Names and NULLs
+    are part of what is hashed, so that no value can stand for another column's."""
+    others = F.to_json(F.struct(*(c for c in df.columns if c != "id")), {"ignoreNullFields": "false"})
+    return df.withColumn("id", F.coalesce("id", F.xxhash64(others)))
 
 
 def split_required(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:

@@ -1,7 +1,7 @@
 """The capture loop over streams of ticks and window observations.
 
 One pass per device keeps the idle state, the last layout and the last kept
-capture of every window, and gives the rows of ``plans.batch_loop.run_loop``.
+capture of every window, and gives the rows of ``plans.batch_loop.CaptureLoop``.
 
 Rows are held until the watermark has passed them and are then taken in time
 order; rows later than that are dropped by the engine and counted in its
