@@ -1,15 +1,15 @@
 """The capture loop run as a stream over the given events."""
 
-import os
 import uuid
 
 from pyspark.sql import functions as F
 
 from tickloom.plans.registry import query
 from tickloom.plans.sequences import LOOP, SNAPSHOT_S
-from tickloom.plans.views import shaped
-from tickloom.session import SETTINGS, shared_folder
+from tickloom.plans.views import shaped, view
+from tickloom.session import SETTINGS, stage_folder
 from tickloom.streaming.capture_loop import OUTPUT, loop_rows, run_stream, start_loop
+from tickloom.streaming.rolling import rolling_activity
 
 STORE = "spark.sql.streaming.stateStore.providerClass"
 
@@ -22,12 +22,27 @@ def _stream(spark, sf):
     stream = spark.readStream.schema(events).option("pathGlobFilter", "events.parquet").parquet(sf)
     seen = shaped(stream, "observations")
     rows = loop_rows(seen.select("device_id", "tick_ts", "idle_s"), seen)
-    out = run_stream(rows, late="0 seconds", threshold=0, forced_snapshot_s=SNAPSHOT_S)
-    base = os.path.join(shared_folder(spark), f"loop-{uuid.uuid4().hex}")
+    return _run(spark, rows, late="0 seconds")
+
+
+def _run(spark, rows, late):
+    # Events of one user are hours apart, so a slot is as long as some weeks.
+    out = run_stream(rows, late=late, threshold=0, forced_snapshot_s=SNAPSHOT_S, slot_s=2 * SNAPSHOT_S)
+    base = f"{stage_folder(spark)}/loop-{uuid.uuid4().hex}"
     start_loop(out, f"{base}/tables", f"{base}/progress", seconds=None).awaitTermination()
     return spark.read.schema(OUTPUT).parquet(f"{base}/tables")
 
 
+def _in_order(spark, df, *parts):
+    """A stream of one file for each condition, taken one after the other."""
+    base = f"{stage_folder(spark)}/source-{uuid.uuid4().hex}"
+    for n, part in enumerate(parts):
+        df.filter(part).coalesce(1).write.mode("append").parquet(f"{base}/{n}")
+    return (
+        spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1)
+        .option("recursiveFileLookup", "true").parquet(base))
+
+
 @query("G1_stream_captures", "observations", oracle=LOOP + """
 SELECT a.id, a.device_id, a.ts, a.app, a.title, a.text, a.url, a.filtered
 FROM walk w JOIN active a ON a.id = w.id WHERE w.keep""")
@@ -47,3 +62,55 @@ def stream_idle(spark, sf):
         "device_id", "ts", "idle_s", "idle"
     )
 
+
+
+# The rows of every ninth device come last. Rows are late by the watermark that
+# the micro-batch before theirs started with: two days before the newest tick of
+# the first file. What is older is lost.
+FIRST, LATE = "device_id % 9 <> 4 AND device_id % 2 = 0", "device_id % 9 = 4"
+
+
+@query("G3_stream_late_rows", "observations", oracle=f"""
+WITH mark AS (SELECT max(tick_ts) - INTERVAL 2 DAY AS mark_ts FROM observations WHERE {FIRST}),
+taken AS (SELECT o.* FROM observations o, mark WHERE NOT ({LATE}) OR o.tick_ts > mark.mark_ts),
+ticks AS (SELECT device_id, tick_ts, max(idle_s) AS idle_s FROM taken GROUP BY ALL),
+ready AS (SELECT t.* FROM ticks t WHERE tick_ts <= (SELECT max(tick_ts) FROM taken) - INTERVAL 2 DAY
+ OR tick_ts <= (SELECT mark_ts FROM mark)),
+looked AS (SELECT *, idle_s >= 180 AS i, coalesce(lag(idle_s >= 180)
+ OVER (PARTITION BY device_id ORDER BY tick_ts), false) AS was FROM ready)
+SELECT device_id, tick_ts AS ts, idle_s, true AS idle FROM looked WHERE i AND NOT was""")
+def stream_late(spark, sf):
+    spark.conf.set(STORE, SETTINGS[STORE])
+    seen = view(spark, sf, "observations")
+    rows = loop_rows(seen.select("device_id", "tick_ts", "idle_s"), seen)
+    stream = _in_order(spark, rows, FIRST, f"NOT ({FIRST}) AND NOT ({LATE})", LATE)
+    return _run(spark, stream, late="2 days").filter(F.col("kind") == "idle").select(
+        "device_id", "ts", "idle_s", "idle"
+    )
+
+
+@query("G2_rolling_stream", "activity", oracle="""
+WITH hours AS (
+ SELECT bucket, duration, unnest(generate_series(
+  date_trunc('hour', ts) - INTERVAL 5 HOUR, date_trunc('hour', ts), INTERVAL 1 HOUR)) AS window_start
+ FROM activity)
+SELECT bucket, window_start, window_start + INTERVAL 6 HOUR AS window_end, count(*) AS n_events,
+ round(sum(duration), 4) AS total_s FROM hours
+WHERE window_start + INTERVAL 6 HOUR <= (SELECT max(ts) FROM activity) - INTERVAL 10 MINUTE
+GROUP BY bucket, window_start""")
+def rolling_stream(spark, sf):
+    """Rolling activity as a stream: windows are final once the watermark is past them."""
+    spark.conf.set(STORE, SETTINGS[STORE])
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    events = spark.read.parquet(f"{sf}/events.parquet").schema
+    stream = shaped(
+        spark.readStream.schema(events).option("pathGlobFilter", "events.parquet").parquet(sf),
+        "activity", "bucket", "ts", "duration")
+    base = f"{stage_folder(spark)}/rolling-{uuid.uuid4().hex}"
+    (
+        rolling_activity(stream, "6 hours", "1 hour").writeStream.outputMode("append").format("parquet")
+        .option("checkpointLocation", f"{base}/progress").trigger(availableNow=True)
+        .start(f"{base}/out").awaitTermination()
+    )
+    found = spark.read.parquet(f"{base}/out")
+    return found.withColumn("total_s", F.round("total_s", 4))

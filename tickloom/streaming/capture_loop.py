@@ -6,6 +6,12 @@ capture of every window, and gives the rows of ``plans.batch_loop.CaptureLoop``.
 Rows are held until the watermark has passed them and are then taken in time
 order; rows later than that are dropped by the engine and counted in its
 progress report. So results come one watermark delay after the event.
+
+Rows wait in the state by time slot. A call reads and deletes the slots that the
+watermark has reached, one after another, and leaves the others alone; what a
+task holds is one slot of one device. ``start_loop`` takes its source as it is
+given: limit it there (``maxFilesPerTrigger``), so that a backfill comes in many
+micro-batches.
 """
 
 from __future__ import annotations
@@ -35,11 +41,14 @@ OUTPUT = flat(
     "panes string"
 )
 _HELD = [f.name for f in INPUT.fields if f.name not in ("device_id", "ts")]
-# Rows wait as JSON, all of one micro-batch in one entry: every entry of a list
-# state is a round trip between processes.
-_WAITING = flat("earliest long, rows string")
+# Rows wait as JSON, those of one slot and input batch in one entry: every entry
+# is a round trip between processes.
+_SLOT = flat("slot long, part long")
+_WAITING = flat("rows string")
 _DEVICE = flat("is_idle boolean, layout string")
-_WINDOW = flat("window_id long")
+_PARTS = flat("n long")
+# NULL and -1 are different windows.
+_WINDOW = flat("window_id long, known boolean")
 _LAST_KEPT = flat("micros long, app string, title string, url string, text string")
 
 
@@ -102,58 +111,75 @@ class CaptureLoop(StatefulProcessor):
     """State of one device."""
 
     def __init__(
-        self, idle_timeout_s: float, threshold: float, forced_snapshot_s: float, max_compare: int
+        self, idle_timeout_s: float, threshold: float, forced_snapshot_s: float, max_compare: int,
+        slot_s: float,
     ) -> None:
+        self.slot_us = int(slot_s * 1_000_000)
         self.idle_timeout_s = idle_timeout_s
         self.rule = CaptureRule(threshold, forced_snapshot_s)
         self.max_compare = max_compare
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", _WAITING)
+        self.held = handle.getMapState("held", _SLOT, _WAITING)
+        self.parts = handle.getValueState("parts", _PARTS)
         self.device = handle.getValueState("device", _DEVICE)
         self.kept = handle.getMapState("kept", _WINDOW, _LAST_KEPT)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        waiting = []
+        earliest = None
+        part = self.parts.get()[0] if self.parts.exists() else 0
         for batch in rows:
             micros = batch["ts"].astype("datetime64[us]").astype("int64")
             clean = batch[_HELD].astype(object).where(batch[_HELD].notna(), None)
-            waiting += [
-                [int(m), *self._typed(r)]
-                for m, r in zip(micros, clean.itertuples(index=False, name=None))
-            ]
-        if waiting:
-            earliest = min(row[0] for row in waiting)
-            self.held.appendValue((earliest, json.dumps(waiting)))
+            slots: dict[int, list] = {}
+            for m, r in zip(micros, clean.itertuples(index=False, name=None)):
+                slots.setdefault(int(m) // self.slot_us, []).append([int(m), *self._typed(r)])
+            for slot, waiting in slots.items():
+                self.held.updateValue((slot, part), (json.dumps(waiting),))
+            part += 1
+            if len(micros):
+                first = int(micros.min())
+                earliest = first if earliest is None else min(earliest, first)
+        if earliest is not None:
+            self.parts.update((part,))
             self._wake_at(earliest)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs() * 1000
-        ready, later = [], []
-        for entry in self.held.get():
-            for row in json.loads(entry[1]):
-                (ready if row[0] <= watermark else later).append(row)
-        if later:
-            # The earliest row, not the latest: a timer behind all of them
-            # would hold everything back.
-            earliest = min(row[0] for row in later)
-            self.held.put([(earliest, json.dumps(later))])
-            self._wake_at(earliest)
-        else:
-            self.held.clear()
-        if not ready:
-            return iter(())
-        out = list(self._play(key[0], [dict(zip(["micros", *_HELD], row)) for row in ready]))
-        if not out:
-            return iter(())
+        due: dict[int, list[int]] = {}
+        later = None  # the earliest instant that may still hold a row
+        for slot, part in self.held.keys():
+            if slot * self.slot_us <= watermark:
+                due.setdefault(slot, []).append(part)
+            else:
+                start = slot * self.slot_us
+                later = start if later is None else min(later, start)
+        for slot in sorted(due):
+            rows = [row for part in due[slot] for row in json.loads(self.held.getValue((slot, part))[0])]
+            waiting = [row for row in rows if row[0] > watermark]
+            for part in due[slot]:
+                self.held.removeKey((slot, part))
+            if waiting:
+                self.held.updateValue((slot, due[slot][0]), (json.dumps(waiting),))
+                start = min(row[0] for row in waiting)
+                later = start if later is None else min(later, start)
+            ready = [dict(zip(["micros", *_HELD], row)) for row in rows if row[0] <= watermark]
+            out = list(self._play(key[0], ready)) if ready else []
+            if out:
+                yield self._frame(out)
+        if later is not None:
+            self._wake_at(later)
+
+    @staticmethod
+    def _frame(out: list[dict]) -> pd.DataFrame:
         frame = pd.DataFrame(out, columns=[f.name for f in OUTPUT.fields])
         frame["ts"] = pd.to_datetime(frame["ts"], unit="us")
         for name, kind in (("id", "Int64"), ("window_id", "Int64"), ("pid", "Int32"),
                            ("idle", "boolean")):
             frame[name] = frame[name].astype(kind)
-        return iter([frame])
+        return frame
 
     def close(self) -> None:
         pass
@@ -217,12 +243,13 @@ class CaptureLoop(StatefulProcessor):
         self.device.update((is_idle, layout))
 
     def _keeps(self, kept: _Remembered, micros: int, r: dict) -> bool:
-        window = (r["window_id"] if r["window_id"] is not None else -1,)
+        window = (r["window_id"] or 0, r["window_id"] is not None)
         content = (r["app"], r["title"], r["url"], (r["text"] or "")[: self.max_compare])
         last = kept.get(window)
         if last is not None:
-            due = micros - last[0] >= self.rule.horizon_after(content) * 1_000_000
-            if not due and not self.rule.differs(content, tuple(last[1:])):
+            before = tuple(last[1:])
+            due = micros - last[0] >= self.rule.horizon_after(before) * 1_000_000
+            if not due and not self.rule.differs(content, before):
                 return False
         kept.put(window, (micros, *content))
         return True
@@ -235,10 +262,12 @@ def run_stream(
     threshold: float = S.SIMILARITY_THRESHOLD,
     forced_snapshot_s: float = S.FORCED_SNAPSHOT_S,
     max_compare: int = S.MAX_TEXT_COMPARE,
+    slot_s: float = 600,
 ) -> DataFrame:
     """Captures, layouts and idle markers of a stream of ``loop_rows``, told
-    apart by ``kind``. Needs the RocksDB state store."""
-    loop = CaptureLoop(idle_timeout_s, threshold, forced_snapshot_s, max_compare)
+    apart by ``kind``. ``slot_s``: time that waiting rows of one state entry
+    span. Needs the RocksDB state store."""
+    loop = CaptureLoop(idle_timeout_s, threshold, forced_snapshot_s, max_compare, slot_s)
     return rows.withWatermark("ts", late).groupBy("device_id").transformWithStateInPandas(
         statefulProcessor=loop, outputStructType=OUTPUT, outputMode="Append",
         timeMode="EventTime",
