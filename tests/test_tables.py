@@ -155,6 +155,41 @@ def test_search_equals_fts(spark, terms, match):
         assert sorted(got.values()) == pytest.approx(sorted(r for _, r in want), rel=1e-9)
 
 
+def test_search_without_words(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "id long, summary string")
+    index = Q.build_postings(docs)
+    for terms in ([], [""], [" ,; "]):
+        assert Q.search(docs, terms).count() == 0
+        assert Q.search_postings(index, docs, Q.corpus_stats(docs), terms).count() == 0
+
+
+def test_accents_of_their_own(spark):
+    docs = spark.createDataFrame([(1, "two cafe\u0301s"), (2, "caf\u00e9s"), (3, "cafe s")], "id long, summary string")
+    assert {r.id for r in Q.search(docs, ["cafes"]).collect()} == {1, 2}
+
+
+def test_ids_tell_columns_apart(spark):
+    rows = [("x", None), (None, "x"), ("x", "x"), (None, None)]
+    df = spark.createDataFrame(rows, "text string, url string").selectExpr("CAST(NULL AS BIGINT) AS id", "*")
+    ids = [r.id for r in tables.with_id(df).collect()]
+    assert len(set(ids)) == 4
+    assert ids == [r.id for r in tables.with_id(df).collect()]
+
+
+def test_long_trees_fill_the_text(spark):
+    """As many texts as the limit takes, even if one of them is the title."""
+    from tickloom.functions import text as X
+
+    rows = [(1, i, 0, f"text number {i}") for i in range(9000)] + [(2, 0, 0, "short")]
+    df = spark.createDataFrame(rows, "tree_id long, preorder long, part int, text string")
+    joined = " | ".join(f"text number {i}" for i in range(9000))
+    for title, want in (("", joined), ("text number 3", joined.replace("text number 3 | ", "", 1))):
+        got = {r.tree_id: r.t for r in tree.first_texts(df).select(
+            "tree_id", X.assemble_text(F.col("texts"), F.lit(title)).alias("t")).collect()}
+        assert got == {1: want[:20_000], 2: "short"}
+    assert tree.first_texts(df, None).filter("tree_id = 1").select(F.size("texts")).first()[0] == 9000
+
+
 def test_index_changes(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a b"), (2, "b c"), (3, "c")], "id long, summary string")
     changes = spark.createDataFrame([(1, "delete", None), (2, "update", "x b b"), (4, "insert", "a")],
