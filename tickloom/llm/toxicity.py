@@ -42,8 +42,9 @@ from tickloom.llm.texts import Piece, Words, lower, pieces, word_hashes
 TOXIC, OTHER = 2000, 4000
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
-#: A term occurs in this many toxic texts at least, and so many times more often than in others.
-MIN_TEXTS, MIN_ODDS = 5, 30.0
+#: A term occurs in this many toxic texts at least, so many times more often than
+#: in others, and the logarithm of these odds is so many standard errors above zero.
+MIN_TEXTS, MIN_ODDS, MIN_ERRORS = 5, 5.0, 3.0
 MAX_TERMS = 4000
 STEM_LENGTHS = range(4, 9)
 #: Words on either side of a hit.
@@ -214,7 +215,8 @@ def _choose(rows: list, toxic: int, other: int) -> list[Term]:
     scored = []
     for r in rows:
         odds = ((r["pos"] + 0.5) / (toxic + 1)) / ((r["neg"] + 0.5) / (other + 1))
-        if odds >= MIN_ODDS:
+        error = math.sqrt(1 / (r["pos"] + 0.5) + 1 / (r["neg"] + 0.5))
+        if odds >= MIN_ODDS and math.log(odds) >= MIN_ERRORS * error:
             scored.append((r["term"], r["stem"], odds, r["pos"]))
     # A stem has to bring together more than its commonest word says alone.
     words_of = Counter()
