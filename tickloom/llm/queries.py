@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickloom.llm import (
-    language_id, minhash, mixing, quality_rules, sentence_pieces, site_quality, suffix_dedup,
+    language_id, minhash, mixing, oracles, quality_rules, sentence_pieces, site_quality, suffix_dedup,
     toxicity, vantage, window_dedup,
 )
 
@@ -72,4 +72,9 @@ QUERIES: dict[str, Query] = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+#: The others return draws, learned models or pieces; tests hold them against brute force.
+ORACLES: dict[str, str] = {
+    "op1_suffix_array_dedup": oracles.SUFFIX_DEDUP,
+    "op8_substring_dedup": oracles.WINDOW_DEDUP,
+    "op9_minhash_near_dedup": oracles.NEAR_DEDUP,
+}
