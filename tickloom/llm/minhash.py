@@ -37,8 +37,8 @@ SHINGLE = 5
 PERCENT = 80
 #: Least share of equal minima for a pair to be looked at on full sets.
 ESTIMATE = 0.62
-#: Classes of a block; a cell compares two blocks.
-CELL = 2000
+#: Classes of a block, and their shingles, on average; a cell compares two blocks.
+CELL, CELL_SHINGLES = 2000, 2_000_000
 #: Low bits of shingles that are looked up first.
 _LOW = 1 << 20
 
@@ -59,7 +59,7 @@ def shingle_sets(piece: Piece, size: int) -> tuple[np.ndarray, np.ndarray]:
     short = np.repeat(n < size, n)
     out = np.zeros(len(codes), U64)
     for k in range(size):
-        part = mix(np.roll(codes, -k) + U64(BASE) * U64(k + 1))
+        part = mix(np.roll(codes, -k) + U64(BASE * (k + 1) % (1 << 64)))
         out += np.where(left > k, part, U64(0))
     out = mix(out)
     use = (left >= size) | (short & (step == np.repeat(bounds[:-1], n)))
@@ -280,9 +280,14 @@ class _Search:
         # Classes outside the largest component ask all members; a cell is a
         # block of those that ask and a block of members.
         outside = F.col("component") != F.col("main")
+        def blocks(of: Column) -> Column:
+            many = F.ceil(F.count_if(of) / CELL)
+            large = F.ceil(F.sum(F.when(of, F.col("n"))) / CELL_SHINGLES)
+            return F.greatest(many, large).cast("long")
+
+        rows = rows.join(self.sets.select("node", (F.octet_length("shingles") / 8).alias("n")), "node")
         sizes = rows.groupBy("main").agg(
-            F.ceil(F.count("*") / CELL).cast("long").alias("blocks"),
-            F.ceil(F.count_if(outside) / CELL).cast("long").alias("asking"))
+            blocks(F.lit(True)).alias("blocks"), blocks(outside).alias("asking"))
         sized = rows.join(sizes, "main")
 
         def block(n: str) -> Column:
