@@ -8,8 +8,8 @@ characters or by words. Guards: a histogram is only judged where the document
 has enough characters or words for it to mean something.
 
 Three passes over the texts, none shuffles them: words that are common
-somewhere (a word with a share of all words has that share in some batch), the
-references, the verdicts. References are bounded: at most 1 / ``LANG_SHARE``
+somewhere (a word with a share of all words has that share in some stretch of
+text; they are ranked by their counts there), the references, the verdicts. References are bounded: at most 1 / ``LANG_SHARE``
 languages of ``COMMON`` words.
 
 Results for unusual rows: NULL and empty texts have no words and fail the base
@@ -29,12 +29,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tickloom.llm.anchors import BASE, U64, Rolling, byte_codes, mix
 from tickloom.llm.texts import Piece, Words, lower, pieces, word_hashes, words
+from tickloom.session import write_and_reread
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
 COMMON = 64
 LANG_SHARE = 0.01
-#: A common word has this share of a language's words in some batch.
+#: A common word has this share of a language's words in some stretch of text.
 WORD_SHARE = 0.002
 MAX_CHARS, MAX_WORDS = 0.30, 0.48
 GUARD_CHARS, GUARD_WORDS = 200, 100
@@ -194,15 +195,18 @@ def _counted(common: np.ndarray, langs: list[str]):
 
 def references(docs: DataFrame) -> References:
     """Histograms of each language, over all documents that pass the base rules."""
-    seen = docs.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL").mapInArrow(
-        _common, "lang string, word long, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    by_rank = Window.partitionBy("lang", F.col("word").isNull()).orderBy(F.desc("n"), "word")
-    top = seen.withColumn("rank", F.row_number().over(by_rank)).where(
-        F.col("word").isNull() | (F.col("rank") <= COMMON)).collect()
-    size = {r["lang"]: r["n"] for r in top if r["word"] is None}
-    langs = sorted(x for x in size if size[x] >= LANG_SHARE * sum(size.values()) and size[x])
+    seen = write_and_reread(
+        docs.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL").mapInArrow(
+            _common, "lang string, word long, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    whole = seen.where("word IS NULL AND n > 0")
+    total = whole.agg(F.sum("n")).first()[0] or 0
+    # At most 1 / LANG_SHARE languages have that share.
+    langs = sorted(r["lang"] for r in whole.where(F.col("n") >= LANG_SHARE * total).collect())
+    by_rank = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    top = seen.where(F.col("word").isNotNull() & F.col("lang").isin(langs)).withColumn(
+        "rank", F.row_number().over(by_rank)).where(F.col("rank") <= COMMON).collect()
     common = np.unique(np.array(
-        [r["word"] for r in top if r["word"] is not None and r["lang"] in langs], np.int64).view(U64))
+        [r["word"] for r in top], np.int64).view(U64))
     if not langs:
         return References(common, {})
     counts = docs.select("text", "lang").where(F.col("lang").isin(langs)).mapInArrow(
