@@ -174,8 +174,10 @@ class CaptureLoop(StatefulProcessor):
 
     @staticmethod
     def _frame(out: list[dict]) -> pd.DataFrame:
-        frame = pd.DataFrame(out, columns=[f.name for f in OUTPUT.fields])
-        frame["ts"] = pd.to_datetime(frame["ts"], unit="us")
+        # Plain objects: frames with Arrow strings cannot be put together again.
+        frame = pd.DataFrame(out, columns=[f.name for f in OUTPUT.fields], dtype=object)
+        frame["ts"] = pd.to_datetime(frame["ts"].astype("int64"), unit="us")
+        frame["idle_s"] = frame["idle_s"].astype("float64")
         for name, kind in (("id", "Int64"), ("window_id", "Int64"), ("pid", "Int32"),
                            ("idle", "boolean")):
             frame[name] = frame[name].astype(kind)
