@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tickloom.llm.anchors import BASE, U64, mix
 from tickloom.llm.components import components
-from tickloom.llm.texts import Piece, lower, pieces, word_hashes, words
+from tickloom.llm.texts import Piece, in_small_batches, lower, pieces, word_hashes, words
 from tickloom.session import write_and_reread
 
 BANDS, ROWS = 32, 4
@@ -229,6 +229,7 @@ class _Search:
 
     def __init__(self, docs: DataFrame, size: int, percent: int):
         self.percent = percent
+        in_small_batches(docs)
         base = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
         self.signed = write_and_reread(base.mapInArrow(
             _sign(size), "doc_id long, n_shingles long, class binary, sign binary"))
@@ -286,8 +287,9 @@ class _Search:
             return F.greatest(many, large).cast("long")
 
         rows = rows.join(self.sets.select("node", (F.octet_length("shingles") / 8).alias("n")), "node")
-        sizes = rows.groupBy("main").agg(
-            blocks(F.lit(True)).alias("blocks"), blocks(outside).alias("asking"))
+        # Stored, so that the join with it can be split where one component is very large.
+        sizes = write_and_reread(rows.groupBy("main").agg(
+            blocks(F.lit(True)).alias("blocks"), blocks(outside).alias("asking")))
         sized = rows.join(sizes, "main")
 
         def block(n: str) -> Column:
