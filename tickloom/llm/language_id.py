@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tickloom.llm.texts import Piece, lower, pieces
+from tickloom.llm.texts import Piece, in_small_batches, lower, pieces
 
 BUCKETS = 1 << 14
 GRAMS = (2, 3, 4)
@@ -212,7 +212,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
 def identify(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
     """Learn from the folds that are not held out, and predict all rows of ``docs``."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    docs = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     model = train(sample(docs, folds, held_out))
     return predict(docs.select(
         "doc_id", F.coalesce(fold(folds) == held_out, F.lit(False)).alias("held_out"), "text"), model)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tickloom.llm.anchors import U64, mix
 from tickloom.llm.repeats import rewritten
-from tickloom.llm.texts import pieces, words
+from tickloom.llm.texts import in_small_batches, pieces, words
 from tickloom.session import write_and_reread
 
 WEIGHTS = (5, 2, 1)
@@ -186,7 +186,7 @@ class Mix:
     """
 
     def __init__(self, docs: DataFrame, block: int = BLOCK, seed: int = SEED):
-        spark = docs.sparkSession
+        spark = in_small_batches(docs).sparkSession
         copy = F.coalesce(F.xxhash64("text"), F.lit(0)).alias("copy")
         schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, source string, copy long, size long"
         sized = write_and_reread(

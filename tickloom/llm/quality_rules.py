@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tickloom.llm.anchors import BASE, U64, Rolling, byte_codes, mix
-from tickloom.llm.texts import Piece, Words, lower, pieces, word_hashes, words
+from tickloom.llm.texts import Piece, Words, in_small_batches, lower, pieces, word_hashes, words
 from tickloom.session import write_and_reread
 
 MIN_WORDS = 50
@@ -195,6 +195,7 @@ def _counted(common: np.ndarray, langs: list[str]):
 
 def references(docs: DataFrame) -> References:
     """Histograms of each language, over all documents that pass the base rules."""
+    in_small_batches(docs)
     seen = write_and_reread(
         docs.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL").mapInArrow(
             _common, "lang string, word long, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))

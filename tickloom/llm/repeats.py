@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tickloom.llm.anchors import BASE, PIECE, U64, Blocks, Rolling, blocks, mix
-from tickloom.llm.texts import Piece, pieces
+from tickloom.llm.texts import Piece, in_small_batches, pieces
 from tickloom.session import write_and_reread
 
 #: Column of a text's places; no column of documents has this name.
@@ -192,10 +192,13 @@ def _judged(rows: DataFrame, within_texts: bool) -> DataFrame:
     """Rows with an earlier equal one (``covered``) and first rows that share ``outer``."""
     me = F.struct("doc_id", "place") if within_texts else F.col("doc_id")
     classes = write_and_reread(rows.groupBy("outer", "inner").agg(F.min(me).alias("first")))
-    shared = classes.groupBy("outer").agg((F.count("*") > 1).alias("shared"))
+    # Stored, so that the join with it can be split where one rank has very many classes.
+    shared = write_and_reread(
+        classes.groupBy("outer").count().where("count > 1").select("outer")).withColumn("shared", F.lit(True))
     return write_and_reread(
-        rows.join(classes.join(shared, "outer"), ["outer", "inner"])
-        .select("doc_id", "place", (me > F.col("first")).alias("covered"), "shared")
+        rows.join(classes.join(shared, "outer", "left"), ["outer", "inner"])
+        .select("doc_id", "place", (me > F.col("first")).alias("covered"),
+                F.col("shared").isNotNull().alias("shared"))
         .where("covered OR shared"))
 
 
@@ -206,6 +209,7 @@ def repeated_windows(docs: DataFrame, ladder: Ladder, within_texts: bool) -> Dat
     in the same text. Equal blocks of one text are given once, by the first:
     what is said of it holds for the others (see ``removed_windows``).
     """
+    in_small_batches(docs)
     base = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     seeds = write_and_reread(
         base.mapInArrow(_scan(ladder, True), "outer long")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tickloom.llm.anchors import BASE, U64, Rolling, mix
 from tickloom.llm.repeats import _ranges
-from tickloom.llm.texts import Piece, pieces
+from tickloom.llm.texts import Piece, in_small_batches, pieces
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED, VARIANTS = 0.1, 17, 4
@@ -245,7 +245,7 @@ def decode(model: Model, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarra
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.xxhash64("doc_id").alias("key"), "text")
+    return in_small_batches(docs).select("doc_id", F.xxhash64("doc_id").alias("key"), "text")
 
 
 def _runner(spark, path: str, make):

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tickloom.llm.language_id import fold
 from tickloom.llm.quality_rules import base_counts, char_histograms
-from tickloom.llm.texts import Piece, pieces, word_hashes, words
+from tickloom.llm.texts import Piece, in_small_batches, pieces, word_hashes, words
 from tickloom.llm.toxicity import _fit
 from tickloom.session import write_and_reread
 
@@ -110,7 +110,8 @@ def scored(
 
     ``labels`` has (doc_id, quality). ``score`` is the probability of quality 1.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "host", "path", "text")
+    docs = in_small_batches(docs).select(
+        F.col("doc_id").cast("long").alias("doc_id"), "host", "path", "text")
     marks = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
         .where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id")

@@ -13,6 +13,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 from tickloom.llm.anchors import PIECE, U64, BASE, mix
 
@@ -22,6 +23,19 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"):ord("Z") + 1] += 32
 
 
+#: Records and bytes of an Arrow batch; texts are long, and a batch is held whole
+#: on both sides of the pipe.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with its session set to small Arrow batches, for work on long texts."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 class Piece(NamedTuple):
     """Texts ``begin`` to ``end`` of a batch, laid end to end."""
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, functions as F
 from tickloom.llm.anchors import mix
 from tickloom.llm.language_id import fold
 from tickloom.llm.lexicon import FUZZY_LENGTH, Hit, Lexicon, Term
-from tickloom.llm.texts import Piece, Words, lower, pieces, word_hashes
+from tickloom.llm.texts import Piece, Words, in_small_batches, lower, pieces, word_hashes
 
 TOXIC, OTHER = 2000, 4000
 FOLDS, HELD_OUT = 4, 2
@@ -332,7 +332,7 @@ SCORED = "doc_id long, held_out boolean, score double, predicted int"
 
 def scored(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
     """(doc_id, held_out, score, predicted): one row for each row of ``docs``."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
     model = learn(docs, labels, folds, held_out)
 
