@@ -3,7 +3,7 @@
 Prefix doubling, spread over a cluster. The rank of a position is the hash of
 the substring that starts there; Spark groups (position, rank) pairs, drops
 positions whose rank is unique, and ranks the others again by the pair (rank,
-rank at an offset), so that the compared length grows from 24 over 62 to 100
+rank at an offset), so that the compared length grows from 24 over 92 to 100
 bytes. A full suffix array would shuffle every byte's position several times;
 here only anchors are ranked first (see ``repeats``), which lose no repeat of
 the full length.

@@ -120,7 +120,3 @@ def word_hashes(data: np.ndarray, w: Words) -> np.ndarray:
     value = _TABLE[data[w.start[0]:w.end[-1]]] * power
     value[_SPACE[data[w.start[0]:w.end[-1]]]] = 0
     return mix(np.add.reduceat(value, w.start - w.start[0]) + size.astype(U64))
-
-
-def gathered(data: np.ndarray, keep: np.ndarray) -> bytes:
-    return data[keep].tobytes()
