@@ -75,3 +75,38 @@ def test_tree_search_alone():
     rows, best = vantage.search(tree, points, queries, np.full(40, np.inf), 7, 1.0)
     away = ((queries[:, None] - points) ** 2).sum(axis=2)
     assert np.allclose(np.sort(best, axis=1), np.sort(away, axis=1)[:, :7])
+
+
+def recall(want, got, queries):
+    assert all(len(got.get(q, [])) == len(want[q]) for q in queries)
+    hit = sum(len({i for i, _ in want[q]} & {i for i, _ in got[q]}) for q in queries)
+    return hit / sum(len(want[q]) for q in queries)
+
+
+def test_one_long_vector_leaves_the_others_their_neighbours(spark, monkeypatch):
+    # Several shards, so that most of them lack the long one.
+    monkeypatch.setattr(vantage, "SHARD", 400)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 12))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[1] *= 10
+    rows = [(i if i < 500 else i + 10_000, [float(v) for v in r], 0, "x") for i, r in enumerate(x)]
+    good = {i: np.array(v, np.float32).astype(float) for i, v, *_ in rows}
+    ids, points = np.array(list(good)), np.stack(list(good.values()))
+    want = {}
+    for q in ids[ids % 5 == 0]:
+        score = np.where(ids == q, -np.inf, points @ good[q])
+        want[int(q)] = [(int(ids[n]), score[n]) for n in np.argsort(-score)[:20]]
+    assert recall(want, run(spark, rows), list(want)) >= 0.9
+
+
+def test_far_queries_of_a_tight_cluster():
+    rng = np.random.default_rng(9)
+    points = np.eye(12)[0] + rng.normal(size=(3000, 12)) / 50
+    queries = rng.normal(size=(40, 12)) * [0, *[1] * 11]
+    rows = vantage.search_bands(points, queries, points[:500], 20, vantage.FACTOR)
+    best = np.argsort(-(queries @ points.T), axis=1)[:, :20]
+    assert (rows >= 0).all()
+    assert np.mean([len(set(a) & set(b)) for a, b in zip(rows, best)]) >= 18
+    exact = vantage.search_bands(points, queries, points[:500], 20, 1.0)
+    assert (np.sort(exact, axis=1) == np.sort(best, axis=1)).all()
