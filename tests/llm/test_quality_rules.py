@@ -3,7 +3,10 @@
 import random
 import re
 
+import pyarrow as pa
+
 from tickloom.llm import quality_rules
+from tickloom.llm.texts import pieces
 
 SCHEMA = "doc_id long, text string, lang string, kept string"
 
@@ -64,3 +67,22 @@ def test_unusual_rows(spark):
     got = quality_rules.judged(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted((r["doc_id"] or 0, r["kept"]) for r in got) == [
         (0, True), (1, True), (1, True), (2, False)]
+
+
+def test_common_words_are_those_of_all_passing_documents(spark):
+    rng = random.Random(4)
+    names = [f"w{i}" for i in range(900)]
+    rows = [(i, " ".join(rng.choices(names, [1 / (30 + k) for k in range(900)], k=300)), "en", "x") for i in range(300)]
+    rows += [(1000 + i, "spam " * 400, "en", "x") for i in range(20)]
+    count = {}
+    for _, text, *_ in rows[:300]:
+        for w in text.split():
+            count[w] = count.get(w, 0) + 1
+    piece = next(pieces(pa.array([" ".join([*count, "spam"])])))
+    code = dict(zip([*count, "spam"], quality_rules._plain(piece)[2].tolist()))
+    order = sorted(count, key=lambda w: -count[w])
+    sure = {code[w] for w in order if count[w] > count[order[64]]}
+    for parts in (1, 7):
+        got = quality_rules.references(spark.createDataFrame(rows, SCHEMA).repartition(parts)).common.tolist()
+        assert len(got) == 64 and sure <= set(got) and code["spam"] not in got
+        assert all(count[w] >= count[order[63]] for w in count if code[w] in set(got))
