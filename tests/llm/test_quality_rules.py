@@ -69,6 +69,19 @@ def test_unusual_rows(spark):
         (0, True), (1, True), (1, True), (2, False)]
 
 
+def test_a_rare_language_is_not_judged_by_the_others(spark, monkeypatch):
+    rng = random.Random(3)
+    syllables = "по на ст ра ени ово ть".split()
+    rare = [(1000 + i, " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 3))) for _ in range(60)),
+             "ru", "prose") for i in range(2)]
+    df = spark.createDataFrame(corpus() + rare, SCHEMA).repartition(3)
+    for least in (quality_rules.REFERENCE_WORDS, 100):  # without a reference, and with one
+        monkeypatch.setattr(quality_rules, "REFERENCE_WORDS", least)
+        got = {r["doc_id"]: r for r in quality_rules.judged(df).collect()}
+        assert got[1000]["kept"] and got[1001]["kept"]
+        assert not any(got[i]["kept"] for i in range(130, 136))
+
+
 def test_common_words_are_those_of_all_passing_documents(spark):
     rng = random.Random(4)
     names = [f"w{i}" for i in range(900)]

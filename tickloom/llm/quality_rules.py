@@ -249,7 +249,7 @@ def verdicts(piece: Piece, lang: np.ndarray, refs: References) -> dict[str, np.n
     for k, (c, w) in enumerate(refs.by_lang.values()):
         by_chars[:, k], by_words[:, k] = distance(*of_chars, n, c), distance(*of_words, n, w)
     js_chars, js_words = by_chars.min(axis=1), by_words.min(axis=1)
-    known = bool(refs.by_lang)
+    known = np.array([bool(refs.by_lang) and (x is None or x in refs.by_lang) for x in lang], bool)
     far = (((chars.sum(axis=1) >= GUARD_CHARS) & (js_chars > MAX_CHARS))
            | ((out["n_words"] >= GUARD_WORDS) & (js_words > MAX_WORDS))) & known
     failed = base_failed(out)
