@@ -50,3 +50,13 @@ def test_unusual_rows(spark):
     rows = [(None, "the", "en", None), (1, "the", None, None), (1, "the", None, None)]
     got = language_id.identify(spark.createDataFrame(rows, SCHEMA)).collect()
     assert {r["lang_pred"] for r in got} == {"und"} and len(got) == 3
+
+
+def test_a_rare_language_gets_its_part_of_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE", 120)
+    rows = [(i, "some words", f"l{i % 5}", "x") for i in range(10_000)]
+    rows += [(10_000 + i, "other words", "rare", "x") for i in range(25)]
+    got = [r[0] for r in language_id.sample(spark.createDataFrame(rows, SCHEMA))]
+    usable = sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(10_000, 10_025))
+    assert got.count("rare") == min(usable, 20)
+    assert all(got.count(f"l{k}") >= 20 for k in range(5)) and len(got) == 120

@@ -3,8 +3,8 @@
 Byte n-grams of the lower-cased text are hashed into buckets. A text is the
 average of its buckets' embeddings; a linear softmax on it is trained together
 with the embeddings by stochastic gradient descent in numpy. The sample it is
-fitted on is bounded: ``SAMPLE`` rows, as many of each of at most ``LANGS``
-languages as there are, drawn by a hash of the id. A part of it is kept back to set the softmax's
+fitted on is bounded: ``SAMPLE`` rows, as many of each of the ``LANGS`` commonest
+languages, or all of one that has fewer, drawn by a hash of the id. A part of it is kept back to set the softmax's
 temperature and the score under which a prediction is rejected.
 
 Fitted, an n-gram's effect on the logits is a row of one table of fixed size,
@@ -24,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickloom.llm.texts import Piece, in_small_batches, lower, pieces
 
@@ -172,11 +172,21 @@ def sample(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT) -> lis
     sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()
     if not sizes:
         return []
-    each = 1.2 * SAMPLE / len(sizes)
-    share = F.create_map(*(F.lit(v) for r in sizes for v in (r["lang"], each / r["count"])))
+    # Languages with fewer rows than an equal part give all; the others share what is left.
+    left, part = SAMPLE, {}
+    for k, r in enumerate(reversed(sizes)):
+        part[r["lang"]] = min(r["count"], left // (len(sizes) - k))
+        left -= part[r["lang"]]
+    # More are drawn than wanted, so that hardly any draw falls short.
+    share = F.create_map(*(F.lit(v) for r in sizes for v in (
+        r["lang"], (1.2 * part[r["lang"]] + 30) / r["count"])))
+    wanted = F.create_map(*(F.lit(v) for x in part.items() for v in x))
     luck = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_003)) / 1_000_003
     drawn = usable.where(luck < share[F.col("lang")]).withColumn("luck", luck)
-    counted = drawn.orderBy("luck", "doc_id").limit(SAMPLE).select("lang", "text")
+    # Only the bounded draw is ranked.
+    by_luck = Window.partitionBy("lang").orderBy("luck", "doc_id")
+    counted = drawn.withColumn("rank", F.row_number().over(by_luck)).where(
+        F.col("rank") <= wanted[F.col("lang")]).orderBy("luck", "doc_id").limit(SAMPLE).select("lang", "text")
     # Texts are shuffled for the order only within the sample.
     rows = counted.mapInArrow(_counts, "lang string, bucket array<int>, times array<int>").toArrow()
     lang, bucket, times = (rows.column(k).combine_chunks() for k in range(3))
