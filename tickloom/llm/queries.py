@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickloom.llm import (
-    language_id, minhash, mixing, oracles, quality_rules, sentence_pieces, site_quality, suffix_dedup,
-    toxicity, vantage, window_dedup,
+    hard_negatives, language_id, line_dedup, minhash, mixing, oracles, periodic_runs, quality_rules,
+    sentence_pieces, site_quality, suffix_dedup, toxicity, vantage, window_dedup,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,11 +64,28 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judged(_documents(spark, folder))
 
 
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.runs(periodic_runs.with_periodic_tails(_documents(spark, folder))))
+
+
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet").select(
+        F.col("vec_id").alias("id"), moved.alias("label"), F.col("embedding").alias("vector"))
+    return hard_negatives.mine(hard_negatives.quantised(vectors), F.col("id") % 50 == 0)
+
+
+def op13_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.cuts(_documents(spark, folder)).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
         op1_suffix_array_dedup, op2_language_id, op3_quality_classifier, op4_sentencepiece,
         op5_toxicity, op6_mixing_sources, op7_nearest_neighbours, op8_substring_dedup,
-        op9_minhash_near_dedup, op10_quality_rules,
+        op9_minhash_near_dedup, op10_quality_rules, op11_periodic_runs, op12_hard_negatives,
+        op13_line_dedup,
     )
 }
 
@@ -77,4 +94,7 @@ ORACLES: dict[str, str] = {
     "op1_suffix_array_dedup": oracles.SUFFIX_DEDUP,
     "op8_substring_dedup": oracles.WINDOW_DEDUP,
     "op9_minhash_near_dedup": oracles.NEAR_DEDUP,
+    "op11_periodic_runs": oracles.PERIODIC_RUNS,
+    "op12_hard_negatives": oracles.HARD_NEGATIVES,
+    "op13_line_dedup": oracles.LINE_DEDUP,
 }

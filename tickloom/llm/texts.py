@@ -13,7 +13,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from tickloom.llm.anchors import PIECE, U64, BASE, mix
 
@@ -36,6 +36,13 @@ def in_small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, row): all columns stand in ``row``, where none can clash with another."""
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text"),
+        F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns)).alias("row"))
+
+
 class Piece(NamedTuple):
     """Texts ``begin`` to ``end`` of a batch, laid end to end."""
 
