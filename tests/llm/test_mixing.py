@@ -97,3 +97,10 @@ def test_permutation(spark):
         out = mixing.permuted(np.arange(n), full, key)
         assert sorted(out.tolist()) == list(range(n))
         assert mixing.permuted(out, full, key, inverse=True).tolist() == list(range(n))
+
+
+def test_any_column_names(spark):
+    names = ["_parts", "_own", "_doc", "_id", "_copy", "bucket", "number"]
+    df = spark.createDataFrame([(1, "a b c " * 40, "s", *names)], ["doc_id", "text", "source", *names])
+    out = mixing.mixed(df)
+    assert out.columns == df.columns and tuple(out.first())[3:] == tuple(names)

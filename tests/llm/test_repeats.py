@@ -8,7 +8,7 @@ import pytest
 
 from tickloom.llm import repeats, suffix_dedup, window_dedup
 
-SCHEMA = "doc_id long, text string, source string, n_chars long, places string"
+SCHEMA = "doc_id long, text string, source string, n_chars long, places string, _places string, copy string"
 
 
 def corpus(seed=3, n=60):
@@ -28,7 +28,7 @@ def corpus(seed=3, n=60):
         if rng.random() < 0.2:
             texts.append(texts[-1])
     rng.shuffle(texts)
-    return [(i * 3 - 20, t, "s", 0, "x") for i, t in enumerate(texts)]
+    return [(i * 3 - 20, t, "s", 0, "x", "y", "z") for i, t in enumerate(texts)]
 
 
 def brute_bytes(rows, size=100):
@@ -101,7 +101,7 @@ def test_rewritten_documents(spark, rows):
     cut = {r["doc_id"]: r for r in suffix_dedup.dedup(df).collect()}
     assert len(cut) == len(rows)
     for i, text, *_ in rows:
-        assert cut[i]["n_chars"] == len(cut[i]["text"]) and cut[i]["places"] == "x"
+        assert cut[i]["n_chars"] == len(cut[i]["text"]) and (cut[i]["places"], cut[i]["_places"]) == ("x", "y")
     cut = {r["doc_id"]: r["text"] for r in window_dedup.dedup(df).collect()}
     want = brute_words(rows)
     for i, text, *_ in rows:
@@ -113,8 +113,7 @@ def test_rewritten_documents(spark, rows):
 
 def test_unusual_rows(spark):
     long = " ".join(f"w{i}" for i in range(120))
-    rows = [(None, long, None, None, None), (1, long, None, None, None), (1, long, None, None, None),
-            (2, long, None, None, None)]
+    rows = [(i, long, None, None, None, None, None) for i in (None, 1, 1, 2)]
     df = spark.createDataFrame(rows, SCHEMA)
     got = sorted((r[0] or 0, r[2]) for r in suffix_dedup.cuts(df).collect())
     assert got == [(0, 0), (1, 0), (1, 0), (2, len(long))]
@@ -122,3 +121,24 @@ def test_unusual_rows(spark):
     assert got == [(0, 0), (1, 0), (1, 0), (2, 120)]
     empty = spark.createDataFrame([], SCHEMA)
     assert suffix_dedup.cuts(empty).count() == window_dedup.cuts(empty).count() == 0
+
+
+def test_rows_that_share_a_doc_id(spark):
+    """Every text loses its own repeats, whatever other texts of that id hold."""
+    rng = random.Random(1)
+    prose = lambda k: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(k))
+    a, b, c = prose(80), prose(90), prose(400)
+    for rows, want in (
+        ([(1, a), (2, b), (2, b + a)], [(a, 0), (b, 0), (b + a, len(a))]),
+        ([(1, a), (2, a), (2, c)], [(a, 0), (a, len(a)), (c, 0)]),
+        ([(1, a), (2, a), (2, "short text")], [(a, 0), (a, len(a)), ("short text", 0)]),
+    ):
+        df = spark.createDataFrame([(*r, "s", 0, "x", "y", "z") for r in rows], SCHEMA)
+        # A passage may begin with the space or letter that both texts happen to share before it.
+        got = sorted((r["n_bytes"], r["n_removed"]) for r in suffix_dedup.cuts(df).collect())
+        assert got == sorted((len(t), n) for t, n in want)
+        kept = sorted(r["text"] for r in suffix_dedup.dedup(df).collect())
+        assert kept == sorted(t[:len(t) - n] for t, n in want)
+        words = sorted((r["n_words"], r["n_removed"]) for r in window_dedup.cuts(df).collect())
+        lost = {0: 0, len(a): 80 if len(rows[2][1]) < len(b) or rows[1][1] == a else 79}
+        assert words == sorted((len(t.split()), lost[n]) for t, n in want)

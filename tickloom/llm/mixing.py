@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tickloom.llm.anchors import U64, mix
 from tickloom.llm.repeats import rewritten
-from tickloom.llm.texts import in_small_batches, pieces, words
+from tickloom.llm.texts import in_small_batches, pieces, unused, words
 from tickloom.session import write_and_reread
 
 WEIGHTS = (5, 2, 1)
@@ -242,16 +242,13 @@ def takes(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
-_PARTS = "_parts"
-
-
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts made of their taken parts; parts that follow each other stay together."""
     for batch in batches:
         for piece in pieces(batch.column("text")):
             found = words(piece)
             out = []
-            lists = batch.column(_PARTS).slice(piece.begin, piece.end - piece.begin).to_pylist()
+            lists = batch.column(batch.num_columns - 1).slice(piece.begin, piece.end - piece.begin).to_pylist()
             for i, parts in enumerate(lists):
                 runs: list[list[int]] = []
                 for _, begin, end in sorted(tuple(p.values()) for p in parts):
@@ -265,7 +262,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     (whole if (a, b) == (0, n) else
                      piece.data[found.start[first + a]:found.end[first + b - 1]]).tobytes().decode()
                     for a, b in runs))
-            yield rewritten(batch.drop_columns([_PARTS]), piece, out)
+            yield rewritten(batch, piece, out)
 
 
 def mixed(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
@@ -275,12 +272,12 @@ def mixed(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     nothing is taken are not in the mix. ``n_chars``, if there, follows the text.
     """
     mix_ = Mix(docs, block, seed)
-    by_doc = mix_.parts.groupBy("doc_id", "copy").agg(
-        F.collect_list(F.struct("turn", "begin", "end")).alias(_PARTS))
-    named = by_doc.select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"), _PARTS)
-    texts = docs.withColumn("_own", F.xxhash64("text"))
+    own, doc, copy, parts = (unused(docs, c) for c in ("_own", "_doc", "_copy", "_parts"))
+    by_text = mix_.parts.groupBy("doc_id", "copy").agg(
+        F.collect_list(F.struct("turn", "begin", "end"))).toDF(doc, copy, parts)
+    texts = docs.withColumn(own, F.xxhash64("text"))
     if mix_.sized.groupBy("doc_id", "copy").count().where("count > 1").limit(1).count():
-        texts = texts.dropDuplicates(["doc_id", "_own"])
+        texts = texts.dropDuplicates(["doc_id", own])
     return (
-        texts.join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_copy")))
-        .drop("_id", "_copy", "_own").mapInArrow(_texts, docs.schema))
+        texts.join(by_text, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(copy)))
+        .drop(own, doc, copy).mapInArrow(_texts, docs.schema))

@@ -26,15 +26,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tickloom.llm.anchors import BASE, PIECE, U64, Blocks, Rolling, blocks, mix
-from tickloom.llm.texts import Piece, in_small_batches, pieces
+from tickloom.llm.texts import Piece, in_small_batches, pieces, unused
 from tickloom.session import write_and_reread
 
-#: Column of a text's places; no column of documents has this name.
-PLACES = "_places"
-
 #: Codes of the symbols of a piece, and the first symbol of each text.
 Symbols = Callable[[Piece], tuple[np.ndarray, np.ndarray]]
 
@@ -101,7 +98,7 @@ def _scan(ladder: Ladder, seeds_only: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids, copies = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "copy"))
             for piece in pieces(batch.column("text")):
                 codes, bounds = ladder.symbols(piece)
                 found = all_blocks(ladder, codes, bounds)
@@ -114,6 +111,7 @@ def _scan(ladder: Ladder, seeds_only: bool):
                 yield _arrow(
                     ("outer", found.seed[own]), ("inner", found.body[own]),
                     ("doc_id", ids[piece.begin + text].astype(np.int64)),
+                    ("copy", copies[piece.begin + text]),
                     ("place", places.pack(
                         lo - bounds[text], found.anchor[own] - lo, found.count[own])),
                 )
@@ -122,8 +120,8 @@ def _scan(ladder: Ladder, seeds_only: bool):
 
 
 def listed(batch: pa.RecordBatch, piece: Piece) -> tuple[np.ndarray, np.ndarray]:
-    """The places of the piece's texts, and which text each belongs to."""
-    lists = batch.column(PLACES).slice(piece.begin, piece.end - piece.begin)
+    """The places of the piece's texts (the batch's last column), and which text each belongs to."""
+    lists = batch.column(batch.num_columns - 1).slice(piece.begin, piece.end - piece.begin)
     size = np.array([0 if x is None else x for x in lists.value_lengths().to_pylist()], np.int64)
     return lists.flatten().to_numpy().astype(np.int64), np.repeat(np.arange(len(size)), size)
 
@@ -139,16 +137,16 @@ def _ranks(ladder: Ladder, windows: bool):
 
     def ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids, copies = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "copy"))
             for piece in pieces(batch.column("text"), PIECE // 2):
                 codes, bounds = ladder.symbols(piece)
                 rolling = Rolling(codes)
                 place, text = listed(batch, piece)
                 for a in range(0, len(place), 20_000):
                     part = slice(a, a + 20_000)
-                    yield level(rolling, ids[piece.begin:], bounds, place[part], text[part])
+                    yield level(rolling, ids[piece.begin:], copies[piece.begin:], bounds, place[part], text[part])
 
-    def level(rolling, ids, bounds, place, text):
+    def level(rolling, ids, copies, bounds, place, text):
         lo, lead, n = places.unpack(place)
         if windows:
             count, step = n, 1
@@ -173,19 +171,27 @@ def _ranks(ladder: Ladder, windows: bool):
         return _arrow(
             ("outer", core.view(np.int64)),
             ("inner", mix(body + (lead * window + n).astype(U64) * U64(BASE)).view(np.int64)),
-            ("doc_id", ids[text].astype(np.int64)),
+            ("doc_id", ids[text].astype(np.int64)), ("copy", copies[text]),
             ("place", places.pack(lo + skip, lead, n)))
 
     return ranks
 
 
+def copy_of() -> Column:
+    """Tells the texts of rows with one doc_id apart."""
+    return F.xxhash64("text")
+
+
 def with_places(docs: DataFrame, rows: DataFrame, how: str = "inner") -> DataFrame:
-    """Each text with the places that ``rows`` names in it; no more than it has windows."""
-    by_doc = rows.groupBy("doc_id").agg(F.collect_list("place").alias(PLACES))
-    return docs.join(by_doc, "doc_id", how)
+    """``docs`` and, in a last column, the places that ``rows`` names in each text; no more
+    than it has windows. Rows that share a doc_id have their own places."""
+    names = [unused(docs, c) for c in ("_doc", "_copy", "_places")]
+    by_text = rows.groupBy("doc_id", "copy").agg(F.collect_list("place")).toDF(*names)
+    same = (F.col("doc_id") == F.col(names[0])) & (copy_of() == F.col(names[1]))
+    return docs.join(by_text, same, how).drop(*names[:2])
 
 
-ROWS = "outer long, inner long, doc_id long, place long"
+ROWS = "outer long, inner long, doc_id long, copy long, place long"
 
 
 def _judged(rows: DataFrame, within_texts: bool) -> DataFrame:
@@ -197,20 +203,20 @@ def _judged(rows: DataFrame, within_texts: bool) -> DataFrame:
         classes.groupBy("outer").count().where("count > 1").select("outer")).withColumn("shared", F.lit(True))
     return write_and_reread(
         rows.join(classes.join(shared, "outer", "left"), ["outer", "inner"])
-        .select("doc_id", "place", (me > F.col("first")).alias("covered"),
+        .select("doc_id", "copy", "place", (me > F.col("first")).alias("covered"),
                 F.col("shared").isNotNull().alias("shared"))
         .where("covered OR shared"))
 
 
 def repeated_windows(docs: DataFrame, ladder: Ladder, within_texts: bool) -> DataFrame:
-    """Places (doc_id, place) of windows that also start earlier.
+    """Places (doc_id, copy, place) of windows that also start earlier.
 
     Earlier is a smaller ``doc_id``; with ``within_texts`` also an earlier start
     in the same text. Equal blocks of one text are given once, by the first:
     what is said of it holds for the others (see ``removed_windows``).
     """
     in_small_batches(docs)
-    base = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    base = docs.select("doc_id", "text", copy_of().alias("copy")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     seeds = write_and_reread(
         base.mapInArrow(_scan(ladder, True), "outer long")
         .groupBy("outer").count().where("count > 1").select("outer"))
@@ -220,11 +226,11 @@ def repeated_windows(docs: DataFrame, ladder: Ladder, within_texts: bool) -> Dat
     level = _judged(blocks_, False)
     covered = [level]
     for windows in (False, True):
-        edges = level.where("NOT covered").select("doc_id", "place")
+        edges = level.where("NOT covered").select("doc_id", "copy", "place")
         rows = write_and_reread(with_places(base, edges).mapInArrow(_ranks(ladder, windows), ROWS))
         level = _judged(rows, within_texts)
         covered.append(level)
-    found = [x.where("covered").select("doc_id", "place") for x in covered]
+    found = [x.where("covered").select("doc_id", "copy", "place") for x in covered]
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
@@ -265,12 +271,10 @@ def covered_symbols(
 
 
 def rewritten(batch: pa.RecordBatch, piece: Piece, texts: list[str | None]) -> pa.RecordBatch:
-    """Rows of the piece with new texts; ``n_chars``, if there, follows them."""
-    out, names = [], []
-    for name in batch.schema.names:
-        if name == PLACES:
-            continue
-        names.append(name)
+    """Rows of the piece with new texts, without the last column; ``n_chars``, if there, follows
+    the texts."""
+    out, names = [], batch.schema.names[:-1]
+    for name in names:
         if name == "text":
             out.append(pa.array(texts, pa.string()))
         elif name == "n_chars":

@@ -10,9 +10,11 @@ the full length.
 
 Results for unusual rows: NULL text counts as empty. A row with NULL doc_id is
 returned; only repeats inside its own text are cut, and it is no earlier
-occurrence for others. Rows that share a doc_id are one document: they are no
-earlier occurrences for each other at the same place. Texts under 100 bytes
-are kept whole. Other columns are carried by ``dedup`` and ignored by ``cuts``.
+occurrence for others. Rows that share a doc_id are one document
+of several texts: places count from the start of each, and what stands at the same
+place of two is no earlier occurrence. Texts under 100 bytes
+are kept whole. Other columns are carried by ``dedup``, under any
+name, and ignored by ``cuts``.
 """
 
 from __future__ import annotations
@@ -90,4 +92,4 @@ def dedup(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     steps = ladder(threshold)
     found = repeated_windows(docs, steps, within_texts=True)
     return with_places(docs, found, "left").mapInArrow(
-        _cut(steps, True), docs.select("doc_id", *[c for c in docs.columns if c != "doc_id"]).schema)
+        _cut(steps, True), docs.schema)

@@ -43,6 +43,14 @@ def whole_rows(docs: DataFrame) -> DataFrame:
         F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns)).alias("row"))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it if ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 class Piece(NamedTuple):
     """Texts ``begin`` to ``end`` of a batch, laid end to end."""
 

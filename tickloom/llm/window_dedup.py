@@ -7,9 +7,9 @@ anchors are shuffled (see ``repeats``), which lose no repeat of the full length.
 
 Results for unusual rows: NULL and empty texts have no words. A row with NULL
 doc_id is returned whole and is no earlier occurrence for others. Rows that
-share a doc_id are one document, never earlier than each other. Repeats inside
+share a doc_id are one document of several texts, never earlier than each other. Repeats inside
 one document stay. Texts under 50 words stay whole. Other columns are carried
-by ``dedup`` and ignored by ``cuts``.
+by ``dedup``, under any name, and ignored by ``cuts``.
 """
 
 from __future__ import annotations
@@ -91,4 +91,4 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     steps = ladder(window)
     found = repeated_windows(docs, steps, within_texts=False)
     return with_places(docs, found, "left").mapInArrow(
-        _cut(steps, True), docs.select("doc_id", *[c for c in docs.columns if c != "doc_id"]).schema)
+        _cut(steps, True), docs.schema)
