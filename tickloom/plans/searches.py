@@ -4,9 +4,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tickloom.operators import search as Q
+from tickloom.operators import index as I, search as Q
 from tickloom.plans.registry import query
-from tickloom.plans.views import dealt, table, view
+from tickloom.plans.views import dealt, in_order, table, view
 from tickloom.session import stage_folder, write_and_reread
 
 WORDS = """
@@ -127,3 +127,44 @@ def changed_index(spark, sf):
         .filter(F.col("action").isNotNull())
     )
     return Q.apply_changes(Q.build_postings(docs), changes)
+
+
+# Documents change in two steps; in the second, each fifth labelled one comes back.
+CHANGED = """
+WITH state AS (
+ SELECT s.id, CASE WHEN l.doc_id % 5 = 0 THEN s.summary || ' once more' WHEN l.quality = 0
+  THEN s.summary || ' revised note' ELSE s.summary END AS summary
+ FROM summaries s LEFT JOIN labels l ON l.doc_id = s.id WHERE coalesce(l.toxic, 0) <> 1 OR l.doc_id % 5 = 0),
+"""
+
+
+def _changed(spark, sf):
+    """A stored index that a stream of changes has kept up to date."""
+    docs = dealt(view(spark, sf, "summaries")).select("id", "summary")
+    labelled = docs.join(table(spark, sf, "labels").withColumnRenamed("doc_id", "id"), "id")
+    action = F.when(F.col("toxic") == 1, "delete").when(F.col("quality") == 0, "update")
+    first = labelled.select("id", action.alias("action"), F.concat("summary", F.lit(" revised note")).alias("summary"),
+                            F.lit(1).alias("step")).where("action IS NOT NULL")
+    second = labelled.where("id % 5 = 0").select(
+        "id", F.lit("update").alias("action"), F.concat("summary", F.lit(" once more")).alias("summary"),
+        F.lit(2).alias("step"))
+    path = f"{stage_folder(spark)}/index-{uuid.uuid4().hex}"
+    I.write_changes(docs.select("id", F.lit("insert").alias("action"), "summary"), f"{path}/index", -1)
+    stream = in_order(spark, first.unionByName(second), "step = 1 AND id % 2 = 0", "step = 1 AND id % 2 = 1", "step = 2")
+    I.follow_changes(stream, f"{path}/index", f"{path}/progress", "step", seconds=None).awaitTermination()
+    return f"{path}/index"
+
+
+@query("K5_index_stream", "summaries", oracle=CHANGED + WORDS.format(
+    text="summary", source="state").strip() + "," + POSTINGS)
+def index_stream(spark, sf):
+    return I.live_postings(spark, _changed(spark, sf))
+
+
+@query("K5_index_stream_stats", "summaries", oracle=CHANGED + WORDS.format(
+    text="summary", source="state").strip() + """,
+lens AS (SELECT s.id, coalesce(w.n, 0) AS len FROM state s
+ LEFT JOIN (SELECT id, count(*) AS n FROM words GROUP BY id) w ON w.id = s.id)
+SELECT count(*) AS n_docs, round(avg(len), 6) AS avg_len FROM lens""")
+def index_stream_stats(spark, sf):
+    return I.live_stats(spark, _changed(spark, sf)).withColumn("avg_len", F.round("avg_len", 6))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tickloom.plans.registry import query
 from tickloom.plans.sequences import LOOP, SNAPSHOT_S
-from tickloom.plans.views import shaped, view
+from tickloom.plans.views import in_order, shaped, table_stream, view
 from tickloom.session import SETTINGS, stage_folder
 from tickloom.streaming.capture_loop import OUTPUT, loop_rows, run_stream, start_loop
 from tickloom.streaming.rolling import rolling_activity
@@ -17,10 +17,7 @@ STORE = "spark.sql.streaming.stateStore.providerClass"
 def _stream(spark, sf):
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set(STORE, SETTINGS[STORE])
-    events = spark.read.parquet(f"{sf}/events.parquet").schema
-    # The file source takes a folder, so the table is picked by its name.
-    stream = spark.readStream.schema(events).option("pathGlobFilter", "events.parquet").parquet(sf)
-    seen = shaped(stream, "observations")
+    seen = shaped(table_stream(spark, sf, "events"), "observations")
     rows = loop_rows(seen.select("device_id", "tick_ts", "idle_s"), seen)
     return _run(spark, rows, late="0 seconds")
 
@@ -33,16 +30,6 @@ def _run(spark, rows, late):
     return spark.read.schema(OUTPUT).parquet(f"{base}/tables")
 
 
-def _in_order(spark, df, *parts):
-    """A stream of one file for each condition, taken one after the other."""
-    base = f"{stage_folder(spark)}/source-{uuid.uuid4().hex}"
-    for n, part in enumerate(parts):
-        df.filter(part).coalesce(1).write.mode("append").parquet(f"{base}/{n}")
-    return (
-        spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1)
-        .option("recursiveFileLookup", "true").parquet(base))
-
-
 @query("G1_stream_captures", "observations", oracle=LOOP + """
 SELECT a.id, a.device_id, a.ts, a.app, a.title, a.text, a.url, a.filtered
 FROM walk w JOIN active a ON a.id = w.id WHERE w.keep""")
@@ -83,12 +70,26 @@ def stream_late(spark, sf):
     spark.conf.set(STORE, SETTINGS[STORE])
     seen = view(spark, sf, "observations")
     rows = loop_rows(seen.select("device_id", "tick_ts", "idle_s"), seen)
-    stream = _in_order(spark, rows, FIRST, f"NOT ({FIRST}) AND NOT ({LATE})", LATE)
+    stream = in_order(spark, rows, FIRST, f"NOT ({FIRST}) AND NOT ({LATE})", LATE)
     return _run(spark, stream, late="2 days").filter(F.col("kind") == "idle").select(
         "device_id", "ts", "idle_s", "idle"
     )
 
 
+@query("G3_late_counts", "observations", oracle=f"""
+WITH mark AS (SELECT max(tick_ts) - INTERVAL 2 DAY AS mark_ts FROM observations WHERE {FIRST})
+SELECT device_id, count(*) AS n_late FROM observations, mark
+WHERE {LATE} AND tick_ts <= mark_ts GROUP BY device_id""")
+def late_counts(spark, sf):
+    """How many rows of each device came too late."""
+    spark.conf.set(STORE, SETTINGS[STORE])
+    seen = view(spark, sf, "observations")
+    beats = loop_rows(seen.select("device_id", "tick_ts", "idle_s"), seen).filter("z IS NULL")
+    stream = in_order(spark, beats, FIRST, f"NOT ({FIRST}) AND NOT ({LATE})", LATE)
+    late = _run(spark, stream, late="2 days").filter(F.col("kind") == "late")
+    return late.groupBy("device_id").agg(F.sum("n").alias("n_late"))
+
+
 @query("G2_rolling_stream", "activity", oracle="""
 WITH hours AS (
  SELECT bucket, duration, unnest(generate_series(
@@ -102,10 +103,7 @@ def rolling_stream(spark, sf):
     """Rolling activity as a stream: windows are final once the watermark is past them."""
     spark.conf.set(STORE, SETTINGS[STORE])
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    events = spark.read.parquet(f"{sf}/events.parquet").schema
-    stream = shaped(
-        spark.readStream.schema(events).option("pathGlobFilter", "events.parquet").parquet(sf),
-        "activity", "bucket", "ts", "duration")
+    stream = shaped(table_stream(spark, sf, "events"), "activity", "bucket", "ts", "duration")
     base = f"{stage_folder(spark)}/rolling-{uuid.uuid4().hex}"
     (
         rolling_activity(stream, "6 hours", "1 hour").writeStream.outputMode("append").format("parquet")

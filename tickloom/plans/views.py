@@ -7,9 +7,12 @@ other SQL engines, so a check against another engine starts from equal rows.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickloom.functions.settle import settle
+from tickloom.session import stage_folder
 
 SPARK = {
     "k": "_k",
@@ -172,6 +175,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table as a stream, be it one file or a folder of them."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    path = f"{sf_dir}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    # The source takes folders only; as a pattern, the path may also name a file.
+    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
+
+
+def in_order(spark: SparkSession, df: DataFrame, *parts: str) -> DataFrame:
+    """A stream of one file for each condition, taken one after the other."""
+    base = f"{stage_folder(spark)}/source-{uuid.uuid4().hex}"
+    for n, part in enumerate(parts):
+        df.filter(part).coalesce(1).write.mode("append").parquet(f"{base}/{n}")
+    return (
+        spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1)
+        .option("recursiveFileLookup", "true").parquet(base))
+
+
 def dealt(df: DataFrame) -> DataFrame:
     """Rows dealt to all cores, for costly work on each. The given tables come as
     one file with one row group each, which is one task; tables of many files

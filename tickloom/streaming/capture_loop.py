@@ -1,26 +1,37 @@
 """The capture loop over streams of ticks and window observations.
 
-One pass per device keeps the idle state, the last layout and the last kept
-capture of every window, and gives the rows of ``plans.batch_loop.CaptureLoop``.
-
-Rows are held until the watermark has passed them and are then taken in time
-order; rows later than that are dropped by the engine and counted in its
-progress report. So results come one watermark delay after the event.
-
-Rows wait in the state by time slot. A call reads and deletes the slots that the
-watermark has reached, one after another, and leaves the others alone; what a
-task holds is one slot of one device. ``start_loop`` takes its source as it is
-given: limit it there (``maxFilesPerTrigger``), so that a backfill comes in many
+Gives the rows of ``plans.batch_loop.CaptureLoop`` with three stateful operators:
+
+1. by device, over narrow rows (what is on screen, no texts): idle markers, layouts, and
+   for every active tick the number of its epoch, the stretch between two idle ones;
+2. a join of ticks and captures on (device, instant);
+3. by (device, window, epoch): which captures are kept.
+
+So the captures of a device, which are nearly all the bytes and all the comparing,
+spread over its instants and then over its windows; only the narrow rows of one device are
+handled by one task.
+
+Rows are held until the watermark has passed them and are then taken in time order, so
+results come one watermark delay after the event. Rows later than that are dropped by the
+engine. How many, is data: every input row counts as *seen* and every row that the first
+operator is given as *taken*, and ``start_loop`` writes the difference for each device and
+micro-batch to the table ``late``.
+
+Narrow rows wait in the state by time slot. A call reads and deletes the slots that the
+watermark has reached, one after another, and leaves the others alone; what a task holds is
+one slot of one device, and then what a micro-batch releases of one window. What is
+remembered of a window goes once a snapshot is due anyway. ``start_loop`` takes its source as
+it is given: limit it there (``maxFilesPerTrigger``), so that a backfill comes in many
 micro-batches.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -38,18 +49,23 @@ INPUT = flat(
 OUTPUT = flat(
     "kind string, device_id long, ts timestamp, id long, app string, title string, text string,"
     "url string, pid int, window_id long, idle_s double, idle boolean, filtered string,"
-    "panes string"
+    "panes string, n long"
 )
-_HELD = [f.name for f in INPUT.fields if f.name not in ("device_id", "ts")]
+#: Kinds of rows: what the loop finds, and what is counted to find late rows.
+FOUND, COUNTED = ("capture", "layout", "idle"), ("seen", "taken")
+
+_SEEN = ["z", "window_id", "pane_app", "pane_title", "pane", "matched", "idle_s"]
+_TICKS = flat("kind string, device_id long, ts timestamp, epoch long, idle_s double, panes string, n long")
+_CAPTURED = ["id", "z", "window_id", "app", "title", "text", "url", "pid", "idle_s", "filtered"]
+_KEY = ["device_id", "window", "known", "epoch"]
 # Rows wait as JSON, those of one slot and input batch in one entry: every entry
 # is a round trip between processes.
 _SLOT = flat("slot long, part long")
 _WAITING = flat("rows string")
-_DEVICE = flat("is_idle boolean, layout string")
+_DEVICE = flat("is_idle boolean, layout string, epoch long")
 _PARTS = flat("n long")
-# NULL and -1 are different windows.
-_WINDOW = flat("window_id long, known boolean")
 _LAST_KEPT = flat("micros long, app string, title string, url string, text string")
+_ZERO = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
 
 
 def loop_rows(ticks: DataFrame, observations: DataFrame, **privacy) -> DataFrame:
@@ -77,84 +93,57 @@ def loop_rows(ticks: DataFrame, observations: DataFrame, **privacy) -> DataFrame
     )
 
 
-class _Remembered:
-    """A map state read and written once per window and call: each access to
-    the state itself is a round trip between processes."""
-
-    def __init__(self, state) -> None:
-        self.state = state
-        self.known: dict[tuple, tuple | None] = {}
-        self.changed: set[tuple] = set()
-        self.cleared = False
+def _instant(micros: int) -> dt.datetime:
+    return _ZERO + dt.timedelta(microseconds=micros)
 
-    def get(self, key: tuple) -> tuple | None:
-        if key not in self.known:
-            there = not self.cleared and self.state.containsKey(key)
-            self.known[key] = tuple(self.state.getValue(key)) if there else None
-        return self.known[key]
 
-    def put(self, key: tuple, value: tuple) -> None:
-        self.known[key] = value
-        self.changed.add(key)
+def _row(names: list[str], **values) -> Row:
+    return Row(**{n: values.get(n) for n in names})
 
-    def clear(self) -> None:
-        self.known, self.changed, self.cleared = {}, set(), True
 
-    def store(self) -> None:
-        if self.cleared:
-            self.state.clear()
-        for key in self.changed:
-            self.state.updateValue(key, self.known[key])
+class Epochs(StatefulProcessor):
+    """State of one device: idle or not, and the layout last seen. Rows wait until the
+    watermark has passed them."""
 
+    columns = _SEEN
 
-class CaptureLoop(StatefulProcessor):
-    """State of one device."""
-
-    def __init__(
-        self, idle_timeout_s: float, threshold: float, forced_snapshot_s: float, max_compare: int,
-        slot_s: float,
-    ) -> None:
-        self.slot_us = int(slot_s * 1_000_000)
-        self.idle_timeout_s = idle_timeout_s
-        self.rule = CaptureRule(threshold, forced_snapshot_s)
-        self.max_compare = max_compare
+    def __init__(self, idle_timeout_s: float, slot_s: float) -> None:
+        self.idle_timeout_s, self.slot_us = idle_timeout_s, int(slot_s * 1_000_000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.held = handle.getMapState("held", _SLOT, _WAITING)
         self.parts = handle.getValueState("parts", _PARTS)
         self.device = handle.getValueState("device", _DEVICE)
-        self.kept = handle.getMapState("kept", _WINDOW, _LAST_KEPT)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        earliest = None
-        part = self.parts.get()[0] if self.parts.exists() else 0
-        for batch in rows:
-            micros = batch["ts"].astype("datetime64[us]").astype("int64")
-            clean = batch[_HELD].astype(object).where(batch[_HELD].notna(), None)
-            slots: dict[int, list] = {}
-            for m, r in zip(micros, clean.itertuples(index=False, name=None)):
-                slots.setdefault(int(m) // self.slot_us, []).append([int(m), *self._typed(r)])
+
+    def close(self) -> None:
+        pass
+
+    def hold(self, rows: Iterator[Row]) -> int:
+        """Put rows to the others; returns their number."""
+        slots: dict[int, list] = {}
+        n = 0
+        for row in rows:
+            m = row["micros"]
+            slots.setdefault(m // self.slot_us, []).append([m, *(row[c] for c in self.columns)])
+            n += 1
+        if n:
+            part = self.parts.get()[0] if self.parts.exists() else 0
             for slot, waiting in slots.items():
                 self.held.updateValue((slot, part), (json.dumps(waiting),))
-            part += 1
-            if len(micros):
-                first = int(micros.min())
-                earliest = first if earliest is None else min(earliest, first)
-        if earliest is not None:
-            self.parts.update((part,))
-            self._wake_at(earliest)
-        return iter(())
+            self.parts.update((part + 1,))
+            self.wake_at(min(row[0] for waiting in slots.values() for row in waiting))
+        return n
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        watermark = timerValues.getCurrentWatermarkInMs() * 1000
+    def due(self, watermark: int) -> Iterator[list[dict]]:
+        """Rows up to the watermark, slot by slot; wakes again for the first of the others."""
         due: dict[int, list[int]] = {}
         later = None  # the earliest instant that may still hold a row
         for slot, part in self.held.keys():
-            if slot * self.slot_us <= watermark:
+            start = slot * self.slot_us
+            if start <= watermark:
                 due.setdefault(slot, []).append(part)
             else:
-                start = slot * self.slot_us
                 later = start if later is None else min(later, start)
         for slot in sorted(due):
             rows = [row for part in due[slot] for row in json.loads(self.held.getValue((slot, part))[0])]
@@ -165,96 +154,119 @@ class CaptureLoop(StatefulProcessor):
                 self.held.updateValue((slot, due[slot][0]), (json.dumps(waiting),))
                 start = min(row[0] for row in waiting)
                 later = start if later is None else min(later, start)
-            ready = [dict(zip(["micros", *_HELD], row)) for row in rows if row[0] <= watermark]
-            out = list(self._play(key[0], ready)) if ready else []
-            if out:
-                yield self._frame(out)
+            ready = [dict(zip(["micros", *self.columns], row)) for row in rows if row[0] <= watermark]
+            if ready:
+                yield ready
         if later is not None:
-            self._wake_at(later)
-
-    @staticmethod
-    def _frame(out: list[dict]) -> pd.DataFrame:
-        # Plain objects: frames with Arrow strings cannot be put together again.
-        frame = pd.DataFrame(out, columns=[f.name for f in OUTPUT.fields], dtype=object)
-        frame["ts"] = pd.to_datetime(frame["ts"].astype("int64"), unit="us")
-        frame["idle_s"] = frame["idle_s"].astype("float64")
-        for name, kind in (("id", "Int64"), ("window_id", "Int64"), ("pid", "Int32"),
-                           ("idle", "boolean")):
-            frame[name] = frame[name].astype(kind)
-        return frame
+            self.wake_at(later)
 
-    def close(self) -> None:
-        pass
+    def wake_at(self, micros: int) -> None:
+        self.handle.registerTimer(-(-micros // 1000))
 
-    @staticmethod
-    def _typed(values: tuple) -> list:
-        """Plain Python values instead of numpy's."""
-        typed = []
-        for name, value in zip(_HELD, values):
-            if value is None:
-                typed.append(None)
-            elif name in ("id", "z", "window_id", "pid"):
-                typed.append(int(value))
-            elif name in ("matched", "recorded"):
-                typed.append(bool(value))
-            elif name == "idle_s":
-                typed.append(float(value))
-            else:
-                typed.append(value)
-        return typed
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        n = self.hold(rows)
+        if n:
+            # Stands just after the watermark, where no row is late.
+            now = timerValues.getCurrentWatermarkInMs() * 1000 + 1
+            yield _row(_TICKS.names, kind="taken", device_id=key[0], ts=_instant(now), n=n)
 
-    def _wake_at(self, micros: int) -> None:
-        self.handle.registerTimer(-(-micros // 1000))
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        for rows in self.due(timerValues.getCurrentWatermarkInMs() * 1000):
+            for found in self._play(key[0], rows):
+                yield _row(_TICKS.names, **found)
 
     def _play(self, device_id: int, rows: list[dict]) -> Iterator[dict]:
         """Go through complete ticks in order."""
         ticks: dict[int, list[dict]] = {}
         for row in rows:
             ticks.setdefault(row["micros"], []).append(row)
-        is_idle, layout = self.device.get() if self.device.exists() else (False, None)
-        windows_kept = _Remembered(self.kept)
+        is_idle, layout, epoch = self.device.get() if self.device.exists() else (False, None, 0)
         for micros in sorted(ticks):
             windows = sorted(
                 (r for r in ticks[micros] if r["z"] is not None), key=lambda r: r["z"]
             )
             idle_s = max((r["idle_s"] for r in ticks[micros] if r["z"] is None and r["idle_s"] is not None),
                          default=max((r["idle_s"] or 0.0 for r in windows), default=0.0))
-            base = {"device_id": device_id, "ts": micros}
+            base = {"device_id": device_id, "ts": _instant(micros)}
             if idle_s >= self.idle_timeout_s:
                 if not is_idle:
-                    yield {**base, "kind": "idle", "app": S.IDLE_APP, "title": "", "text": "",
-                           "pid": -1, "idle_s": idle_s, "idle": True}
+                    yield {**base, "kind": "idle", "idle_s": idle_s}
                 is_idle = True
                 continue
             if is_idle:
-                is_idle, layout = False, None
-                windows_kept.clear()
+                is_idle, layout, epoch = False, None, epoch + 1
             if not any(r["matched"] for r in windows):
                 continue
             now = json.dumps([[r["window_id"], r["pane_app"], r["pane_title"]] for r in windows])
             if now != layout:
                 layout = now
-                yield {**base, "kind": "layout",
-                       "panes": "[" + ",".join(r["pane"] for r in windows) + "]"}
-            for r in windows:
-                if r["recorded"] and self._keeps(windows_kept, micros, r):
-                    yield {**base, "kind": "capture", "idle": False,
-                           **{c: r[c] for c in ("id", "app", "title", "text", "url", "pid",
-                                                "window_id", "idle_s", "filtered")}}
-        windows_kept.store()
-        self.device.update((is_idle, layout))
-
-    def _keeps(self, kept: _Remembered, micros: int, r: dict) -> bool:
-        window = (r["window_id"] or 0, r["window_id"] is not None)
-        content = (r["app"], r["title"], r["url"], (r["text"] or "")[: self.max_compare])
-        last = kept.get(window)
-        if last is not None:
-            before = tuple(last[1:])
-            due = micros - last[0] >= self.rule.horizon_after(before) * 1_000_000
-            if not due and not self.rule.differs(content, before):
-                return False
-        kept.put(window, (micros, *content))
-        return True
+                yield {**base, "kind": "layout", "panes": "[" + ",".join(r["pane"] for r in windows) + "]"}
+            yield {**base, "kind": "tick", "epoch": epoch}
+        self.device.update((is_idle, layout, epoch))
+
+
+class Kept(StatefulProcessor):
+    """State of one window in one epoch: its last kept capture. Other rows pass through.
+
+    Ticks come once the watermark has passed them and meet their captures at once, so a
+    micro-batch brings all rows of a window up to the watermark, and none before those of
+    the last one.
+    """
+
+    def __init__(self, rule: CaptureRule, max_compare: int) -> None:
+        self.rule, self.max_compare = rule, max_compare
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        # While there is a value, a timer is set.
+        self.kept = handle.getValueState("kept", _LAST_KEPT)
+
+    def close(self) -> None:
+        pass
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        captures = []
+        for row in rows:
+            if row["kind"] == "tick":
+                captures.append(row)
+            elif row["kind"] == "idle":
+                yield _row(OUTPUT.names, kind="idle", device_id=key[0], ts=_instant(row["micros"]), app=S.IDLE_APP, title="",
+                           text="", pid=-1, idle_s=row["idle_s"], idle=True)
+            else:
+                yield _row(OUTPUT.names, ts=_instant(row["micros"]),
+                           **{c: row[c] for c in ("kind", "device_id", "panes", "n")})
+        if not captures:
+            return
+        first = last = tuple(self.kept.get()) if self.kept.exists() else None
+        for row in sorted(captures, key=lambda r: (r["micros"], r["z"])):
+            micros = row["micros"]
+            content = (row["app"], row["title"], row["url"], (row["text"] or "")[:self.max_compare])
+            if last is None or self._keeps(micros, content, last):
+                last = (micros, *content)
+                yield _row(OUTPUT.names, kind="capture", device_id=key[0], ts=_instant(micros), idle=False,
+                           **{c: row[c] for c in _CAPTURED if c != "z"})
+        if last is not first:
+            self.kept.update(last)
+            if first is None:
+                self._wake(last)
+
+    def _due(self, last: tuple) -> int:
+        """From then on the next capture is kept whatever came before it."""
+        return last[0] + int(self.rule.horizon_after(last[1:]) * 1_000_000)
+
+    def _wake(self, last: tuple) -> None:
+        self.handle.registerTimer(-(-self._due(last) // 1000))
+
+    def _keeps(self, micros: int, content: tuple, last: tuple) -> bool:
+        return micros >= self._due(last) or self.rule.differs(content, last[1:])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        last = tuple(self.kept.get())
+        if self._due(last) <= timerValues.getCurrentWatermarkInMs() * 1000:
+            self.kept.clear()
+        else:
+            self._wake(last)
+        return iter(())
 
 
 def run_stream(
@@ -266,34 +278,63 @@ def run_stream(
     max_compare: int = S.MAX_TEXT_COMPARE,
     slot_s: float = 600,
 ) -> DataFrame:
-    """Captures, layouts and idle markers of a stream of ``loop_rows``, told
-    apart by ``kind``. ``slot_s``: time that waiting rows of one state entry
-    span. Needs the RocksDB state store."""
-    loop = CaptureLoop(idle_timeout_s, threshold, forced_snapshot_s, max_compare, slot_s)
-    return rows.withWatermark("ts", late).groupBy("device_id").transformWithStateInPandas(
-        statefulProcessor=loop, outputStructType=OUTPUT, outputMode="Append",
-        timeMode="EventTime",
+    """Captures, layouts and idle markers of a stream of ``loop_rows``, told apart by
+    ``kind``, with rows that count what was seen and taken. ``slot_s``: time that waiting
+    rows of one state entry span. Needs the RocksDB state store."""
+    marked = rows.withWatermark("ts", late)
+    micros = F.unix_micros("ts").alias("micros")
+    ticks = marked.select("device_id", "ts", micros, *_SEEN).groupBy("device_id").transformWithState(
+        statefulProcessor=Epochs(idle_timeout_s, slot_s), outputStructType=_TICKS, outputMode="Append",
+        timeMode="EventTime", eventTimeColumnName="ts",
+    )
+    captured = marked.where("recorded AND z IS NOT NULL").select(
+        F.col("device_id").alias("c_device"), F.col("ts").alias("c_ts"),
+        F.struct(*_CAPTURED).alias("capture"))
+    met = ticks.join(
+        captured, (F.col("kind") == "tick") & (F.col("device_id") == F.col("c_device")) & (F.col("ts") == F.col("c_ts")),
+        "left_outer").where("kind <> 'tick' OR capture IS NOT NULL")
+    window = F.col("capture.window_id")  # NULL and 0 are different windows.
+    keyed = met.select(
+        "kind", "device_id", "ts", micros, "panes", "n", F.coalesce("capture.idle_s", "idle_s").alias("idle_s"),
+        *(F.col(f"capture.{c}").alias(c) for c in _CAPTURED if c != "idle_s"),
+        F.coalesce(window, F.lit(0)).alias("window"), window.isNotNull().alias("known"),
+        F.coalesce("epoch", F.lit(-1)).alias("epoch"))
+    found = keyed.groupBy(*_KEY).transformWithState(
+        statefulProcessor=Kept(CaptureRule(threshold, forced_snapshot_s), max_compare),
+        outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime",
     )
+    seen = rows.select(F.lit("seen").alias("kind"), "device_id", F.lit(1).cast("long").alias("n"))
+    return found.unionByName(seen, allowMissingColumns=True).select(*OUTPUT.names)
 
 
 def start_loop(
     output: DataFrame, path: str, checkpoint: str, seconds: float | None = S.TICK_SECONDS
 ) -> StreamingQuery:
-    """Write the loop's output to tables under ``path``; with ``seconds=None``
-    all rows that are there are taken and the query ends.
+    """Write the loop's output to the tables ``captures``, ``layout`` and ``late`` (n rows of
+    a device that a micro-batch dropped) under ``path``; with ``seconds=None`` all rows that
+    are there are taken and the query ends.
 
     Each micro-batch overwrites its own folder, so one that is run again
     leaves no row twice.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        # One pass over state and texts: rows that only count are summed up beside the others.
+        batch = batch.persist()
+        late = batch.where(F.col("kind").isin(*COUNTED)).groupBy("device_id").agg(
+            F.sum(F.when(F.col("kind") == "seen", F.col("n")).otherwise(-F.col("n"))).alias("n")).where("n > 0")
+        found = batch.where(F.col("kind").isin(*FOUND)).withColumn(
+            "table", F.when(F.col("kind") == "layout", "layout").otherwise("captures"))
+        rows = found.unionByName(
+            late.select(F.lit("late").alias("kind"), "device_id", "n", F.lit("late").alias("table")),
+            allowMissingColumns=True)
         # Overwriting only the partition of this micro-batch.
         (
-            batch.withColumn("table", F.when(F.col("kind") == "layout", "layout").otherwise("captures"))
-            .withColumn("micro_batch", F.lit(batch_id))
+            rows.withColumn("micro_batch", F.lit(batch_id))
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy("table", "micro_batch").parquet(path)
         )
+        batch.unpersist()
 
     writer = output.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     if seconds is None:
