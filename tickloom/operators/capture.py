@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tickloom import settings as S
 from tickloom.functions import privacy, text as X
+from tickloom.operators.lists import listed
 
 
 def drop_hidden(df: DataFrame) -> DataFrame:
@@ -23,9 +24,21 @@ def drop_empty(df: DataFrame, min_length: int = S.MIN_TEXT_LENGTH) -> DataFrame:
     )
 
 
+def mark_blocked(
+    df: DataFrame, blocked: Sequence[str] | DataFrame = S.BLOCKED_APPS, flag: str = "_blocked"
+) -> DataFrame:
+    """``df`` with ``flag``: the app is on the blocklist, whatever its case. A long list
+    comes as a table of one column."""
+    app = F.coalesce("app", F.lit(""))
+    if isinstance(blocked, DataFrame):
+        names = blocked.select(F.lower(F.col(blocked.columns[0])).alias("name"))
+        return listed(df, F.lower(app), names, flag)
+    return df.withColumn(flag, privacy.is_app_blocked(app, blocked))
+
+
 def capture(
     observations: DataFrame,
-    blocked: Sequence[str] = S.BLOCKED_APPS,
+    blocked: Sequence[str] | DataFrame = S.BLOCKED_APPS,
     sensitive_keys: Sequence[str] = S.SENSITIVE_URL_KEYS,
     extra_title: Sequence[str] = (),
     extra_content: Sequence[str] = (),
@@ -42,14 +55,13 @@ def capture(
     and url are empty. ``keep`` names further columns to carry along. With
     ``only_recorded=False`` the dropped windows stay, marked by ``recorded``.
 
-    One narrow stage without a shuffle; the URL scan runs on text that is
-    already cut.
+    One narrow stage without a shuffle, but for a list of blocked apps that is a table
+    (see ``mark_blocked``); the URL scan runs on text that is already cut.
     """
     matched = F.coalesce("matched", F.lit(False))
-    is_blocked = privacy.is_app_blocked(F.coalesce("app", F.lit("")), blocked)
     title = F.when(matched, X.strip(F.coalesce("ax_title", F.lit("")))).otherwise("")
     shown = F.col("_blocked") | ~F.coalesce("hidden", F.lit(False))
-    seen = observations.withColumn("_blocked", is_blocked)
+    seen = mark_blocked(observations, blocked)
     if only_recorded:
         seen = seen.filter(shown)
     read = (

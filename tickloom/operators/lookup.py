@@ -32,6 +32,26 @@ def sessions_between(df: DataFrame, start: dt.datetime, end: dt.datetime) -> Dat
     return _within(df, "start_ts", start, end).orderBy("start_ts", "id")
 
 
+def captures_during(
+    df: DataFrame, spans: DataFrame, start: str = "start_ts", end: str = "end_ts", ts: str = "ts"
+) -> DataFrame:
+    """Captures within any of the spans [start, end], each once; of any device, or of the
+    span's own where spans have one.
+
+    Met by day. On a stored table only the days of the spans are read: Spark learns them
+    when it has the spans (dynamic pruning).
+    """
+    keys = [c for c in ["device_id"] if c in spans.columns and c in df.columns]
+    dated = df if "date" in df.columns else df.withColumn("date", F.to_date(ts))
+    days = spans.filter(F.col(start) <= F.col(end)).select(
+        *(F.col(c).alias(f"_{c}") for c in keys), F.col(start).alias("_start"), F.col(end).alias("_end"),
+        F.explode(F.sequence(F.to_date(start), F.to_date(end))).alias("_date"))
+    inside = (F.col("date") == F.col("_date")) & F.col(ts).between(F.col("_start"), F.col("_end"))
+    for c in keys:
+        inside = inside & (F.col(c) == F.col(f"_{c}"))
+    return dated.join(days, inside, "left_semi").select(*df.columns)
+
+
 def captures_by_app(df: DataFrame, app: str, limit: int = S.CAPTURE_LIMIT) -> DataFrame:
     """Newest captures of one app; the name is compared with its case."""
     return df.filter(F.col("app") == app).orderBy(F.col("ts").desc(), "id").limit(limit)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from tickloom import settings as S
 from tickloom.functions.times import seconds_between
 from tickloom.operators.last_kept import keep_against_last
+from tickloom.operators.lists import only_listed
 from tickloom.operators.sequence import (
     Order, asof_join, segments, trailing_window, with_earlier,
 )
@@ -95,12 +96,14 @@ def switch_bursts(
 
 
 def distraction_dwell(
-    found_sessions: DataFrame, apps: Sequence[str] = S.DISTRACTION_APPS, over_s: float = 600
+    found_sessions: DataFrame, apps: Sequence[str] | DataFrame = S.DISTRACTION_APPS, over_s: float = 600
 ) -> DataFrame:
-    """Sessions in one of the listed apps that last longer than ``over_s``."""
-    return found_sessions.filter(
-        F.col("app").isin(list(apps)) & (F.col("duration_s") > over_s)
-    )
+    """Sessions in one of the listed apps that last longer than ``over_s``. A long list
+    comes as a table of one column."""
+    long = found_sessions.filter(F.col("duration_s") > over_s)
+    if isinstance(apps, DataFrame):
+        return only_listed(long, F.col("app"), apps)
+    return long.filter(F.col("app").isin(list(apps)))
 
 
 def focus_ends(

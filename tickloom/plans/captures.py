@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tickloom import settings as S
 from tickloom.functions import privacy, text as X
 from tickloom.operators import capture as C, windows as W
+from tickloom.operators.capture import mark_blocked
 from tickloom.plans.registry import query
 from tickloom.plans.views import dealt, table, view
 
@@ -34,6 +35,16 @@ def private_sql(title: str) -> str:
     return f"(regexp_matches({title}, '{PRIVATE_RX}') OR {attributes})"
 
 
+@query("F5_app_on_long_list", "observations", oracle="""
+SELECT id, app, lower(app) IN (SELECT lower(c_name) FROM customer) OR lower(app) IN ('bitwarden', 'click') AS blocked
+FROM observations""")
+def app_on_long_list(spark, sf):
+    """A blocklist that is a table."""
+    names = table(spark, sf, "customer").select("c_name").unionByName(
+        spark.createDataFrame([("Bitwarden",), ("CLICK",), ("click",), (None,)], "c_name string"))
+    return mark_blocked(view(spark, sf, "observations"), names, "blocked").select("id", "app", "blocked")
+
+
 @query("F5_app_blocked", "observations", oracle=f"SELECT id, app, {BLOCKED} AS blocked FROM observations")
 def app_blocked(spark, sf):
     return view(spark, sf, "observations").select(

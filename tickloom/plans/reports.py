@@ -105,6 +105,16 @@ def dwell(spark, sf):
     )
 
 
+@query("D6_dwell_long_list", "captures", oracle=SESSIONS + """
+SELECT device_id, app, title, start_ts, duration_s FROM found
+WHERE app IN (SELECT event_type FROM events WHERE event_id % 4000 = 17) AND duration_s > 90000""")
+def dwell_long_list(spark, sf):
+    """Apps to look for that are a table."""
+    found = R.sessions(view(spark, sf, "captures"), gap_s=2 * DAY, slice_s=5 * DAY)
+    apps = table(spark, sf, "events").filter("event_id % 4000 = 17").select("event_type")
+    return R.distraction_dwell(found, apps, 90_000).select("device_id", "app", "title", "start_ts", "duration_s")
+
+
 @query("D7_focus_ends", "captures", oracle="""
 WITH marked AS (SELECT *, coalesce(lag(app) OVER w <> app, true) AS starts FROM captures
  WINDOW w AS (PARTITION BY device_id ORDER BY ts, id)),

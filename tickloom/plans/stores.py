@@ -1,17 +1,18 @@
 """What is written is read back: appends, rejected rows, JSON lines, failed captures."""
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import functions as F
 
 from tickloom import settings as S
-from tickloom.operators import idle
+from tickloom.operators import idle, lookup
 from tickloom.operators.windows import panes
 from tickloom.plans.registry import query
 from tickloom.plans.sequences import DAY_TICKS, LAYOUTS, day_ticks, layout_text
 from tickloom.plans.views import view
 from tickloom.session import stage_folder
-from tickloom.sources import tables
+from tickloom.sources import events, tables
 
 DAY = 86_400
 
@@ -74,6 +75,74 @@ def append_captures(spark, sf):
                  "id", "ts", "app", "title", "url", "idle", "transition")
 
 
+@query("K1_append_again", "captures", oracle="""
+SELECT id, ts, app, title, id % 2 = 0 AS named FROM captures""")
+def append_again(spark, sf):
+    """Appends that were run twice, with and without a batch name."""
+    rows = view(spark, sf, "captures", "id", "ts", "app", "title")
+    path = _new(spark, "captures")
+    for _ in range(2):
+        tables.write_captures(rows.filter("id % 2 = 0"), path, "even")
+        tables.write_captures(rows.filter("id % 2 <> 0"), path)
+    named = spark.read.parquet(path).select("id", "ts", "app", "title", (F.col("batch") == "even").alias("named"))
+    return named
+
+
+@query("F2_stored_captures_between", "captures", oracle="""
+SELECT id, ts, app, CAST(ts AS DATE) AS date FROM captures
+WHERE ts BETWEEN TIMESTAMP '2024-01-10 00:00:00' AND TIMESTAMP '2024-01-20 12:00:00'""")
+def stored_between(spark, sf):
+    path = _new(spark, "captures")
+    tables.write_captures(view(spark, sf, "captures", "id", "device_id", "ts", "app", "title"), path, "all")
+    found = lookup.captures_between(
+        tables.read_table(spark, path, "captures"), dt.datetime(2024, 1, 10), dt.datetime(2024, 1, 20, 12))
+    return found.select("id", "ts", "app", "date")
+
+
+@query("F2_stored_captures_during", "captures", oracle="""
+WITH spans AS (SELECT device_id, ts AS start_ts, ts + INTERVAL 3 HOUR AS end_ts FROM captures
+ WHERE app = 'purchase' AND id % 50 = 0)
+SELECT id, ts, app FROM captures c WHERE EXISTS (
+ SELECT 1 FROM spans s WHERE s.device_id = c.device_id AND c.ts BETWEEN s.start_ts AND s.end_ts)""")
+def stored_during(spark, sf):
+    """What was on screen in the hours after some purchases."""
+    rows = view(spark, sf, "captures", "id", "device_id", "ts", "app", "title")
+    path = _new(spark, "captures")
+    tables.write_captures(rows, path, "all")
+    spans = rows.filter("app = 'purchase' AND id % 50 = 0").select(
+        "device_id", F.col("ts").alias("start_ts"), (F.col("ts") + F.expr("INTERVAL 3 HOURS")).alias("end_ts"))
+    return lookup.captures_during(tables.read_table(spark, path, "captures"), spans).select("id", "ts", "app")
+
+
+@query("F3_stored_sessions_between", "known_sessions", oracle="""
+SELECT id, start_ts, end_ts, app FROM known_sessions
+WHERE start_ts BETWEEN TIMESTAMP '2024-01-01 02:00:00' AND TIMESTAMP '2024-01-01 09:30:00'""")
+def stored_sessions(spark, sf):
+    path = _new(spark, "sessions")
+    tables.write_sessions(view(spark, sf, "known_sessions"), path, "all")
+    return lookup.sessions_between(
+        tables.read_table(spark, path, "sessions"), dt.datetime(2024, 1, 1, 2), dt.datetime(2024, 1, 1, 9, 30)
+    ).select("id", "start_ts", "end_ts", "app")
+
+
+@query("D10_day_log", "captures", "activity", oracle="""
+WITH log AS (
+ SELECT ts, 'screen' AS source, '{"app":"' || app || '","title":"' || title || '","text":"' || text
+  || '"}' AS payload FROM captures
+ UNION ALL
+ SELECT ts, 'aw', '{"bucket":"' || bucket || '","duration":' || CAST(duration AS VARCHAR)
+  || ',"data":"' || replace(coalesce(data, '{}'), '"', '\\"') || '"}' FROM activity)
+SELECT ts, source, payload, CAST(ts AS DATE) AS date FROM log
+WHERE ts >= TIMESTAMP '2024-01-05' AND (CAST(ts AS DATE) <> DATE '2024-01-08' OR source = 'screen')""")
+def day_log(spark, sf):
+    """The log by days, one of which is written again without its activity."""
+    log = events.merge_streams(view(spark, sf, "captures"), events.to_records(view(spark, sf, "activity")))
+    path = _new(spark, "log")
+    events.write_log(log, path)
+    events.write_log(log.filter("date = DATE '2024-01-08' AND source = 'screen'"), path)
+    return events.read_log(spark, path, dt.date(2024, 1, 5))
+
+
 @query("K2_append_layout", "observations", oracle="""
 SELECT device_id, tick_ts AS ts, CASE WHEN device_id % 5 <> 1 THEN count(*) END AS n_panes,
  device_id % 5 <> 1 AS stored FROM observations GROUP BY device_id, tick_ts""")

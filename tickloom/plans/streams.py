@@ -5,11 +5,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from tickloom.plans.registry import query
+from tickloom.plans.reports import SESSIONS
 from tickloom.plans.sequences import LOOP, SNAPSHOT_S
 from tickloom.plans.views import in_order, shaped, table_stream, view
 from tickloom.session import SETTINGS, stage_folder
 from tickloom.streaming.capture_loop import OUTPUT, loop_rows, run_stream, start_loop
 from tickloom.streaming.rolling import rolling_activity
+from tickloom.streaming.sessions import ended_sessions
 
 STORE = "spark.sql.streaming.stateStore.providerClass"
 
@@ -104,11 +106,27 @@ def rolling_stream(spark, sf):
     spark.conf.set(STORE, SETTINGS[STORE])
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     stream = shaped(table_stream(spark, sf, "events"), "activity", "bucket", "ts", "duration")
-    base = f"{stage_folder(spark)}/rolling-{uuid.uuid4().hex}"
+    found = _finished(spark, rolling_activity(stream, "6 hours", "1 hour"))
+    return found.withColumn("total_s", F.round("total_s", 4))
+
+
+def _finished(spark, rows):
+    """What a stream gives until all of its source is taken."""
+    base = f"{stage_folder(spark)}/stream-{uuid.uuid4().hex}"
     (
-        rolling_activity(stream, "6 hours", "1 hour").writeStream.outputMode("append").format("parquet")
+        rows.writeStream.outputMode("append").format("parquet")
         .option("checkpointLocation", f"{base}/progress").trigger(availableNow=True)
         .start(f"{base}/out").awaitTermination()
     )
-    found = spark.read.parquet(f"{base}/out")
-    return found.withColumn("total_s", F.round("total_s", 4))
+    return spark.read.schema(rows.schema).parquet(f"{base}/out")
+
+
+@query("D2_sessions_stream", "captures", oracle=SESSIONS + """
+SELECT device_id, app, title, start_ts, end_ts, CASE WHEN url = '' THEN NULL ELSE url END AS url,
+ capture_count, duration_s FROM found
+WHERE end_ts + INTERVAL 2 DAY <= (SELECT max(ts) FROM captures) - INTERVAL 1 MINUTE""")
+def sessions_stream(spark, sf):
+    """Sessions as a stream: final once the watermark is past their gap."""
+    spark.conf.set(STORE, SETTINGS[STORE])
+    stream = shaped(table_stream(spark, sf, "events"), "captures", "id", "device_id", "ts", "app", "title", "url")
+    return _finished(spark, ended_sessions(stream, gap_s=2 * 86_400))

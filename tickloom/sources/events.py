@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tickloom import settings as S
 
@@ -101,6 +101,12 @@ def recent_activity(
     return recent.orderBy("ts", *extra)
 
 
+LOG = T.StructType([
+    T.StructField("ts", T.TimestampType()), T.StructField("source", T.StringType()),
+    T.StructField("payload", T.StringType()), T.StructField("date", T.DateType()),
+])
+
+
 def merge_streams(captures: DataFrame, records: DataFrame) -> DataFrame:
     """Captures and event records as one log, tagged by source and dated."""
     screen = captures.select(
@@ -111,3 +117,28 @@ def merge_streams(captures: DataFrame, records: DataFrame) -> DataFrame:
         "ts", "source", F.to_json(F.struct("bucket", "duration", "data")).alias("payload")
     )
     return screen.unionByName(activity).withColumn("date", F.to_date("ts"))
+
+
+def write_log(log: DataFrame, path: str) -> None:
+    """Write a dated log as JSON lines, one folder for each day.
+
+    The days of ``log`` are replaced as a whole and others stay, so a day can be written
+    again. Crowded days become several files of the advised size, small ones one.
+    """
+    (
+        log.hint("rebalance", F.col("date")).write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic").option("ignoreNullFields", "false")
+        .option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").partitionBy("date").json(path)
+    )
+
+
+def read_log(
+    spark: SparkSession, path: str, first: dt.date | None = None, last: dt.date | None = None
+) -> DataFrame:
+    """The log, or its days from ``first`` to ``last``; other days are not read."""
+    log = spark.read.schema(LOG).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
+    if first is not None:
+        log = log.filter(F.col("date") >= F.lit(first))
+    if last is not None:
+        log = log.filter(F.col("date") <= F.lit(last))
+    return log

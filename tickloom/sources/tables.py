@@ -8,6 +8,7 @@ from operator import and_
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tickloom import schemas, settings as S
+from tickloom.session import write_and_reread
 
 CORRUPT = "_corrupt_record"
 
@@ -40,9 +41,11 @@ def quarantine(df: DataFrame) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """A stored table with its fixed shape; columns missing in old files are NULL."""
+    """A table that this module has written, with its fixed shape and its ``date``;
+    columns missing in old files are NULL. Filters on ``date`` read those days only."""
     schema = schemas.TABLES[name]
-    return spark.read.schema(schema).parquet(path).select(*schema.names)
+    dated = T.StructType([*schema.fields, T.StructField("date", T.DateType())])
+    return spark.read.schema(dated).parquet(path).select(*schema.names, "date")
 
 
 def align_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -76,31 +79,67 @@ def split_required(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     return df.filter(complete), df.filter(~complete)
 
 
-def _append(df: DataFrame, path: str, name: str) -> DataFrame:
+#: Batch of rows that were appended without a name.
+UNNAMED = "rows"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def _not_stored(rows: DataFrame, path: str, name: str) -> DataFrame:
+    """``rows`` that the table lacks. Reads id, time and device of the days concerned."""
+    spark = rows.sparkSession
+    if not _exists(spark, path):
+        return rows
+    rows = write_and_reread(rows)
+    days = rows.agg(F.min("date").alias("first"), F.max("date").alias("last")).first()
+    if days["first"] is None:
+        return rows
+    same = ["id", schemas.TIME_COLUMN[name], *(c for c in ["device_id"] if c in rows.columns)]
+    there = read_table(spark, path, name).where(F.col("date").between(F.lit(days["first"]), F.lit(days["last"])))
+    there = there.select("date", *same).toDF("_date", *(f"_{c}" for c in same))
+    match = reduce(and_, [rows[c].eqNullSafe(there[f"_{c}"]) for c in ["date", *same]])
+    return rows.join(there, match, "left_anti")
+
+
+def _append(df: DataFrame, path: str, name: str, batch: str | None = None) -> DataFrame:
+    """Append rows by date; returns the rejected ones. To append again adds nothing.
+
+    With a ``batch`` name the rows are the content of that batch in each of their days,
+    and replace what a run before this one has left of it: nothing else is read. Without,
+    rows that are there already, by id, time and device, are left out.
+    """
     accepted, rejected = split_required(with_id(df), name)
     dated = accepted.withColumn("date", F.to_date(schemas.TIME_COLUMN[name]))
+    if batch is None:
+        dated = _not_stored(dated, path, name)
+    elif batch == UNNAMED:
+        raise ValueError(f"{UNNAMED!r} holds the rows without a batch; take another name")
     # Rebalancing packs each day into files of the advised size: small days into
     # one file, crowded days into several.
     (
-        dated.hint("rebalance", F.col("date"))
-        .write.mode("append").partitionBy("date").parquet(path)
+        dated.withColumn("batch", F.lit(batch or UNNAMED)).hint("rebalance", F.col("date"))
+        .write.mode("append" if batch is None else "overwrite")
+        .option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch").parquet(path)
     )
     return rejected
 
 
-def write_captures(df: DataFrame, path: str) -> DataFrame:
+def write_captures(df: DataFrame, path: str, batch: str | None = None) -> DataFrame:
     """Append captures by date; returns the rejected rows."""
-    return _append(fill_captures(df), path, "captures")
+    return _append(fill_captures(df), path, "captures", batch)
 
 
-def write_layout(df: DataFrame, path: str) -> DataFrame:
+def write_layout(df: DataFrame, path: str, batch: str | None = None) -> DataFrame:
     """Append layout snapshots by date; returns the rejected rows."""
-    return _append(align_schema(df, schemas.LAYOUT), path, "layout")
+    return _append(align_schema(df, schemas.LAYOUT), path, "layout", batch)
 
 
-def write_sessions(df: DataFrame, path: str) -> DataFrame:
+def write_sessions(df: DataFrame, path: str, batch: str | None = None) -> DataFrame:
     """Append sessions by start date; returns the rejected rows."""
-    return _append(align_schema(df, schemas.SESSION), path, "sessions")
+    return _append(align_schema(df, schemas.SESSION), path, "sessions", batch)
 
 
 def split_known_sessions(
@@ -114,10 +153,12 @@ def split_known_sessions(
     )
 
 
-def write_summaries(df: DataFrame, sessions: DataFrame, path: str) -> DataFrame:
+def write_summaries(
+    df: DataFrame, sessions: DataFrame, path: str, batch: str | None = None
+) -> DataFrame:
     """Append summaries of known sessions; returns the rejected rows."""
     known, unknown = split_known_sessions(align_schema(df, schemas.SUMMARY), sessions)
-    return _append(known, path, "session_summaries").unionByName(with_id(unknown))
+    return _append(known, path, "session_summaries", batch).unionByName(with_id(unknown))
 
 
 def to_json_records(df: DataFrame, *beside: str) -> DataFrame:
