@@ -1,15 +1,18 @@
 """Repeated windows of symbols, found level by level with growing lengths.
 
-Level 1 looks at *seeds*: the anchors of ``tickloom.llm.anchors``. A seed that
-occurs once in the corpus is dropped with all its windows; for most text this
-ends here, after one small row for each anchor. What is left is looked at in
-*blocks*, whole runs of windows with one anchor: all windows of a block are
-settled at once where the same block starts earlier. Only blocks that come
-first but share their seed with another block go on. At level 2 they are cut
-into runs of a few windows, which have nearly a whole window in common, their
-*core*; runs are ranked by the pair (seed, core) and settled in the same way.
-At level 3 the windows that are still open are ranked by the pair (core,
-window). Each level drops what has become unique.
+Two filters come first. Level 1 looks at *seeds*: the anchors of
+``tickloom.llm.anchors``. A seed that occurs once in the corpus is dropped with
+all its windows; for most text this ends here, after one small row for each
+anchor. What is left is looked at in *blocks*, whole runs of windows with one
+anchor: all windows of a block are settled at once where the same block starts
+earlier. Only blocks that come first but share their seed with another block go
+on. At level 2 they are cut into runs of a few windows, which have nearly a
+whole window in common, their *core*; runs are settled in the same way.
+
+What is still open is ranked by prefix doubling: positions have the rank of a
+quarter of a window, pairs (rank, rank at an offset) are brought together and
+ranked as the substring of twice the length, positions with a rank of their own
+are dropped, until the ranks are those of whole windows.
 
 A rank is a 64-bit hash and always stands in a key together with another one,
 so that 128 bits decide.
@@ -47,6 +50,16 @@ class Ladder:
         """Windows of a run at level 2."""
         return max(1, (self.window - self.seed) // 8)
 
+    @property
+    def lengths(self) -> list[int]:
+        """Lengths that are ranked: a quarter, a half, a whole window, rounded up."""
+        return [-(-self.window // 4), -(-self.window // 2), self.window]
+
+    @property
+    def offsets(self) -> list[int]:
+        """From one length to the next: where the second part starts."""
+        return [b - a for a, b in zip(self.lengths, self.lengths[1:])]
+
 
 def all_blocks(ladder: Ladder, codes: np.ndarray, bounds: np.ndarray) -> Blocks:
     """Blocks of any number of symbols; long texts are taken in slices."""
@@ -131,8 +144,8 @@ def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(count.sum()) + np.repeat(start - np.cumsum(count) + count, count)
 
 
-def _ranks(ladder: Ladder, windows: bool):
-    """Ranks of the runs of blocks, or of the windows of runs."""
+def _runs(ladder: Ladder):
+    """Ranks of the runs of blocks."""
     places, window, run = Places(ladder), ladder.window, ladder.run
 
     def ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,21 +161,14 @@ def _ranks(ladder: Ladder, windows: bool):
 
     def level(rolling, ids, copies, bounds, place, text):
         lo, lead, n = places.unpack(place)
-        if windows:
-            count, step = n, 1
-            skip = _ranges(0 * n, n)
-        else:
-            # A run holds the windows of one multiple of the distance to the anchor.
-            top, low = lead // run, (lead - n + 1) // run
-            count = top - low + 1
-            skip = np.maximum(np.repeat(lead + 1, count)
-                              - run * (np.repeat(top + 1, count) - _ranges(0 * top, count)), 0)
+        # A run holds the windows of one multiple of the distance to the anchor.
+        top, low = lead // run, (lead - n + 1) // run
+        count = top - low + 1
+        skip = np.maximum(np.repeat(lead + 1, count)
+                          - run * (np.repeat(top + 1, count) - _ranges(0 * top, count)), 0)
         lo, lead, n, text = (np.repeat(x, count) for x in (lo, lead, n, text))
         at, lead = bounds[text] + lo + skip, lead - skip
-        if windows:
-            n = np.ones_like(n)
-        else:
-            n = np.minimum(lead % run + 1, n - skip)
+        n = np.minimum(lead % run + 1, n - skip)
         s = at + lead
         seed = mix(rolling.of(s, s + ladder.seed))
         first = s - lead // run * run
@@ -177,6 +183,54 @@ def _ranks(ladder: Ladder, windows: bool):
     return ranks
 
 
+def _points(ladder: Ladder):
+    """Positions that the windows of runs are made of, with the rank of the shortest length."""
+    places, length = Places(ladder), ladder.lengths[0]
+    parts = [0]
+    for offset in ladder.offsets:
+        parts = sorted({p + o for p in parts for o in (0, offset)})
+
+    def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, copies = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "copy"))
+            for piece in pieces(batch.column("text"), PIECE // 2):
+                codes, bounds = ladder.symbols(piece)
+                place, text = listed(batch, piece)
+                lo, _, n = places.unpack(place)
+                windows = _ranges(bounds[text] + lo, n)
+                wanted = np.zeros(len(codes) + 1, bool)
+                for part in parts:
+                    wanted[windows + part] = True
+                at = np.flatnonzero(wanted)
+                text = np.searchsorted(bounds, at, side="right") - 1
+                rank = mix(Rolling(codes).of(at, at + length))
+                yield _arrow(
+                    ("doc_id", ids[piece.begin + text].astype(np.int64)), ("copy", copies[piece.begin + text]),
+                    ("at", at - bounds[text]), ("rank", rank.view(np.int64)))
+
+    return points
+
+
+POINTS = "doc_id long, copy long, at long, rank long"
+
+
+def _pairs(points: DataFrame, offset: int) -> DataFrame:
+    """(doc_id, copy, at, low, high): positions that have a rank, and one ``offset`` further on."""
+    none = F.lit(None).cast("long")
+    here = points.select("doc_id", "copy", "at", F.col("rank").alias("low"), none.alias("high"))
+    there = points.select("doc_id", "copy", F.col("at") - offset, none, "rank").where(F.col("at") >= offset)
+    return here.union(there).groupBy("doc_id", "copy", "at").agg(
+        F.max("low").alias("low"), F.max("high").alias("high")).where("low IS NOT NULL AND high IS NOT NULL")
+
+
+def _reranked(pairs: DataFrame) -> DataFrame:
+    """Positions with the rank of the pair, without those that have one of their own."""
+    pairs = write_and_reread(pairs)
+    several = write_and_reread(pairs.groupBy("low", "high").count().where("count > 1").select("low", "high"))
+    return write_and_reread(pairs.join(several, ["low", "high"], "left_semi").select(
+        "doc_id", "copy", "at", F.xxhash64("low", "high").alias("rank")))
+
+
 def copy_of() -> Column:
     """Tells the texts of rows with one doc_id apart."""
     return F.xxhash64("text")
@@ -194,9 +248,22 @@ def with_places(docs: DataFrame, rows: DataFrame, how: str = "inner") -> DataFra
 ROWS = "outer long, inner long, doc_id long, copy long, place long"
 
 
+def _place(within_texts: bool) -> Column:
+    return F.struct("doc_id", "place") if within_texts else F.col("doc_id")
+
+
+def _repeated(rows: DataFrame, within_texts: bool) -> DataFrame:
+    """Places of rows with an earlier equal one."""
+    me = _place(within_texts)
+    classes = write_and_reread(rows.groupBy("outer", "inner").agg(
+        F.min(me).alias("first"), F.max(me).alias("last")).where("first < last").drop("last"))
+    return write_and_reread(rows.join(classes, ["outer", "inner"]).where(me > F.col("first")).select(
+        "doc_id", "copy", "place"))
+
+
 def _judged(rows: DataFrame, within_texts: bool) -> DataFrame:
     """Rows with an earlier equal one (``covered``) and first rows that share ``outer``."""
-    me = F.struct("doc_id", "place") if within_texts else F.col("doc_id")
+    me = _place(within_texts)
     classes = write_and_reread(rows.groupBy("outer", "inner").agg(F.min(me).alias("first")))
     # Stored, so that the join with it can be split where one rank has very many classes.
     shared = write_and_reread(
@@ -223,15 +290,22 @@ def repeated_windows(docs: DataFrame, ladder: Ladder, within_texts: bool) -> Dat
     blocks_ = write_and_reread(
         base.mapInArrow(_scan(ladder, False), ROWS).join(seeds, "outer", "left_semi"))
     # Equal blocks of one text are one row here, so the least doc_id is enough.
-    level = _judged(blocks_, False)
-    covered = [level]
-    for windows in (False, True):
-        edges = level.where("NOT covered").select("doc_id", "copy", "place")
-        rows = write_and_reread(with_places(base, edges).mapInArrow(_ranks(ladder, windows), ROWS))
-        level = _judged(rows, within_texts)
-        covered.append(level)
-    found = [x.where("covered").select("doc_id", "copy", "place") for x in covered]
-    return found[0].unionByName(found[1]).unionByName(found[2])
+    places = ["doc_id", "copy", "place"]
+    by_block = _judged(blocks_, False)
+    runs = write_and_reread(with_places(base, by_block.where("NOT covered").select(places)).mapInArrow(
+        _runs(ladder), ROWS))
+    by_run = _judged(runs, within_texts)
+    points = write_and_reread(with_places(base, by_run.where("NOT covered").select(places)).mapInArrow(
+        _points(ladder), POINTS))
+    for offset in ladder.offsets[:-1]:
+        points = _reranked(_pairs(points, offset))
+    unit = ladder.window + 1
+    one = ((F.col("at") * unit) * unit + 1).alias("place")  # As ``Places`` has it: a run of one window.
+    windows = write_and_reread(_pairs(points, ladder.offsets[-1]).select(
+        F.col("low").alias("outer"), F.col("high").alias("inner"), "doc_id", "copy", one))
+    by_rank = _repeated(windows, within_texts)
+    return by_block.where("covered").select(places).unionByName(
+        by_run.where("covered").select(places)).unionByName(by_rank)
 
 
 def removed_windows(

@@ -1,12 +1,10 @@
 """Suffix-array de-duplication: bytes of repeated 100-byte strings are cut.
 
-Prefix doubling, spread over a cluster. The rank of a position is the hash of
-the substring that starts there; Spark groups (position, rank) pairs, drops
-positions whose rank is unique, and ranks the others again by the pair (rank,
-rank at an offset), so that the compared length grows from 24 over 92 to 100
-bytes. A full suffix array would shuffle every byte's position several times;
-here only anchors are ranked first (see ``repeats``), which lose no repeat of
-the full length.
+Prefix doubling over the positions that two filters leave (see ``repeats``): a
+position has the rank of its 25 bytes; Spark brings (rank, rank at an offset)
+pairs together, ranks them as 50 and then 100 bytes, and drops positions whose
+rank has become unique. The filters settle whole blocks and runs of windows by
+one hash; without them every byte's position would be shuffled several times.
 
 Results for unusual rows: NULL text counts as empty. A row with NULL doc_id is
 returned; only repeats inside its own text are cut, and it is no earlier

@@ -1,9 +1,9 @@
 """Substring de-duplication by words: repeated passages of 50 words are cut.
 
-Level-wise doubling: windows of 12 words that repeat are extended to about
-twice that length, those that still repeat to 50 words, and the others are
-dropped at each level, until no candidates survive. At the first level only
-anchors are shuffled (see ``repeats``), which lose no repeat of the full length.
+Level-wise doubling over the positions that two filters leave (see
+``repeats``): strings of 13 words that repeat are extended to 25, those that
+still repeat to 50, and the others are dropped at each level. The filters
+settle whole blocks and runs of windows by one hash, and lose no repeat.
 
 Results for unusual rows: NULL and empty texts have no words. A row with NULL
 doc_id is returned whole and is no earlier occurrence for others. Rows that
