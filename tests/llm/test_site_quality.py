@@ -49,7 +49,7 @@ def test_counts_equal_plain_python(spark):
     rows, labels = corpus()
     marked = spark.createDataFrame(
         [(r[1], r[2], g) for r, (_, g, _) in zip(rows, labels)], "host string, path string, good int")
-    table, share, of_hosts, of_paths = site_quality.sites(marked)
+    hosts, table, share, of_hosts, of_paths = site_quality.sites(marked)
     assert share == pytest.approx(sum(g for _, g, _ in labels) / len(labels))
     assert 1 <= of_hosts <= 10_000 and 1 <= of_paths <= 10_000
     want = {}
@@ -57,6 +57,37 @@ def test_counts_equal_plain_python(spark):
         n, k = want.get((r[1], r[2]), (0, 0))
         want[r[1], r[2]] = (n + 1, k + g)
     assert {(r["host"], r["path"]): (r["n"], r["good"]) for r in table.collect()} == want
+    by_host = {}
+    for (host, _), (n, k) in want.items():
+        m, j = by_host.get(host, (0, 0))
+        by_host[host] = (m + n, j + k)
+    assert {r["host"]: (r["host_n"], r["host_good"]) for r in hosts.collect()} == by_host
+
+
+def test_new_paths_have_their_hosts_share(spark):
+    """A path without labels falls back to its host, as plain Python has it."""
+    rng = random.Random(3)
+    text = lambda: " ".join("".join(rng.choice("ba ne ro li mun".split()) for _ in range(3)) for _ in range(80))
+    rows = [(i, "bad.org", f"bad.org/{i % 2}", text(), 1, "x") for i in range(300)]
+    rows += [(i, f"h{i % 9}.org", f"h{i % 9}.org/0", text(), 1, "x") for i in range(300, 1300)]
+    labels = [(i, int(i >= 300 and i % 10 > 0), 0) for i in range(1300)]
+    rows += [(5000, "bad.org", "bad.org/new", text(), 1, "x"), (5001, "new.org", "new.org/1", text(), 1, "x")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in site_quality.scored(df, marks).collect()}
+    assert got[5000]["host_share"] < 0.05 and got[5000]["path_share"] < 0.05 and got[5000]["predicted"] == 0
+
+    learned = [(r[1], r[2], g) for r, (i, g, _) in zip(rows, labels) if zlib.crc32(str(i).encode()) % 5 != 3]
+    _, _, share, of_hosts, of_paths = site_quality.sites(
+        spark.createDataFrame(learned, "host string, path string, good int"))
+    assert got[5001]["host_share"] == pytest.approx(share) and got[5001]["path_share"] == pytest.approx(share)
+    known = {i: g for i, g, _ in labels if zlib.crc32(str(i).encode()) % 5 != 3}
+    for i, host, path, *_ in rows:
+        own, one = known.get(i, 0), int(i in known)
+        at_host, at_path = [g for h, _, g in learned if h == host], [g for _, p, g in learned if p == path]
+        h = (sum(at_host) - own + of_hosts * share) / (len(at_host) - one + of_hosts)
+        p = (sum(at_path) - own + of_paths * h) / (len(at_path) - one + of_paths)
+        assert got[i]["host_share"] == pytest.approx(h) and got[i]["path_share"] == pytest.approx(p)
 
 
 def test_unusual_rows(spark):

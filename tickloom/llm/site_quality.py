@@ -16,7 +16,8 @@ Texts are read once and not shuffled; sites are joined to one small row for each
 document, and a site with many of them is split by Spark.
 
 Results for unusual rows: NULL and empty texts count as texts without words.
-NULL hosts and paths are sites like others. Rows with NULL doc_id are scored,
+NULL hosts and paths are sites like others. Texts of any length are read whole,
+each in one task. Rows with NULL doc_id are scored,
 never learned from, not held out. Repeated rows are scored each for itself.
 Labels that contradict each other, or are NULL, are not learned from; without
 labels of both kinds every score is the share of good labels, or 0.5.
@@ -76,14 +77,15 @@ def _strength(mean: float, spread: float, noise: float) -> float:
     return float(np.clip(mean * (1 - mean) / between - 1, *STRENGTH))
 
 
-def sites(marked: DataFrame) -> tuple[DataFrame, float, float, float]:
-    """Counts of each site and its host; the global share; strengths of hosts and paths.
+def sites(marked: DataFrame) -> tuple[DataFrame, DataFrame, float, float, float]:
+    """Counts of each host and of each path; the global share; strengths of hosts and paths.
 
     ``marked``: rows (host, path, good).
     """
     paths = write_and_reread(marked.groupBy("host", "path").agg(
         F.count("*").alias("n"), F.sum("good").alias("good")))
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("good").alias("host_good"))
+    hosts = write_and_reread(paths.groupBy("host").agg(
+        F.sum("n").alias("host_n"), F.sum("good").alias("host_good")))
     total = hosts.agg(F.sum("host_n").alias("n"), F.sum("host_good").alias("g")).first()
     share = (total["g"] or 0) / total["n"] if total["n"] else 0.5
     joined = paths.join(hosts.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h"))).drop("h")
@@ -97,7 +99,7 @@ def sites(marked: DataFrame) -> tuple[DataFrame, float, float, float]:
 
     of_hosts = _strength(share, *spread(hosts, "host_n", "host_good", F.lit(share)))
     of_paths = _strength(share, *spread(joined, "n", "good", F.col("host_good") / F.col("host_n")))
-    return joined, share, of_hosts, of_paths
+    return hosts, paths, share, of_hosts, of_paths
 
 
 SCORED = ["doc_id", "held_out", "text_score", "host_share", "path_share", "score", "predicted"]
@@ -118,20 +120,23 @@ def scored(
         .agg(F.min("quality").cast("int").alias("good"), F.max("quality").alias("high"))
         .where("good = high").drop("high").where(fold(folds) != held_out))
     named = docs.select("doc_id", "host", "path").distinct().join(marks, "doc_id")
-    table, share, of_hosts, of_paths = sites(named)
+    hosts, paths, share, of_hosts, of_paths = sites(named)
 
     def posterior(rows: DataFrame) -> DataFrame:
-        """Shares of host and path for rows (host, path, good), without the row's own label."""
-        at = table.select(F.col("host").alias("h"), F.col("path").alias("p"), "n", F.col("good").alias("g"),
-                          "host_n", "host_good")
+        """Shares of host and path for rows (host, path, good), without the row's own label.
+
+        A path without labels has its host's share, a host without labels that of all.
+        """
+        of_host = hosts.select(F.col("host").alias("h"), "host_n", "host_good")
+        of_path = paths.select(F.col("host").alias("ph"), F.col("path").alias("p"), "n", F.col("good").alias("g"))
         own, one = F.coalesce("good", F.lit(0)), F.col("good").isNotNull().cast("int")
         k = {c: F.coalesce(c, F.lit(0)) for c in ("n", "g", "host_n", "host_good")}
         host = (k["host_good"] - own + of_hosts * share) / (k["host_n"] - one + of_hosts)
-        return rows.join(
-            at, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")), "left",
+        return rows.join(of_host, F.col("host").eqNullSafe(F.col("h")), "left").join(
+            of_path, F.col("host").eqNullSafe(F.col("ph")) & F.col("path").eqNullSafe(F.col("p")), "left",
         ).withColumn("host_share", host).withColumn(
             "path_share", (k["g"] - own + of_paths * F.col("host_share")) / (k["n"] - one + of_paths),
-        ).drop("h", "p", "n", "g", "host_n", "host_good")
+        ).drop("h", "ph", "p", "n", "g", "host_n", "host_good")
 
     total = {r["good"]: r["n"] for r in marks.groupBy("good").agg(F.count("*").alias("n")).collect()}
     weights = _learn(docs, marks, posterior) if len(total) == 2 else None
