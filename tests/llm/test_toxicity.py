@@ -69,12 +69,14 @@ def test_unusual_rows(spark):
 
 
 def distance(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        old, row = row, [i]
-        for j, y in enumerate(b, 1):
-            row.append(min(row[-1] + 1, old[j] + 1, old[j - 1] + (x != y)))
-    return row[-1]
+    """Insertions, deletions, changes, and swaps of neighbours."""
+    d = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i * j}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
 
 
 def test_automaton_and_trie():
@@ -98,3 +100,52 @@ def test_automaton_and_trie():
         for c in v:
             state = automaton.step(state, c)
         assert automaton.accepts(state) == (distance(w, v) <= 1)
+        two = LevenshteinAutomaton(w, 2)
+        state = two.start()
+        for c in v:
+            state = two.step(state, c)
+        assert two.accepts(state) == (distance(w, v) <= 2)
+
+
+def chosen(*counts):
+    """Terms learned from (term, stem, toxic texts) among 100 toxic and 1000 other ones."""
+    return toxicity._choose([{"term": t, "stem": s, "pos": p, "neg": 0} for t, s, p in counts], 100, 1000)
+
+
+def test_misspelled_words_of_a_stem():
+    forms = {"blockhead": 30, "blockheads": 25, "blockheaded": 20}
+    stems = {f[:k] for f in forms for k in toxicity.STEM_LENGTHS if k < len(f)}
+    terms = chosen(*((f, False, n) for f, n in forms.items()), *((s, True, 75) for s in stems))
+    lexicon = Lexicon(terms)
+    assert any(t.stem for t in terms) and lexicon.find("blockheadery").exact
+    texts = ["blxckhead", "blokhead", "blckhead", "bl0ckhead", "blcokhead", "blockehad", "lbockhead", "blockh3ad",
+             "blockheda", "blockheadd", "blocckheads", "BLOKHEADED"]
+    for text in texts:
+        for whole in (text, f"so a {text}, they", f"a\n{text}"):
+            piece = next(pieces(pa.array([whole])))
+            x = toxicity.features(piece, lexicon)[0]
+            misspelled = x[toxicity.FEATURES.index("misspelled")]
+            # Some still begin with a stem.
+            assert misspelled > 0 or x[toxicity.FEATURES.index("abuse")] > 0, whole
+    for text in ("b10ck", "2024", "bl ckhead", "head", "b2b"):
+        assert not toxicity.features(next(pieces(pa.array([text]))), lexicon).any()
+
+
+def test_quotations():
+    lexicon = Lexicon([Term("blockhead", False, 3.0, 1.5)])
+    far = "nine or more plain words stand between this place and that one "
+
+    def quoted(text):
+        x = dict(zip(toxicity.FEATURES, toxicity.features(next(pieces(pa.array([text]))), lexicon)[0]))
+        assert (x["quotation"] > 0) != (x["abuse"] > 0)
+        return x["quotation"] > 0
+
+    for text in ('"blockhead" they said', 'they said "you blockhead"', 'they said "you blockhead."',
+                 f'"{far}, blockhead" was it', "they said 'you blockhead' to us", "they said ‘you blockhead’",
+                 "they said “you blockhead”", "„blockhead“ they said", "« blockhead » was said", "(“blockhead”)",
+                 f'5" of rain, and "a blockhead" was {far}', "don't say 'blockhead', they said", "“‘blockhead’ was it”"):
+        assert quoted(text), text
+    for text in ("you blockhead", '"he" you blockhead "she"', 'they "said" you blockhead', "don't, you blockhead, don't",
+                 'you blockhead"', '"you blockhead', "5' and you blockhead of 6'", "the dogs' blockhead and cats' one",
+                 "'tis a blockhead\nand the dogs' tails"):
+        assert not quoted(text), text

@@ -2,8 +2,9 @@
 
 The trie holds whole words, and stems that words begin with. A word is looked
 up exactly by walking the trie; misspelled, by walking it together with the
-automaton that accepts all strings within one edit of the word: branches on
-which the automaton has no live state are never entered.
+automaton that accepts all strings within one edit of the word (a swap of
+neighbours is one): branches on which the automaton has no live state are never
+entered.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ import numpy as np
 
 #: Shorter words have too many neighbours to be taken for misspelled terms.
 FUZZY_LENGTH = 5
+#: Sizes of words in bytes that are told apart; the last one stands for all above.
+SIZES = 40
 
 
 class Term(NamedTuple):
@@ -40,28 +43,44 @@ class _Node:
 
 
 class LevenshteinAutomaton:
-    """Accepts what is at most ``edits`` insertions, deletions and changes from ``word``.
+    """Accepts what is at most ``edits`` insertions, deletions, changes and swaps of
+    neighbours from ``word``.
 
-    A state is a row of the edit table, cut off above ``edits``.
+    A state is a row of the edit table, cut off above ``edits``, with the row before it
+    and the character between, which a swap looks back at.
     """
 
     def __init__(self, word: str, edits: int = 1):
         self.word, self.edits = word, edits
 
-    def start(self) -> tuple[int, ...]:
-        return tuple(range(len(self.word) + 1))
-
-    def step(self, state: tuple[int, ...], char: str) -> tuple[int, ...]:
-        row = [state[0] + 1]
-        for i, own in enumerate(self.word):
-            row.append(min(row[i] + 1, state[i + 1] + 1, state[i] + (own != char), self.edits + 1))
-        return tuple(row)
-
-    def alive(self, state: tuple[int, ...]) -> bool:
-        return min(state) <= self.edits
-
-    def accepts(self, state: tuple[int, ...]) -> bool:
-        return state[-1] <= self.edits
+    def start(self) -> tuple:
+        return tuple(range(len(self.word) + 1)), None, ""
+
+    def step(self, state: tuple, char: str) -> tuple:
+        old, before, last = state
+        most = self.edits + 1
+        row = [most] * len(old)
+        row[0] = min(old[0] + 1, most)
+        # Only columns near a live one of the last row can be live.
+        live = [i for i, d in enumerate(old) if d <= self.edits]
+        swaps = [i for i, d in enumerate(before) if d < self.edits] if before else []
+        first = min(live + swaps, default=len(old))
+        end = max([i + 1 for i in live] + [i + 2 for i in swaps], default=-1) + self.edits
+        for i in range(max(first, 1) - 1, min(end, len(old) - 1)):
+            own = self.word[i]
+            best = min(row[i] + 1, old[i + 1] + 1, old[i] + (own != char), most)
+            if before and i and own == last and self.word[i - 1] == char:
+                best = min(best, before[i - 1] + 1)
+            row[i + 1] = best
+        return tuple(row), old, char
+
+    def alive(self, state: tuple) -> bool:
+        row, before, _ = state
+        # A swap can still end that begins in the row before.
+        return min(row) <= self.edits or bool(before) and min(before) < self.edits
+
+    def accepts(self, state: tuple) -> bool:
+        return state[0][-1] <= self.edits
 
 
 class Lexicon:
@@ -79,30 +98,32 @@ class Lexicon:
             else:
                 node.word = term
         self._fuzzy = [t for t in terms if not t.stem and len(t.text) >= FUZZY_LENGTH]
+        # First three bytes of terms; first and last two of terms that may be misspelled, by size.
         self._first = np.zeros(1 << 24, bool)
-        self._last = np.zeros((1 << 16, 40), bool)
+        self._head, self._last = np.zeros((1 << 16, SIZES), bool), np.zeros((1 << 16, SIZES), bool)
         for t in terms:
             raw = t.text.encode()
             self._first[int.from_bytes(raw[:3].ljust(3, b"\0"), "big")] = True
         for t in self._fuzzy:
             raw = t.text.encode()
-            for n in range(len(raw) - 4, len(raw) + 5):
-                if 0 <= n < 40:
-                    self._last[int.from_bytes(raw[-2:], "big"), n] = True
+            sizes = slice(min(max(len(raw) - 4, 0), SIZES - 1), min(len(raw) + 5, SIZES))
+            self._head[int.from_bytes(raw[:2], "big"), sizes] = True
+            self._last[int.from_bytes(raw[-2:], "big"), sizes] = True
         self._known: dict[bytes, Hit | None] = {}
 
     def possible(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Words (in lower case) worth looking up.
 
-        One edit leaves either the first three or the last two letters of a term
+        One edit leaves either the first two or the last two letters of a term
         as they are.
         """
         size = end - start
         padded = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.int64)
         head = [np.where(size > k, padded[start + k], 0) for k in range(3)]
         tail = np.where(size >= 2, (padded[np.maximum(end - 2, 0)] << 8) | padded[end - 1], 0)
-        return (self._first[(head[0] << 16) | (head[1] << 8) | head[2]]
-                | self._last[tail, np.minimum(size, 39)])
+        size = np.minimum(size, SIZES - 1)
+        two = (head[0] << 8) | head[1]
+        return self._first[(two << 8) | head[2]] | self._head[two, size] | self._last[tail, size]
 
     def find(self, word: str) -> Hit | None:
         """The term that a word is, begins with, or misspells: the heaviest."""

@@ -2,15 +2,18 @@
 
 The lexicon is learned from labelled documents: words, and stems of words, that
 occur in toxic ones far more often than in others. A document's words are
-looked up in it with one edit allowed (see ``lexicon``). Each hit is judged in a
-window of words around it: between quotation marks it is quotation, outside
-abuse, and hits that stand close together weigh more. A logistic regression on
+looked up in it with one edit allowed (see ``lexicon``); a digit between letters
+is part of a word, and words that a stem covers stay targets for misspelled ones.
+Each hit is judged by its context: between an opening and a closing quotation mark
+(double, single or angled, told by what stands on either side of them) it is
+quotation, outside abuse, and hits that stand close together weigh more. A logistic regression on
 these sums gives the score; it is weighted so that scores are probabilities
 under the labels' own share of toxic documents.
 
 Both are fitted on a bounded sample, ``TOXIC`` and ``OTHER`` labelled rows drawn
 by a hash of the id, of which copies count once: one part gives the lexicon, the
-other the regression. Labelled texts hardly ever misspell a term, so the
+other the regression. All terms that meet the limits below are in the lexicon: as
+many as the sampled texts hold. Labelled texts hardly ever misspell a term, so the
 regression also sees toxic texts whose terms were misspelled on purpose. Words
 near a term that occur in texts that are not toxic are words of their own.
 
@@ -37,7 +40,8 @@ from pyspark.sql import DataFrame, functions as F
 from tickloom.llm.anchors import mix
 from tickloom.llm.language_id import fold
 from tickloom.llm.lexicon import FUZZY_LENGTH, Hit, Lexicon, Term
-from tickloom.llm.texts import Piece, Words, in_small_batches, lower, pieces, word_hashes
+from tickloom.llm.texts import Piece, Words, flat, in_small_batches, lower, pieces, word_hashes
+from tickloom.session import write_and_reread
 
 TOXIC, OTHER = 2000, 4000
 FOLDS, HELD_OUT = 4, 2
@@ -45,7 +49,6 @@ THRESHOLD = 0.3
 #: A term occurs in this many toxic texts at least, so many times more often than
 #: in others, and the logarithm of these odds is so many standard errors above zero.
 MIN_TEXTS, MIN_ODDS, MIN_ERRORS = 5, 5.0, 3.0
-MAX_TERMS = 4000
 STEM_LENGTHS = range(4, 9)
 #: Words on either side of a hit.
 CONTEXT = 8
@@ -55,28 +58,54 @@ _LETTER[list(range(65, 91)) + list(range(97, 123))] = True
 _LETTER[0x80:] = True
 
 
+_DIGIT = np.zeros(256, bool)
+_DIGIT[0x30:0x3A] = True
+#: Kinds of quotation marks: straight and curved double ones, single ones, angled ones.
+DOUBLE, SINGLE, ANGLED = 1, 2, 3
+
+
 def plain(piece: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes in lower case, which of them are letters, which open or close a quotation."""
+    """Bytes in lower case, which of them belong to words, kinds of quotation marks (0: none)."""
     data = lower(piece.data)
     before = np.concatenate([[0], data[:-1]]).astype(np.uint8)
     # Accented Latin capitals; the multiplication sign among them has no small form.
     capital = (before == 0xC3) & (data >= 0x80) & (data <= 0x9E) & (data != 0x97)
     data = np.where(capital, data + 0x20, data).astype(np.uint8)
     letter = _LETTER[data]
-    quote = data == ord('"')
+    quote = np.zeros(len(data), np.int8)
+    quote[data == ord('"')] = DOUBLE
+    quote[data == ord("'")] = SINGLE
     general = np.flatnonzero((before == 0xE2) & (data == 0x80))  # dashes, quotation marks
     general = general[general + 1 < len(data)]
     for shift in (-1, 0, 1):
         letter[general + shift] = False
-    quote[general - 1] |= np.isin(data[general + 1], [0x9C, 0x9D, 0x9E, 0x9F])
+    # A mark stands at its last byte.
+    quote[general[np.isin(data[general + 1], [0x9C, 0x9D, 0x9E, 0x9F])] + 1] = DOUBLE
+    quote[general[np.isin(data[general + 1], [0x98, 0x99, 0x9A, 0x9B])] + 1] = SINGLE
     latin = np.flatnonzero((before == 0xC2) & (data < 0xC0))     # signs, no letters
     letter[latin] = letter[latin - 1] = False
-    quote[latin - 1] |= np.isin(data[latin], [0xAB, 0xBB])
-    return data, letter, quote
+    quote[latin[np.isin(data[latin], [0xAB, 0xBB])]] = ANGLED
+    return data, letter | _inner_digits(data, letter, piece.bounds), quote
+
+
+def _inner_digits(data: np.ndarray, letter: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Digits with letters of the same text on both sides."""
+    digit = _DIGIT[data]
+    step = np.diff(np.concatenate([[0], digit.astype(np.int8), [0]]))
+    start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    inside = np.searchsorted(bounds, start, side="right") == np.searchsorted(bounds, end, side="right")
+    first = np.isin(start, bounds)
+    near = inside & ~first & (start > 0) & (end < len(data))
+    start, end = start[near], end[near]
+    near = letter[start - 1] & letter[end]
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[start[near]] += 1
+    edge[end[near]] -= 1
+    return np.cumsum(edge[:-1]) > 0
 
 
 def letter_words(piece: Piece, letter: np.ndarray) -> Words:
-    """Runs of letters."""
+    """Runs of letters, with digits between them."""
     ink = np.zeros(len(letter) + 2, np.int8)
     ink[1:-1] = letter
     step = np.diff(ink)
@@ -110,14 +139,52 @@ def features(piece: Piece, lexicon: Lexicon) -> np.ndarray:
     at = maybe[hit]
     hits = [known[k] for k in back[hit]]
     text = np.searchsorted(found.bounds, at, side="right") - 1
-    quotes = np.concatenate([[0], np.cumsum(quote)])
     for i in np.unique(text):
         mine = np.flatnonzero(text == i) if len(hits) < 2000 else np.arange(
             np.searchsorted(text, i), np.searchsorted(text, i, side="right"))
-        out[i] = _evidence(at[mine], [hits[k] for k in mine], found, i, quotes)
+        a, b = piece.bounds[i], piece.bounds[i + 1]
+        quoted = inside_quotation(data[a:b], quote[a:b], found.start[at[mine]] - a)
+        out[i] = _evidence(at[mine], [hits[k] for k in mine], found, i, quoted)
     return out
 
 
+#: White space and punctuation, which stand outside of words.
+_GAP = np.zeros(256, bool)
+_GAP[[*range(0x21), *map(ord, "()[]{}<>-/.,;:!?\"'")]] = True
+
+
+def inside_quotation(data: np.ndarray, quote: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether each place of a text stands between an opening mark and a closing one of its kind.
+
+    Marks are taken in turn from the start of the text. One with a gap before it only opens,
+    with a gap after it only closes, with both it does what is due, and with none, as an
+    apostrophe, nothing. A second opening one starts anew; what is never closed is no
+    quotation, nor is what single marks hold on several lines.
+    """
+    marks = np.flatnonzero(quote)
+    if not len(marks):
+        return np.zeros(len(at), bool)
+    width = np.where(data[marks] < 0x80, 1, np.where(quote[marks] == ANGLED, 2, 3))
+    left, right = marks - width, marks + 1
+    other = np.minimum(right, len(data) - 1)
+    before = (left < 0) | _GAP[data[np.maximum(left, 0)]] | (quote[np.maximum(left, 0)] > 0)
+    # What follows a mark and begins like another one is a gap where the mark closes.
+    after = np.where(data[other] == 0xE2, ~before, _GAP[data[other]]) | (right >= len(data))
+    spans, begun, kind = [], -1, 0
+    for place, k, b, a in zip(marks.tolist(), quote[marks].tolist(), before.tolist(), after.tolist()):
+        if a and begun >= 0 and k == kind:
+            spans.append((begun, place))
+            begun = -1
+        elif b and (begun < 0 or k == kind or kind == SINGLE):
+            begun, kind = place, k
+    spans = [(a, b) for a, b in spans if quote[a] != SINGLE or not (data[a:b] == 0x0A).any()]
+    if not spans:
+        return np.zeros(len(at), bool)
+    start, end = np.array(spans).T
+    last = np.searchsorted(start, at, side="right") - 1
+    return (last >= 0) & (at < end[np.maximum(last, 0)])
+
+
 def _codes(data: np.ndarray, w: Words) -> np.ndarray:
     """Hashes of words that need not follow each other."""
     size = w.end - w.start
@@ -126,13 +193,9 @@ def _codes(data: np.ndarray, w: Words) -> np.ndarray:
     return word_hashes(np.where(data[index] == 0x20, 0, data[index]), Words(edge - size, edge, edge))
 
 
-def _evidence(at: np.ndarray, hits: list[Hit], found: Words, text: int, quotes: np.ndarray) -> list[float]:
+def _evidence(at: np.ndarray, hits: list[Hit], found: Words, text: int, quoted: np.ndarray) -> list[float]:
     low, high = found.bounds[text], found.bounds[text + 1] - 1
     left, right = np.maximum(at - CONTEXT, low), np.minimum(at + CONTEXT, high)
-    before = quotes[found.start[at]] - quotes[found.start[left]]
-    after = quotes[found.end[right]] - quotes[found.end[at]]
-    # An odd number of marks before it and one after it: the hit stands inside.
-    quoted = (before % 2 == 1) & (after >= 1)
     weight = np.array([h.weight for h in hits])
     exact = np.array([h.exact for h in hits])
     abuse = weight[exact & ~quoted]
@@ -166,25 +229,47 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, stem, toxic, n): texts that have a term, counted within a batch."""
+    """(term, stem, toxic, n): texts that have a term, counted within a piece."""
     for batch in batches:
-        count: Counter[tuple[str, bool, int]] = Counter()
-        for raw, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-            piece = next(pieces(pa.array([raw or ""])))
+        marks = batch.column("toxic").to_numpy().astype(np.int64)
+        for piece in pieces(batch.column("text")):
             data, letter, _ = plain(piece)
             found = letter_words(piece, letter)
-            own = {data[a:b].tobytes().decode("utf-8", "ignore").lower()
-                   for a, b in zip(found.start, found.end)}
-            count.update((w, False, toxic) for w in own if len(w) >= 3)
-            count.update({(w[:k], True, toxic) for w in own for k in STEM_LENGTHS if k < len(w)})
-        keys = list(count)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.bool_(), pa.int32()))]
-            + [pa.array([count[k] for k in keys], pa.int64())], ["term", "stem", "toxic", "n"])
+            if not len(found.start):
+                continue
+            _, first, own = np.unique(_codes(data, found), return_index=True, return_inverse=True)
+            text = np.repeat(np.arange(len(found.bounds) - 1), np.diff(found.bounds))
+            names = [data[found.start[i]:found.end[i]].tobytes().decode("utf-8", "ignore").lower() for i in first]
+            pairs = np.unique(np.column_stack([text, own]), axis=0)
+            toxic = marks[piece.begin + pairs[:, 0]]
+            count: Counter[tuple[str, bool, int]] = Counter()
+            for (word, t), n in zip(*_counted(pairs[:, 1], toxic)):
+                if len(names[word]) >= 3:
+                    count[names[word], False, t] += n
+            for k in STEM_LENGTHS:
+                ids: dict[str, int] = {}
+                stem = np.array([ids.setdefault(w[:k], len(ids)) if k < len(w) else -1 for w in names])
+                of = stem[pairs[:, 1]]
+                with_stem = np.unique(np.column_stack([pairs[:, 0], of])[of >= 0], axis=0)
+                texts = list(ids)
+                for (i, t), n in zip(*_counted(with_stem[:, 1], marks[piece.begin + with_stem[:, 0]])):
+                    count[texts[i], True, t] += n
+            keys = list(count)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.bool_(), pa.int32()))]
+                + [pa.array([count[k] for k in keys], pa.int64())], ["term", "stem", "toxic", "n"])
+
+
+def _counted(a: np.ndarray, b: np.ndarray) -> tuple[list[list[int]], list[int]]:
+    """Pairs and how often each occurs."""
+    if not len(a):
+        return [], []
+    found, n = np.unique(np.column_stack([a, b]), axis=0, return_counts=True)
+    return found.tolist(), n.tolist()
 
 
 def misspell(text: str, terms: list[Term]) -> str:
-    """``text`` with one letter changed, dropped or doubled in each whole term."""
+    """``text`` with one letter changed, dropped, doubled, swapped or made a digit in each whole term."""
     whole = {t.text for t in terms if not t.stem and len(t.text) >= FUZZY_LENGTH}
 
     def change(match: re.Match) -> str:
@@ -193,10 +278,14 @@ def misspell(text: str, terms: list[Term]) -> str:
             return word
         code = zlib.crc32(f"{word}{match.start()}".encode())
         at = 1 + code % (len(word) - 1)
-        middle = ("", 2 * word[at], "q" if word[at] == "x" else "x")[code // 97 % 3]
+        kind = code // 97 % 5
+        if kind == 4 and at + 1 < len(word):
+            return word[:at] + word[at + 1] + word[at] + word[at + 2:]
+        inner = at + 1 < len(word)
+        middle = ("", 2 * word[at], "q" if word[at] == "x" else "x", "0" if inner else "z", "z")[kind]
         return word[:at] + middle + word[at + 1:]
 
-    return re.sub(r"[^\W\d_]+", change, text)
+    return re.sub(r"[^\W\d_]+(?:\d+[^\W\d_]+)*", change, text)
 
 
 @dataclass(frozen=True)
@@ -211,7 +300,8 @@ class Model:
 
 
 def _choose(rows: list, toxic: int, other: int) -> list[Term]:
-    """Stems first, the shorter the better; then words that no stem covers."""
+    """Stems first, the shorter the better, where no shorter one covers them; then all words:
+    those that a stem covers are still what a misspelled one can be near to."""
     scored = []
     for r in rows:
         odds = ((r["pos"] + 0.5) / (toxic + 1)) / ((r["neg"] + 0.5) / (other + 1))
@@ -234,12 +324,12 @@ def _choose(rows: list, toxic: int, other: int) -> list[Term]:
     scored.sort(key=lambda s: (not s[1], len(s[0]), -s[3], s[0]))
     for term, stem, odds, pos in scored:
         weight = math.log(odds)
-        if covered(term, weight) or (stem and pos <= words_of[term]):
+        if stem and (covered(term, weight) or pos <= words_of[term]):
             continue
         chosen.append(Term(term, stem, weight, weight / 2))
         if stem:
             stems[term] = chosen[-1]
-    return sorted(chosen, key=lambda t: (-t.weight, t.text))[:MAX_TERMS]
+    return sorted(chosen, key=lambda t: (-t.weight, t.text))
 
 
 def _fit(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, float]:
@@ -280,7 +370,7 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int
         .mapInArrow(_sketch, "doc_id long, text string, toxic int, sketch long")
         .dropDuplicates(["sketch", "toxic"]))
     part = F.pmod(F.xxhash64("sketch", F.lit("part")), F.lit(3))
-    sample = rows.withColumn("part", part).select("text", "toxic", "part").persist()
+    sample = write_and_reread(rows.withColumn("part", part).select("text", "toxic", "part"))
     size = {(r["toxic"], r["one"]): r["n"] for r in sample.groupBy(
         "toxic", (F.col("part") < 2).alias("one")).agg(F.count("*").alias("n")).collect()}
     counted = sample.where("part < 2").mapInArrow(
@@ -289,16 +379,18 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int
         F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("neg"))
     toxic, other = size.get((1, True), 0), size.get((0, True), 0)
     rare = (F.col("pos") + 0.5) * (other + 1) >= F.lit(MIN_ODDS * (toxic + 1)) * (F.col("neg") + 0.5)
-    best = counted.where((F.col("pos") >= MIN_TEXTS) & rare).orderBy(
-        F.desc("pos"), "term", "stem").limit(20 * MAX_TERMS).collect()
+    # Terms in MIN_TEXTS of at most TOXIC texts.
+    best = counted.where((F.col("pos") >= MIN_TEXTS) & rare).orderBy(F.desc("pos"), "term", "stem").collect()
     terms = _choose(best, toxic, other)
 
     near = Lexicon(terms)
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(h := near.find(w)) is not None and not h.exact
-                     for w in batch.column("term").to_pylist()]
+            data, bounds = flat(batch.column("term"))
+            maybe = near.possible(data, bounds[:-1], bounds[1:]) if len(data) else np.zeros(len(batch), bool)
+            found = [bool(m) and (h := near.find(w)) is not None and not h.exact
+                     for m, w in zip(maybe, batch.column("term").to_pylist())]
             yield batch.filter(pa.array(found, pa.bool_()))
 
     ordinary = frozenset(r["term"] for r in counted.where("NOT stem AND neg > 0").select(
@@ -318,7 +410,6 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int
                         pa.array(x.tolist(), pa.list_(pa.float64()))], ["toxic", "x"])
 
     fit = sample.where("part = 2").mapInArrow(evidence, "toxic int, x array<double>").collect()
-    sample.unpersist()
     y = np.array([r["toxic"] for r in fit], float)
     if not terms or y.min(initial=1) == y.max(initial=0):
         return certain
