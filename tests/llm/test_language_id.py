@@ -54,9 +54,19 @@ def test_unusual_rows(spark):
 
 def test_a_rare_language_gets_its_part_of_the_sample(spark, monkeypatch):
     monkeypatch.setattr(language_id, "SAMPLE", 120)
+    monkeypatch.setattr(language_id, "PER_LANG", 1)
     rows = [(i, "some words", f"l{i % 5}", "x") for i in range(10_000)]
     rows += [(10_000 + i, "other words", "rare", "x") for i in range(25)]
     got = [r[0] for r in language_id.sample(spark.createDataFrame(rows, SCHEMA))]
     usable = sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(10_000, 10_025))
     assert got.count("rare") == min(usable, 20)
     assert all(got.count(f"l{k}") >= 20 for k in range(5)) and len(got) == 120
+
+
+def test_as_many_languages_as_there_are(spark):
+    """Eighty languages, each with words of its own, are all learned."""
+    rows = [(i, " ".join(f"{chr(0x4E00 + 40 * (i % 80) + k % 30)}{chr(0x4E00 + 40 * (i % 80) + (i + k) % 30)}"
+                         for k in range(30)), f"l{i % 80}", "x") for i in range(2400)]
+    got = language_id.identify(spark.createDataFrame(rows, SCHEMA)).collect()
+    held = [(r["lang_pred"], f"l{r['doc_id'] % 80}") for r in got if r["held_out"]]
+    assert len({p for p, _ in held}) > 70 and sum(p == w for p, w in held) > 0.9 * len(held)

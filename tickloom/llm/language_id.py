@@ -3,9 +3,10 @@
 Byte n-grams of the lower-cased text are hashed into buckets. A text is the
 average of its buckets' embeddings; a linear softmax on it is trained together
 with the embeddings by stochastic gradient descent in numpy. The sample it is
-fitted on is bounded: ``SAMPLE`` rows, as many of each of the ``LANGS`` commonest
-languages, or all of one that has fewer, drawn by a hash of the id. A part of it is kept back to set the softmax's
-temperature and the score under which a prediction is rejected.
+fitted on is bounded: ``SAMPLE`` rows, or ``PER_LANG`` for each language if that is
+more; as many of each language, or all of one that has fewer, drawn by a hash of the
+id. Every language of the training folds is learned. A part of the sample is kept back
+to set the softmax's temperature and the score under which a prediction is rejected.
 
 Fitted, an n-gram's effect on the logits is a row of one table of fixed size,
 so that texts are read once, whole, and never shuffled.
@@ -13,7 +14,8 @@ so that texts are read once, whole, and never shuffled.
 Results for unusual rows: NULL texts and texts without a letter are ``und``
 with score 0, not accepted; so is everything if no row can be learned from.
 Rows with NULL doc_id are never learned from and not held out. Repeated rows
-are judged each for itself; other columns are ignored.
+are judged each for itself; texts of any length are read whole, each in one task;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from tickloom.llm.texts import Piece, in_small_batches, lower, pieces
 BUCKETS = 1 << 14
 GRAMS = (2, 3, 4)
 DIM = 16
-LANGS, SAMPLE = 64, 2400
+SAMPLE, PER_LANG = 2400, 40
 EPOCHS, BATCH, RATE = 20, 32, 0.5
 #: Least accuracy of accepted predictions on the part kept back.
 ACCEPTED_ACCURACY = 0.99
@@ -169,11 +171,12 @@ def sample(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT) -> lis
     """Features of the bounded training sample."""
     usable = docs.select("doc_id", "text", "lang").where(
         (fold(folds) != held_out) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()
+    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not sizes:
         return []
+    whole = max(SAMPLE, PER_LANG * len(sizes))
     # Languages with fewer rows than an equal part give all; the others share what is left.
-    left, part = SAMPLE, {}
+    left, part = whole, {}
     for k, r in enumerate(reversed(sizes)):
         part[r["lang"]] = min(r["count"], left // (len(sizes) - k))
         left -= part[r["lang"]]
@@ -186,7 +189,7 @@ def sample(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT) -> lis
     # Only the bounded draw is ranked.
     by_luck = Window.partitionBy("lang").orderBy("luck", "doc_id")
     counted = drawn.withColumn("rank", F.row_number().over(by_luck)).where(
-        F.col("rank") <= wanted[F.col("lang")]).orderBy("luck", "doc_id").limit(SAMPLE).select("lang", "text")
+        F.col("rank") <= wanted[F.col("lang")]).orderBy("luck", "doc_id").limit(whole).select("lang", "text")
     # Texts are shuffled for the order only within the sample.
     rows = counted.mapInArrow(_counts, "lang string, bucket array<int>, times array<int>").toArrow()
     lang, bucket, times = (rows.column(k).combine_chunks() for k in range(3))
