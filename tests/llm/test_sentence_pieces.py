@@ -52,6 +52,23 @@ def test_dropout_varies_and_is_lossless(model, data):
     assert len({tuple(x) for x in encode(model, ["abc"], 1.0)}) == 1
 
 
+def test_draws_belong_to_occurrences(model, data, monkeypatch):
+    """Pieces are as if every occurrence were merged for itself, and vary without bound."""
+    values = texts(data)[:60] + ODD
+    plain = encode(model, values, 0.1)
+    monkeypatch.setattr(sp, "_touched", lambda key, chunk, merges, rate: np.arange(len(chunk)))
+    assert encode(model, values, 0.1) == plain
+    monkeypatch.undo()
+    one = encode(model, ["considerations " * 400], 0.3)[0]
+    words, word = set(), []
+    for i in one:
+        if model.processor.id_to_piece(i).startswith("▁"):
+            words.add(tuple(word))
+            word = []
+        word.append(i)
+    assert len(words) > 10
+
+
 def test_agenda_equals_steps(model):
     rng = random.Random(3)
     for rate in (0.0, 0.2):

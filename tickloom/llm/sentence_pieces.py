@@ -3,15 +3,16 @@
 A BPE piece model (its file is a parameter) is applied as its library does:
 spaces become a mark, one is put before the text, and of all neighbours that
 join to a piece the best ranked are merged, again and again. With dropout, a
-candidate merge is skipped where a keyed hash of (seed, variant, chunk,
-position, piece) falls under the rate, so that a word is cut in up to
-``VARIANTS`` ways; which way, is decided by a keyed hash of document and place.
-A rerun gives the same pieces, and every segmentation decodes to the text.
+candidate merge is skipped where a keyed hash of (seed, document, place in it,
+position, piece) falls under the rate, so every occurrence of a word has draws of
+its own. A rerun gives the same pieces, and every segmentation decodes to the text.
 
 Pieces never hold the mark behind other characters, so texts fall into chunks
-(a run of marks and what follows it) that are encoded apart: each distinct
-chunk and variant once for a stretch of text, and all of one length together,
-a merge each per step. Long chunks use an agenda of their own.
+(a run of marks and what follows it) that are encoded apart, all of one length
+together, a merge each per step; a few long ones use an agenda of their own. Each
+distinct chunk is merged without dropout once for a stretch of text. Where an
+occurrence's draws skip none of these merges, its pieces are the same; all other
+occurrences are merged for themselves.
 
 Characters without a piece, the mark itself among them, become byte pieces.
 Results for unusual rows: NULL texts have NULL ids; empty ones none. Rows with
@@ -35,10 +36,10 @@ from tickloom.llm.repeats import _ranges
 from tickloom.llm.texts import Piece, in_small_batches, pieces
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-DROPOUT, SEED, VARIANTS = 0.1, 17, 4
+DROPOUT, SEED = 0.1, 17
 STRETCH = 1 << 21
-#: Symbols of a chunk up to which chunks are merged together.
-TOGETHER = 48
+#: Symbols of a chunk up to which chunks are merged together, and up to which if they are several.
+TOGETHER, SEVERAL_TOGETHER = 48, 400
 _MARK = "▁"
 _NONE = np.int64(1 << 40)
 
@@ -114,13 +115,18 @@ class Model:
 
 
 def _skipped(key, position, rank, rate: float):
-    """Whether dropout skips a candidate; ``key`` stands for seed, variant and chunk."""
+    """Whether dropout skips a candidate; ``key`` stands for seed, document, place and chunk."""
     return mix(mix(key + position.astype(U64) * U64(BASE)) + rank.astype(U64)) < U64(
         min(int(rate * (1 << 64)), (1 << 64) - 1))
 
 
-def merge_together(model: Model, symbols: np.ndarray, keys: np.ndarray, rate: float) -> list[np.ndarray]:
-    """Pieces of chunks of one length, rows of ``symbols``; each step merges once in each."""
+def merge_together(
+    model: Model, symbols: np.ndarray, keys: np.ndarray, rate: float, merges: list | None = None,
+) -> list[np.ndarray]:
+    """Pieces of chunks of one length, rows of ``symbols``; each step merges once in each.
+
+    ``merges`` takes (rows, positions, ranks) of each step.
+    """
     n, out = len(symbols), [None] * len(symbols)
     rows, place = np.arange(n), np.broadcast_to(np.arange(symbols.shape[1]), symbols.shape)
     while len(rows) and symbols.shape[1] > 1:
@@ -136,6 +142,8 @@ def merge_together(model: Model, symbols: np.ndarray, keys: np.ndarray, rate: fl
             out[rows[i]] = symbols[i]
         live = value < _NONE
         rows, keys, best, value = rows[live], keys[live], best[live], value[live]
+        if merges is not None:
+            merges.append((rows, place[live, best], value))
         column = np.arange(symbols.shape[1] - 1)
         column = column[None, :] + (column[None, :] > best[:, None])
         symbols, place = (np.take_along_axis(x[live], column, axis=1) for x in (symbols, place))
@@ -175,9 +183,44 @@ def merge_agenda(model: Model, symbols: np.ndarray, key: np.uint64, rate: float)
     return sym[~gone]
 
 
+def _merge_all(
+    model: Model, flat: np.ndarray, start: np.ndarray, length: np.ndarray, keys: np.ndarray, rate: float,
+    merges: list | None = None,
+) -> list[np.ndarray]:
+    """Pieces of chunks; ``merges`` takes (chunks, positions, ranks) of those merged together."""
+    parts: list[np.ndarray] = [None] * len(start)
+    order = np.argsort(length, kind="stable")
+    sizes, at = np.unique(length[order], return_index=True)
+    for n, a, b in zip(sizes.tolist(), at, np.append(at[1:], len(order))):
+        own = order[a:b]
+        table = flat[start[own][:, None] + np.arange(n)]
+        if n > (SEVERAL_TOGETHER if len(own) > 3 else TOGETHER):
+            for i, row in zip(own, table):
+                parts[i] = merge_agenda(model, row, keys[i], rate)
+            continue
+        steps: list | None = None if merges is None else []
+        for i, row in zip(own, merge_together(model, table, keys[own], rate, steps)):
+            parts[i] = row
+        for rows, position, rank in steps or ():
+            merges.append((own[rows], position, rank))
+    return parts
+
+
+def _touched(key: np.ndarray, chunk: np.ndarray, merges: list, rate: float) -> np.ndarray:
+    """Occurrences with a draw that skips one of their chunk's merges."""
+    if not merges:
+        return np.zeros(0, np.int64)
+    own, position, rank = (np.concatenate(x) for x in zip(*merges))
+    order = np.argsort(own, kind="stable")
+    own, position, rank = own[order], position[order], rank[order]
+    count = np.bincount(own, minlength=int(chunk.max()) + 1)[chunk]
+    begin = np.searchsorted(own, chunk)
+    at, which = _ranges(begin, count), np.repeat(np.arange(len(chunk)), count)
+    return np.unique(which[_skipped(key[which], position[at], rank[at], rate)])
+
+
 def encode(
     model: Model, piece: Piece, documents: np.ndarray, rate: float = DROPOUT, seed: int = SEED,
-    variants: int = VARIANTS,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, end to end, and their bounds; ``documents`` are 64-bit keys."""
     points = np.frombuffer(piece.data.tobytes().decode().encode("utf-32-le"), np.uint32)
@@ -208,23 +251,31 @@ def encode(
     end = np.append(start[1:], len(flat))
     text = np.searchsorted(bounds, start, side="right") - 1
     chunk = mix(Rolling(mix(flat.astype(U64))).of(start, end) + (end - start).astype(U64))
-    if rate:
-        turn = mix(documents[text] + mix((start - bounds[text]).astype(U64) + U64(seed)))
-        key = mix(chunk + (turn % U64(variants)) * U64(BASE) + mix(np.full(1, seed, U64)))
+    length = end - start
+    _, first, back = np.unique(chunk, return_index=True, return_inverse=True)
+    short = length[first] <= SEVERAL_TOGETHER
+    if not rate:
+        parts = _merge_all(model, flat, start[first], length[first], chunk[first], 0.0)
     else:
-        key = chunk
-    _, first, back = np.unique(key, return_index=True, return_inverse=True)
-    length = (end - start)[first]
-    parts: list[np.ndarray] = [None] * len(first)
-    for n in np.unique(length):
-        own = np.flatnonzero(length == n)
-        table = flat[start[first[own]][:, None] + np.arange(n)]
-        if n > TOGETHER:
-            for i, row in zip(own, table):
-                parts[i] = merge_agenda(model, row, key[first[i]], rate)
-            continue
-        for i, row in zip(own, merge_together(model, table, key[first[own]], rate)):
-            parts[i] = row
+        key = mix(chunk + mix(documents[text] + mix((start - bounds[text]).astype(U64) + U64(seed))))
+        # A very long chunk hardly ever keeps all its merges.
+        merges: list = []
+        plain = np.flatnonzero(short)
+        parts = [None] * len(first)
+        for i, part in zip(plain, _merge_all(
+                model, flat, start[first[plain]], length[first[plain]], chunk[first[plain]], 0.0, merges)):
+            parts[i] = part
+        merges = [(plain[rows], position, rank) for rows, position, rank in merges]
+        recorded = np.zeros(len(first), bool)
+        recorded[length[first] == 1] = True
+        for rows, _, _ in merges:
+            recorded[rows] = True
+        # Chunks that an agenda has merged, or that no merge fits, have none on record.
+        again = np.union1d(_touched(key, back, merges, rate), np.flatnonzero(~recorded[back]))
+        own = _merge_all(model, flat, start[again], length[again], key[again], rate)
+        back = back.copy()
+        back[again] = len(parts) + np.arange(len(again))
+        parts = [np.zeros(0, np.int64) if p is None else p for p in parts] + own
     sizes = np.array([len(p) for p in parts])
     ids = np.concatenate(parts)[_ranges((np.cumsum(sizes) - sizes)[back], sizes[back])]
     ends = np.concatenate([[0], np.cumsum(sizes[back])])
