@@ -122,35 +122,47 @@ def _skipped(key, position, rank, rate: float):
 
 def merge_together(
     model: Model, symbols: np.ndarray, keys: np.ndarray, rate: float, merges: list | None = None,
-) -> list[np.ndarray]:
+) -> list[tuple[np.ndarray, np.ndarray]]:
     """Pieces of chunks of one length, rows of ``symbols``; each step merges once in each.
 
-    ``merges`` takes (rows, positions, ranks) of each step.
+    Returns (rows, a row of pieces for each), by number of pieces; ``merges`` takes (rows,
+    positions, ranks) of each step.
     """
-    n, out = len(symbols), [None] * len(symbols)
+    n, out = len(symbols), []
     rows, place = np.arange(n), np.broadcast_to(np.arange(symbols.shape[1]), symbols.shape)
-    while len(rows) and symbols.shape[1] > 1:
-        rank = model.merge_rank(symbols[:, :-1], symbols[:, 1:])
+
+    def ranks(of: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Ranks of the merges at some places, without those that dropout skips."""
+        found = model.merge_rank(symbols[of, at], symbols[of, at + 1])
         if rate:
-            some = rank < _NONE
-            at = np.nonzero(some)
-            rank[at] = np.where(
-                _skipped(keys[at[0]], place[:, :-1][at], rank[at], rate), _NONE, rank[at])
+            some = np.flatnonzero(found < _NONE)
+            skip = _skipped(keys[of[some]], place[of[some], at[some]], found[some], rate)
+            found[some[skip]] = _NONE
+        return found
+
+    if symbols.shape[1] > 1:
+        every = np.indices((n, symbols.shape[1] - 1)).reshape(2, -1)
+        rank = ranks(*every).reshape(n, -1)
+    while len(rows) and symbols.shape[1] > 1:
         best = rank.argmin(axis=1)
         value = rank[np.arange(len(rows)), best]
-        for i in np.flatnonzero(value == _NONE):
-            out[rows[i]] = symbols[i]
         live = value < _NONE
+        if not live.all():
+            out.append((rows[~live], symbols[~live]))
         rows, keys, best, value = rows[live], keys[live], best[live], value[live]
         if merges is not None:
             merges.append((rows, place[live, best], value))
         column = np.arange(symbols.shape[1] - 1)
-        column = column[None, :] + (column[None, :] > best[:, None])
-        symbols, place = (np.take_along_axis(x[live], column, axis=1) for x in (symbols, place))
-        symbols[np.arange(len(rows)), best] = model.by_rank[value]
-    for i, r in enumerate(rows):
-        out[r] = symbols[i]
-    return out
+        after = column[None, :] + (column[None, :] > best[:, None])
+        symbols, place = (np.take_along_axis(x[live], after, axis=1) for x in (symbols, place))
+        each = np.arange(len(rows))
+        symbols[each, best] = model.by_rank[value]
+        # Only the pairs of the new piece change.
+        rank = np.take_along_axis(rank[live], column[None, :-1] + (column[None, :-1] >= best[:, None]), axis=1)
+        for at, some in ((best - 1, best > 0), (best, best < symbols.shape[1] - 1)):
+            some = np.flatnonzero(some)
+            rank[some, at[some]] = ranks(some, at[some])
+    return [*out, (rows, symbols)] if len(rows) else out
 
 
 def merge_agenda(model: Model, symbols: np.ndarray, key: np.uint64, rate: float) -> np.ndarray:
@@ -183,27 +195,39 @@ def merge_agenda(model: Model, symbols: np.ndarray, key: np.uint64, rate: float)
     return sym[~gone]
 
 
+def _alone(length: np.ndarray) -> np.ndarray:
+    """Chunks that are merged by an agenda of their own: long ones, of a length that few have."""
+    _, back, n = np.unique(length, return_inverse=True, return_counts=True)
+    return length > np.where(n[back] > 3, SEVERAL_TOGETHER, TOGETHER)
+
+
 def _merge_all(
     model: Model, flat: np.ndarray, start: np.ndarray, length: np.ndarray, keys: np.ndarray, rate: float,
     merges: list | None = None,
-) -> list[np.ndarray]:
-    """Pieces of chunks; ``merges`` takes (chunks, positions, ranks) of those merged together."""
-    parts: list[np.ndarray] = [None] * len(start)
-    order = np.argsort(length, kind="stable")
+) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of all chunks, end to end, and how many each has; ``merges`` takes (chunks,
+    positions, ranks) of those merged together."""
+    blocks, alone = [], _alone(length)
+    for i in np.flatnonzero(alone):
+        row = flat[start[i]:start[i] + length[i]]
+        blocks.append((np.array([i]), merge_agenda(model, row, keys[i], rate)[None, :]))
+    order = np.argsort(np.where(alone, -1, length), kind="stable")[np.count_nonzero(alone):]
     sizes, at = np.unique(length[order], return_index=True)
     for n, a, b in zip(sizes.tolist(), at, np.append(at[1:], len(order))):
         own = order[a:b]
-        table = flat[start[own][:, None] + np.arange(n)]
-        if n > (SEVERAL_TOGETHER if len(own) > 3 else TOGETHER):
-            for i, row in zip(own, table):
-                parts[i] = merge_agenda(model, row, keys[i], rate)
-            continue
         steps: list | None = None if merges is None else []
-        for i, row in zip(own, merge_together(model, table, keys[own], rate, steps)):
-            parts[i] = row
+        found = merge_together(model, flat[start[own][:, None] + np.arange(n)], keys[own], rate, steps)
+        blocks += [(own[rows], table) for rows, table in found]
         for rows, position, rank in steps or ():
             merges.append((own[rows], position, rank))
-    return parts
+    count = np.zeros(len(start), np.int64)
+    for own, table in blocks:
+        count[own] = table.shape[1]
+    begin = np.cumsum(count) - count
+    ids = np.zeros(count.sum(), np.int64)
+    for own, table in blocks:
+        ids[begin[own][:, None] + np.arange(table.shape[1])] = table
+    return ids, count
 
 
 def _touched(key: np.ndarray, chunk: np.ndarray, merges: list, rate: float) -> np.ndarray:
@@ -253,32 +277,17 @@ def encode(
     chunk = mix(Rolling(mix(flat.astype(U64))).of(start, end) + (end - start).astype(U64))
     length = end - start
     _, first, back = np.unique(chunk, return_index=True, return_inverse=True)
-    short = length[first] <= SEVERAL_TOGETHER
-    if not rate:
-        parts = _merge_all(model, flat, start[first], length[first], chunk[first], 0.0)
-    else:
+    merges: list = []
+    parts, count = _merge_all(model, flat, start[first], length[first], chunk[first], 0.0, merges if rate else None)
+    if rate:
         key = mix(chunk + mix(documents[text] + mix((start - bounds[text]).astype(U64) + U64(seed))))
-        # A very long chunk hardly ever keeps all its merges.
-        merges: list = []
-        plain = np.flatnonzero(short)
-        parts = [None] * len(first)
-        for i, part in zip(plain, _merge_all(
-                model, flat, start[first[plain]], length[first[plain]], chunk[first[plain]], 0.0, merges)):
-            parts[i] = part
-        merges = [(plain[rows], position, rank) for rows, position, rank in merges]
-        recorded = np.zeros(len(first), bool)
-        recorded[length[first] == 1] = True
-        for rows, _, _ in merges:
-            recorded[rows] = True
-        # Chunks that an agenda has merged, or that no merge fits, have none on record.
-        again = np.union1d(_touched(key, back, merges, rate), np.flatnonzero(~recorded[back]))
-        own = _merge_all(model, flat, start[again], length[again], key[again], rate)
-        back = back.copy()
-        back[again] = len(parts) + np.arange(len(again))
-        parts = [np.zeros(0, np.int64) if p is None else p for p in parts] + own
-    sizes = np.array([len(p) for p in parts])
-    ids = np.concatenate(parts)[_ranges((np.cumsum(sizes) - sizes)[back], sizes[back])]
-    ends = np.concatenate([[0], np.cumsum(sizes[back])])
+        # What an agenda has merged is not on record.
+        again = np.union1d(_touched(key, back, merges, rate), np.flatnonzero(_alone(length[first])[back]))
+        own, size = _merge_all(model, flat, start[again], length[again], key[again], rate)
+        back[again] = len(count) + np.arange(len(again))
+        parts, count = np.concatenate([parts, own]), np.concatenate([count, size])
+    ids = parts[_ranges((np.cumsum(count) - count)[back], count[back])]
+    ends = np.concatenate([[0], np.cumsum(count[back])])
     return ids, ends[np.searchsorted(start, bounds)]
 
 
