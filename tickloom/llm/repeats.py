@@ -183,14 +183,14 @@ def _runs(ladder: Ladder):
     return ranks
 
 
-def _points(ladder: Ladder):
-    """Positions that the windows of runs are made of, with the rank of the shortest length."""
-    places, length = Places(ladder), ladder.lengths[0]
+def _first_pairs(ladder: Ladder):
+    """Pairs of ranks of the shortest length, where the windows of runs need the next one."""
+    places, length, offset = Places(ladder), ladder.lengths[0], ladder.offsets[0]
     parts = [0]
-    for offset in ladder.offsets:
-        parts = sorted({p + o for p in parts for o in (0, offset)})
+    for later in ladder.offsets[1:]:
+        parts = sorted({p + o for p in parts for o in (0, later)})
 
-    def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, copies = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "copy"))
             for piece in pieces(batch.column("text"), PIECE // 2):
@@ -203,15 +203,16 @@ def _points(ladder: Ladder):
                     wanted[windows + part] = True
                 at = np.flatnonzero(wanted)
                 text = np.searchsorted(bounds, at, side="right") - 1
-                rank = mix(Rolling(codes).of(at, at + length))
+                rolling = Rolling(codes)
+                low, high = (mix(rolling.of(x, x + length)).view(np.int64) for x in (at, at + offset))
                 yield _arrow(
                     ("doc_id", ids[piece.begin + text].astype(np.int64)), ("copy", copies[piece.begin + text]),
-                    ("at", at - bounds[text]), ("rank", rank.view(np.int64)))
+                    ("at", at - bounds[text]), ("low", low), ("high", high))
 
-    return points
+    return pairs
 
 
-POINTS = "doc_id long, copy long, at long, rank long"
+PAIRS = "doc_id long, copy long, at long, low long, high long"
 
 
 def _pairs(points: DataFrame, offset: int) -> DataFrame:
@@ -295,9 +296,10 @@ def repeated_windows(docs: DataFrame, ladder: Ladder, within_texts: bool) -> Dat
     runs = write_and_reread(with_places(base, by_block.where("NOT covered").select(places)).mapInArrow(
         _runs(ladder), ROWS))
     by_run = _judged(runs, within_texts)
-    points = write_and_reread(with_places(base, by_run.where("NOT covered").select(places)).mapInArrow(
-        _points(ladder), POINTS))
-    for offset in ladder.offsets[:-1]:
+    # The first pairs of a text are made where it is read, later ones by Spark.
+    points = _reranked(with_places(base, by_run.where("NOT covered").select(places)).mapInArrow(
+        _first_pairs(ladder), PAIRS))
+    for offset in ladder.offsets[1:-1]:
         points = _reranked(_pairs(points, offset))
     unit = ladder.window + 1
     one = ((F.col("at") * unit) * unit + 1).alias("place")  # As ``Places`` has it: a run of one window.
