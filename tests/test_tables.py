@@ -275,3 +275,13 @@ def test_shared_folder_is_the_clusters(spark):
     assert shared_folder(spark) == folder
     stored = write_and_reread(spark.range(3))
     assert stored.count() == 3 and folder in stored.inputFiles()[0]
+
+
+def test_discarded_stages_are_deleted(spark):
+    from tickloom.session import discard, write_and_reread
+
+    first = write_and_reread(spark.range(3))
+    second = write_and_reread(first.where("id > 0"))
+    path = first._stage
+    discard(first, second.where("id > 1"), spark.range(1))
+    assert not os.path.exists(path) and second.count() == 2

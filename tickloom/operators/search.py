@@ -14,6 +14,8 @@ from tickloom.session import write_and_reread
 
 # Fixed values of the BM25 ranking.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+#: Column of a document table's parts, and their number.
+PART, PARTS = "id_part", 256
 
 
 def _units(terms: Sequence[str]) -> list[tuple[str, bool]]:
@@ -34,7 +36,7 @@ def _units(terms: Sequence[str]) -> list[tuple[str, bool]]:
 
 
 def _nothing(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("rank", F.lit(0.0)).limit(0)
+    return docs.drop(PART).withColumn("rank", F.lit(0.0)).limit(0)
 
 
 def _folded(word: str) -> Column:
@@ -72,19 +74,17 @@ def search(
 ) -> DataFrame:
     """Rows that contain all terms, best first (the lower ``rank`` the better).
 
-    Counts words inside each row, so the texts are not shuffled: one pass for
-    the corpus figures, which is one row, and one for the hits. Without any word
-    in ``terms`` nothing is found.
+    Texts are read and cut into words once: what that gives of a row, its id and some
+    counts, is stored, and the corpus figures and the ranking come from there. Of the
+    texts themselves only the hits are read again. Without any word in ``terms`` nothing
+    is found.
     """
     units = _units(terms)
     if not units:
         return _nothing(docs)
-    words = settle(docs, _words=tokens(F.coalesce(F.col(text), F.lit(""))))
-    counted = settle(
-        words,
-        _len=F.size("_words"),
-        **{f"_f{i}": F.size(F.filter("_words", _matcher(*u))) for i, u in enumerate(units)},
-    ).drop("_words")
+    words = settle(docs.select("id", text), _words=tokens(F.coalesce(F.col(text), F.lit(""))))
+    counted = write_and_reread(words.select("id", F.size("_words").alias("_len"), *(
+        F.size(F.filter("_words", _matcher(*u))).alias(f"_f{i}") for i, u in enumerate(units))))
     # One row, taken in as a value.
     figures = counted.agg(F.struct(
         F.count(F.lit(1)).alias("docs"),
@@ -102,15 +102,38 @@ def search(
         ),
         F.lit(0.0),
     )
-    return (
-        hits.withColumn("_figures", figures)
-        .withColumn("rank", -score)
-        .select(*docs.columns, "rank")
-        .orderBy("rank", "id")
-        .limit(limit)
+    top = hits.withColumn("_figures", figures).select("id", (-score).alias("rank")).orderBy("rank", "id").limit(limit)
+    return fetch(docs, top)
+
+
+def _part(row_id: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(row_id), F.lit(parts)).cast("int")
+
+
+def write_documents(docs: DataFrame, path: str, parts: int = PARTS, mode: str = "errorifexists") -> None:
+    """Store documents so that few files are read for a few ids: in parts by id."""
+    placed = docs.withColumn(PART, _part(F.col("id").cast("long"), parts))
+    (
+        placed.hint("rebalance", F.col(PART)).sortWithinPartitions(PART, "id")
+        .write.mode(mode).partitionBy(PART).parquet(path)
     )
 
 
+def fetch(docs: DataFrame, top: DataFrame, parts: int = PARTS) -> DataFrame:
+    """The documents of ``top`` (id, rank), in its order.
+
+    Of documents stored by ``write_documents`` only the parts that hold such an id are
+    read: Spark learns them when it has the ids. ``top`` is a handful of rows.
+    """
+    columns = [c for c in docs.columns if c != PART]
+    if PART in docs.columns:
+        placed = top.where(F.col("rank") <= 0).select("id", "rank", _part(F.col("id").cast("long"), parts).alias(PART))
+        found = docs.join(placed, [PART, "id"])
+    else:
+        found = docs.join(top, "id")
+    return found.select(*columns, "rank").orderBy("rank", "id")
+
+
 def build_postings(docs: DataFrame, text: str = "summary") -> DataFrame:
     """The word index: (term, doc_id, tf, doc_len).
 
@@ -196,7 +219,5 @@ def search_postings(
         .orderBy("rank", "id")
         .limit(limit)
     )
-    # At most ``limit`` rows meet the documents.
-    found = docs.join(top, "id")
-    return found.select(*docs.columns, "rank").orderBy("rank", "id")
+    return fetch(docs, top)
 

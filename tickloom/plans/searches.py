@@ -4,7 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tickloom.operators import index as I, search as Q
+from tickloom.operators import blocks as K, index as I, search as Q
 from tickloom.plans.registry import query
 from tickloom.plans.views import dealt, in_order, table, view
 from tickloom.session import stage_folder, write_and_reread
@@ -82,6 +82,27 @@ def search_index(spark, sf):
     return shown(found)
 
 
+def _stored(spark, sf):
+    """Documents, blocks of postings and corpus figures, as a service would keep them."""
+    docs = dealt(view(spark, sf, "summaries"))
+    path = f"{stage_folder(spark)}/search-{uuid.uuid4().hex}"
+    Q.write_documents(docs, f"{path}/docs")
+    K.write_blocks(K.build_blocks(Q.build_postings(docs), span=64), f"{path}/blocks")
+    return (spark.read.parquet(f"{path}/blocks"), spark.read.parquet(f"{path}/docs"),
+            write_and_reread(Q.corpus_stats(docs)))
+
+
+@query("T4_top_hits_in_blocks", "summaries", oracle=ranked(["term = 'the'"], 10))
+def top_hits_in_blocks(spark, sf):
+    return shown(K.search_blocks(*_stored(spark, sf), ["the"], limit=10))
+
+
+@query("Q1_search_all_words_in_blocks", "summaries", oracle=ranked(
+    ["term = 'que'", "term = 'des'", "term = 'une'"]))
+def search_words_in_blocks(spark, sf):
+    return shown(K.search_blocks(*_stored(spark, sf), ["que", "DES", "une"]))
+
+
 @query("T4_top_hits", "summaries", oracle=ranked(["term = 'the'"], 10))
 def top_hits(spark, sf):
     return shown(Q.search(dealt(view(spark, sf, "summaries")), ["the"], limit=10))

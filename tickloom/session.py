@@ -87,7 +87,20 @@ def write_and_reread(df: DataFrame) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_DROP_SHUFFLES, before)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._stage = path
+    return stored
+
+
+def discard(*stages: DataFrame) -> None:
+    """Delete tables of ``write_and_reread`` that nothing will read any more: all that is made
+    of them must be stored by now. Others, and those that are gone, are left alone."""
+    for stage in stages:
+        path = getattr(stage, "_stage", None)
+        if path is not None:
+            spark = stage.sparkSession
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 _SHIPPED: set[str] = set()
