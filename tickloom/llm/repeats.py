@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tickloom.llm.anchors import BASE, PIECE, U64, Blocks, Rolling, blocks, mix
 from tickloom.llm.texts import Piece, in_small_batches, pieces, unused
-from tickloom.session import write_and_reread
+from tickloom.session import discard, write_and_reread
 
 #: Codes of the symbols of a piece, and the first symbol of each text.
 Symbols = Callable[[Piece], tuple[np.ndarray, np.ndarray]]
@@ -228,8 +228,10 @@ def _reranked(pairs: DataFrame) -> DataFrame:
     """Positions with the rank of the pair, without those that have one of their own."""
     pairs = write_and_reread(pairs)
     several = write_and_reread(pairs.groupBy("low", "high").count().where("count > 1").select("low", "high"))
-    return write_and_reread(pairs.join(several, ["low", "high"], "left_semi").select(
+    points = write_and_reread(pairs.join(several, ["low", "high"], "left_semi").select(
         "doc_id", "copy", "at", F.xxhash64("low", "high").alias("rank")))
+    discard(pairs, several)
+    return points
 
 
 def copy_of() -> Column:
@@ -258,8 +260,10 @@ def _repeated(rows: DataFrame, within_texts: bool) -> DataFrame:
     me = _place(within_texts)
     classes = write_and_reread(rows.groupBy("outer", "inner").agg(
         F.min(me).alias("first"), F.max(me).alias("last")).where("first < last").drop("last"))
-    return write_and_reread(rows.join(classes, ["outer", "inner"]).where(me > F.col("first")).select(
+    found = write_and_reread(rows.join(classes, ["outer", "inner"]).where(me > F.col("first")).select(
         "doc_id", "copy", "place"))
+    discard(rows, classes)
+    return found
 
 
 def _judged(rows: DataFrame, within_texts: bool) -> DataFrame:
@@ -267,13 +271,15 @@ def _judged(rows: DataFrame, within_texts: bool) -> DataFrame:
     me = _place(within_texts)
     classes = write_and_reread(rows.groupBy("outer", "inner").agg(F.min(me).alias("first")))
     # Stored, so that the join with it can be split where one rank has very many classes.
-    shared = write_and_reread(
-        classes.groupBy("outer").count().where("count > 1").select("outer")).withColumn("shared", F.lit(True))
-    return write_and_reread(
+    several = write_and_reread(classes.groupBy("outer").count().where("count > 1").select("outer"))
+    shared = several.withColumn("shared", F.lit(True))
+    judged = write_and_reread(
         rows.join(classes.join(shared, "outer", "left"), ["outer", "inner"])
         .select("doc_id", "copy", "place", (me > F.col("first")).alias("covered"),
                 F.col("shared").isNotNull().alias("shared"))
         .where("covered OR shared"))
+    discard(rows, classes, several)
+    return judged
 
 
 def repeated_windows(docs: DataFrame, ladder: Ladder, within_texts: bool) -> DataFrame:
@@ -293,6 +299,7 @@ def repeated_windows(docs: DataFrame, ladder: Ladder, within_texts: bool) -> Dat
     # Equal blocks of one text are one row here, so the least doc_id is enough.
     places = ["doc_id", "copy", "place"]
     by_block = _judged(blocks_, False)
+    discard(seeds)
     runs = write_and_reread(with_places(base, by_block.where("NOT covered").select(places)).mapInArrow(
         _runs(ladder), ROWS))
     by_run = _judged(runs, within_texts)
@@ -305,6 +312,7 @@ def repeated_windows(docs: DataFrame, ladder: Ladder, within_texts: bool) -> Dat
     one = ((F.col("at") * unit) * unit + 1).alias("place")  # As ``Places`` has it: a run of one window.
     windows = write_and_reread(_pairs(points, ladder.offsets[-1]).select(
         F.col("low").alias("outer"), F.col("high").alias("inner"), "doc_id", "copy", one))
+    discard(points)
     by_rank = _repeated(windows, within_texts)
     return by_block.where("covered").select(places).unionByName(
         by_run.where("covered").select(places)).unionByName(by_rank)
