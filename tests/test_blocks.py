@@ -14,7 +14,7 @@ def corpus(spark, n=3000):
     rng = random.Random(3)
     rows = []
     for i in range(n):
-        words = [rng.choice(WORDS[:6] if rng.random() < 0.9 else WORDS) for _ in range(rng.randrange(1, 40))]
+        words = [rng.choice(WORDS[:6] if rng.random() < 0.9 else WORDS) for _ in range(rng.randrange(20, 40))]
         if rng.random() < 0.01:
             words += ["heron"] * 12
         rows.append((i * 3, " ".join(words)))
@@ -64,7 +64,14 @@ def test_hits_come_from_few_files(spark, stored):
     docs, _, kept, stats = stored
     found = Q.search_postings(Q.build_postings(docs), kept, stats, ["heron"], 5)
     plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "dynamicpruning" in plan
+    assert "PartitionFilters: [id_part_of_256" in plan and "PushedFilters: [In(id" in plan
     assert [r.id for r in found.collect()] == [r.id for r in Q.search(docs, ["heron"], 5).collect()]
-    files = kept.join(found.select("id"), "id").select(F.input_file_name()).distinct().count()
+    files = kept.where(F.col("id").isin([r.id for r in found.collect()])).select(F.input_file_name()).distinct().count()
     assert files <= 5 < len(kept.inputFiles()) / 10
+
+
+def test_many_hits_are_joined(stored, monkeypatch):
+    docs, _, kept, stats = stored
+    want = [r.id for r in Q.search(docs, ["heron"], 40).collect()]
+    monkeypatch.setattr(Q, "FEW", 7)
+    assert [r.id for r in Q.search(kept, ["heron"], 40).collect()] == want and len(want) == 40

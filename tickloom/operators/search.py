@@ -14,8 +14,10 @@ from tickloom.session import write_and_reread
 
 # Fixed values of the BM25 ranking.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
-#: Column of a document table's parts, and their number.
-PART, PARTS = "id_part", 256
+#: Column of a document table's parts, with their number at its end; the number by default.
+PART, PARTS = "id_part_of_", 256
+#: Up to so many ids are looked up by name.
+FEW = 1000
 
 
 def _units(terms: Sequence[str]) -> list[tuple[str, bool]]:
@@ -36,7 +38,11 @@ def _units(terms: Sequence[str]) -> list[tuple[str, bool]]:
 
 
 def _nothing(docs: DataFrame) -> DataFrame:
-    return docs.drop(PART).withColumn("rank", F.lit(0.0)).limit(0)
+    return docs.select(*_plain(docs)).withColumn("rank", F.lit(0.0)).limit(0)
+
+
+def _plain(docs: DataFrame) -> list[str]:
+    return [c for c in docs.columns if not c.startswith(PART)]
 
 
 def _folded(word: str) -> Column:
@@ -111,27 +117,34 @@ def _part(row_id: Column, parts: int) -> Column:
 
 
 def write_documents(docs: DataFrame, path: str, parts: int = PARTS, mode: str = "errorifexists") -> None:
-    """Store documents so that few files are read for a few ids: in parts by id."""
-    placed = docs.withColumn(PART, _part(F.col("id").cast("long"), parts))
+    """Store documents so that little is read for a few ids: in parts by id, sorted in each.
+    A part may have many files; take as many parts as make them some tens of files."""
+    name = f"{PART}{parts}"
+    placed = docs.withColumn(name, _part(F.col("id").cast("long"), parts))
     (
-        placed.hint("rebalance", F.col(PART)).sortWithinPartitions(PART, "id")
-        .write.mode(mode).partitionBy(PART).parquet(path)
+        placed.hint("rebalance", F.col(name)).sortWithinPartitions(name, "id")
+        .write.mode(mode).partitionBy(name).parquet(path)
     )
 
 
-def fetch(docs: DataFrame, top: DataFrame, parts: int = PARTS) -> DataFrame:
+def fetch(docs: DataFrame, top: DataFrame) -> DataFrame:
     """The documents of ``top`` (id, rank), in its order.
 
-    Of documents stored by ``write_documents`` only the parts that hold such an id are
-    read: Spark learns them when it has the ids. ``top`` is a handful of rows.
+    The ids of up to ``FEW`` hits are taken in as values. They reach the scan: of documents
+    stored by ``write_documents`` only their parts are read, and of a part only the row groups
+    that can hold them. More hits meet the documents in a join.
     """
-    columns = [c for c in docs.columns if c != PART]
-    if PART in docs.columns:
-        placed = top.where(F.col("rank") <= 0).select("id", "rank", _part(F.col("id").cast("long"), parts).alias(PART))
-        found = docs.join(placed, [PART, "id"])
-    else:
-        found = docs.join(top, "id")
-    return found.select(*columns, "rank").orderBy("rank", "id")
+    spark, columns = docs.sparkSession, _plain(docs)
+    hits = top.limit(FEW + 1).collect()
+    if len(hits) <= FEW:
+        ids = [r["id"] for r in hits]
+        docs = docs.where(F.col("id").isin(ids))
+        for name in (c for c in docs.columns if c.startswith(PART)):
+            parts = _part(F.col("id").cast("long"), int(name[len(PART):]))
+            numbers = spark.createDataFrame([(i,) for i in ids], "id long").select(parts).distinct().collect()
+            docs = docs.where(F.col(name).isin([r[0] for r in numbers]))
+        top = spark.createDataFrame(hits, top.schema)
+    return docs.join(top, "id").select(*columns, "rank").orderBy("rank", "id")
 
 
 def build_postings(docs: DataFrame, text: str = "summary") -> DataFrame:

@@ -86,7 +86,7 @@ def _stored(spark, sf):
     """Documents, blocks of postings and corpus figures, as a service would keep them."""
     docs = dealt(view(spark, sf, "summaries"))
     path = f"{stage_folder(spark)}/search-{uuid.uuid4().hex}"
-    Q.write_documents(docs, f"{path}/docs")
+    Q.write_documents(docs, f"{path}/docs", parts=16)
     K.write_blocks(K.build_blocks(Q.build_postings(docs), span=64), f"{path}/blocks")
     return (spark.read.parquet(f"{path}/blocks"), spark.read.parquet(f"{path}/docs"),
             write_and_reread(Q.corpus_stats(docs)))
