@@ -83,6 +83,11 @@ class LevenshteinAutomaton:
         return state[0][-1] <= self.edits
 
 
+def _shortened(word: str) -> list[str]:
+    """``word``, and all that it becomes without one letter."""
+    return [word, *(word[:i] + word[i + 1:] for i in range(len(word)))]
+
+
 class Lexicon:
     """``ordinary`` words are near a term, but words of their own, not misspellings."""
 
@@ -98,32 +103,37 @@ class Lexicon:
             else:
                 node.word = term
         self._fuzzy = [t for t in terms if not t.stem and len(t.text) >= FUZZY_LENGTH]
-        # First three bytes of terms; first and last two of terms that may be misspelled, by size.
+        # First three bytes of terms; last two of those that may be misspelled, by size.
         self._first = np.zeros(1 << 24, bool)
-        self._head, self._last = np.zeros((1 << 16, SIZES), bool), np.zeros((1 << 16, SIZES), bool)
+        self._last = np.zeros((1 << 16, SIZES), bool)
         for t in terms:
-            raw = t.text.encode()
-            self._first[int.from_bytes(raw[:3].ljust(3, b"\0"), "big")] = True
+            self._begins(t.text)
         for t in self._fuzzy:
             raw = t.text.encode()
             sizes = slice(min(max(len(raw) - 4, 0), SIZES - 1), min(len(raw) + 5, SIZES))
-            self._head[int.from_bytes(raw[:2], "big"), sizes] = True
             self._last[int.from_bytes(raw[-2:], "big"), sizes] = True
+            if len(t.text) == FUZZY_LENGTH:
+                # A swap in the middle of so short a word reaches both ends.
+                self._begins(t.text[:2] + t.text[3] + t.text[2])
+        # What one edit can have in common with a term: both less a letter, or one of them.
+        self._common = {c for t in self._fuzzy for c in _shortened(t.text)}
         self._known: dict[bytes, Hit | None] = {}
 
+    def _begins(self, text: str) -> None:
+        self._first[int.from_bytes(text.encode()[:3].ljust(3, b"\0"), "big")] = True
+
     def possible(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Words (in lower case) worth looking up.
 
-        One edit leaves either the first two or the last two letters of a term
-        as they are.
+        One edit leaves either the first three or the last two letters of a term
+        as they are, but for a swap in the middle of the shortest.
         """
         size = end - start
         padded = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.int64)
         head = [np.where(size > k, padded[start + k], 0) for k in range(3)]
         tail = np.where(size >= 2, (padded[np.maximum(end - 2, 0)] << 8) | padded[end - 1], 0)
-        size = np.minimum(size, SIZES - 1)
-        two = (head[0] << 8) | head[1]
-        return self._first[(two << 8) | head[2]] | self._head[two, size] | self._last[tail, size]
+        return (self._first[(head[0] << 16) | (head[1] << 8) | head[2]]
+                | self._last[tail, np.minimum(size, SIZES - 1)])
 
     def find(self, word: str) -> Hit | None:
         """The term that a word is, begins with, or misspells: the heaviest."""
@@ -138,6 +148,9 @@ class Lexicon:
             best = Hit(node.word.weight, True, node.word.text)
         if best is not None or len(word) < FUZZY_LENGTH - 1 or word in self.ordinary:
             return best
+        # Most words are near no term; these need no walk.
+        if self._common.isdisjoint(_shortened(word)):
+            return None
         for term in self._near(word):
             if best is None or term.misspelled > best.weight:
                 best = Hit(term.misspelled, False, term.text)
