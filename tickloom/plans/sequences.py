@@ -1,6 +1,6 @@
 """Idle stretches, layouts, de-duplication, transitions."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tickloom.functions.similarity import similarity_bound, text_similarity
 from tickloom.operators import dedup as D, idle, sessions as R
@@ -100,24 +100,29 @@ def transition_flag(spark, sf):
     return R.flag_transitions(rows, slice_s=3 * DAY)
 
 
-def kept_sql(source: str, keys: list[str], snapshot_days: int) -> str:
-    """Rules one to five as a recursion over the rows of a sequence."""
+def kept_sql(source: str, keys: list[str], snapshot_days: int, differs: str = "false") -> str:
+    """Rules one to five as a recursion over the rows of a sequence.
+
+    ``differs`` is rule six, over a row ``s`` and ``r.kid``, the id of the last kept one.
+    """
     on = " AND ".join(f"s.{k} IS NOT DISTINCT FROM r.{k}" for k in keys)
     keep = (
         "(s.app IS DISTINCT FROM r.kapp OR (coalesce(s.url, '') <> '' AND s.url IS DISTINCT FROM r.kurl)"
         " OR s.title IS DISTINCT FROM r.ktitle"
-        f" OR s.ts - r.kts >= INTERVAL {snapshot_days} DAY)"
+        f" OR s.ts - r.kts >= INTERVAL {snapshot_days} DAY OR {differs})"
     )
     return f"""
 seq AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {', '.join(keys)} ORDER BY ts, id) AS rn
  FROM {source}),
 walk AS (
- SELECT {', '.join(keys)}, id, rn, true AS keep, app AS kapp, url AS kurl, title AS ktitle, ts AS kts
+ SELECT {', '.join(keys)}, id, rn, true AS keep, app AS kapp, url AS kurl, title AS ktitle, ts AS kts,
+  id AS kid
  FROM seq WHERE rn = 1
  UNION ALL
  SELECT {', '.join('s.' + k for k in keys)}, s.id, s.rn, {keep},
   CASE WHEN {keep} THEN s.app ELSE r.kapp END, CASE WHEN {keep} THEN s.url ELSE r.kurl END,
-  CASE WHEN {keep} THEN s.title ELSE r.ktitle END, CASE WHEN {keep} THEN s.ts ELSE r.kts END
+  CASE WHEN {keep} THEN s.title ELSE r.ktitle END, CASE WHEN {keep} THEN s.ts ELSE r.kts END,
+  CASE WHEN {keep} THEN s.id ELSE r.kid END
  FROM walk r JOIN seq s ON {on} AND s.rn = r.rn + 1)"""
 
 
@@ -133,21 +138,28 @@ def dedup_rules(spark, sf):
     return kept.drop("text")
 
 
-@query("W3_dedup_per_epoch", "repeats", oracle="WITH RECURSIVE flagged AS (SELECT *, idle_s >= 180 AS is_idle FROM repeats)"
-       """, spans AS (SELECT *, app AS gapp, max(CASE WHEN is_idle THEN ts END)
+ACTIVE = """flagged AS (SELECT *, idle_s >= 180 AS is_idle FROM repeats),
+spans AS (SELECT *, app AS gapp, max(CASE WHEN is_idle THEN ts END)
  OVER (PARTITION BY device_id ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS epoch FROM flagged),
-active AS (SELECT * FROM spans WHERE NOT is_idle),""" + kept_sql(
+active AS (SELECT * FROM spans WHERE NOT is_idle),"""
+
+
+def in_epochs(rows: DataFrame) -> DataFrame:
+    """The rows outside idle stretches, with the epoch they belong to."""
+    ticks = rows.select("id", "device_id", F.col("ts").alias("tick_ts"), "idle_s")
+    epochs = idle.active_epochs(idle.idle_segments(ticks, slice_s=3 * DAY))
+    # Several rows of one instant are one tick: a join on it must not multiply them.
+    spans = epochs.groupBy("device_id", F.col("tick_ts").alias("ts")).agg(F.max("epoch").alias("epoch"))
+    return rows.join(spans, ["device_id", "ts"])
+
+
+@query("W3_dedup_per_epoch", "repeats", oracle="WITH RECURSIVE " + ACTIVE + kept_sql(
     "active", ["device_id", "gapp", "epoch"], 10) + """
 SELECT q.id, q.device_id, q.ts, q.app, q.title, q.url FROM walk w JOIN repeats q ON q.id = w.id
 WHERE w.keep""")
 def dedup_per_epoch(spark, sf):
     rows = view(spark, sf, "repeats", "id", "device_id", "ts", "app", "title", "url", "text", "idle_s")
-    ticks = rows.select("id", "device_id", F.col("ts").alias("tick_ts"), "idle_s")
-    epochs = idle.active_epochs(idle.idle_segments(ticks, slice_s=3 * DAY))
-    # Several rows of one instant are one tick: a join on it must not multiply them.
-    spans = epochs.groupBy("device_id", F.col("tick_ts").alias("ts")).agg(F.max("epoch").alias("epoch"))
-    active = rows.join(spans, ["device_id", "ts"])
-    kept = D.dedup(active, ["device_id", "app", "epoch"], threshold=0,
+    kept = D.dedup(in_epochs(rows), ["device_id", "app", "epoch"], threshold=0,
                    forced_snapshot_s=SNAPSHOT_S, slice_s=SLICE_S)
     return kept.select("id", "device_id", "ts", "app", "title", "url")
 

@@ -12,7 +12,7 @@ from tickloom.functions.similarity import text_similarity
 from tickloom.operators import dedup as D
 from tickloom.operators.sequence import Order, with_earlier
 from tickloom.plans.registry import query
-from tickloom.plans.sequences import SLICE_S, SNAPSHOT_S
+from tickloom.plans.sequences import ACTIVE, DAY, SLICE_S, SNAPSHOT_S, in_epochs, kept_sql
 from tickloom.plans.views import view
 
 # Characters of the beginning and of the tails; no tail shares a character with
@@ -49,18 +49,8 @@ def graded(spark, sf, *columns):
         "text", graded_text())
 
 
-WALK = """
-seq AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY device_id, app ORDER BY ts, id) AS rn FROM repeats),
-walk AS (
- SELECT device_id, app, id, rn, true AS keep, url AS kurl, title AS ktitle, ts AS kts, id AS kid FROM seq WHERE rn = 1
- UNION ALL
- SELECT device_id, app, id, rn, keeps, CASE WHEN keeps THEN url ELSE kurl END, CASE WHEN keeps THEN title ELSE ktitle END,
-  CASE WHEN keeps THEN ts ELSE kts END, CASE WHEN keeps THEN id ELSE kid END
- FROM (SELECT s.*, r.kurl, r.ktitle, r.kts, r.kid,
-   (coalesce(s.url, '') <> '' AND s.url IS DISTINCT FROM r.kurl) OR s.title IS DISTINCT FROM r.ktitle
-   OR s.ts - r.kts >= INTERVAL 10 DAY OR {ratio} < 0.85 AS keeps
-  FROM walk r JOIN seq s
-  ON s.device_id = r.device_id AND s.app = r.app AND s.rn = r.rn + 1))"""
+#: Rule six, of a row ``s`` against the last kept one.
+DIFFERS = f"{ratio_sql('s', 'r').replace('r.id', 'r.kid')} < 0.85"
 
 
 @query("P8_graded_similarity", "repeats", oracle=f"""
@@ -74,9 +64,37 @@ def graded_similarity(spark, sf):
         "id", F.round(text_similarity(F.col("text"), F.col("_before")), 9).alias("similarity"))
 
 
-@query("W1_graded_dedup", "repeats", oracle="WITH RECURSIVE " + WALK.format(
-    ratio=ratio_sql("s", "r").replace("r.id", "r.kid")).strip() + """
+@query("W1_graded_dedup", "repeats", oracle="WITH RECURSIVE " + kept_sql(
+    "(SELECT *, app AS gapp FROM repeats)", ["device_id", "gapp"], 10, DIFFERS).strip() + """
 SELECT id FROM walk WHERE keep""")
 def graded_dedup(spark, sf):
     kept = D.dedup(graded(spark, sf), ["device_id", "app"], forced_snapshot_s=SNAPSHOT_S, slice_s=SLICE_S)
     return kept.select("id")
+
+
+@query("W3_graded_per_epoch", "repeats", oracle="WITH RECURSIVE " + ACTIVE + kept_sql(
+    "active", ["device_id", "gapp", "epoch"], 10, DIFFERS) + """
+SELECT id, device_id, ts FROM walk JOIN (SELECT id, ts FROM repeats) USING (id) WHERE keep""")
+def graded_per_epoch(spark, sf):
+    kept = D.dedup(in_epochs(graded(spark, sf, "idle_s")), ["device_id", "app", "epoch"],
+                   forced_snapshot_s=SNAPSHOT_S, slice_s=SLICE_S)
+    return kept.select("id", "device_id", "ts")
+
+
+@query("A4_graded_report", "repeats", oracle="WITH RECURSIVE " + kept_sql(
+    "repeats", ["device_id"], 10, DIFFERS).strip() + """,
+marked AS (SELECT q.device_id, q.ts, q.id, q.app, w.keep FROM walk w JOIN repeats q ON q.id = w.id),
+steps AS (
+ SELECT device_id, keep, false AS kept_only, app <> lag(app) OVER (PARTITION BY device_id ORDER BY ts, id) AS moved
+ FROM marked UNION ALL
+ SELECT device_id, keep, true, app <> lag(app) OVER (PARTITION BY device_id ORDER BY ts, id) FROM marked WHERE keep)
+SELECT device_id, count(*) FILTER (WHERE NOT kept_only) AS n_raw, count(*) FILTER (WHERE kept_only) AS n_kept,
+ round(1 - count(*) FILTER (WHERE kept_only) / count(*) FILTER (WHERE NOT kept_only), 9) AS reduction,
+ count(*) FILTER (WHERE moved AND NOT kept_only) AS transitions_raw,
+ count(*) FILTER (WHERE moved AND kept_only) AS transitions_kept
+FROM steps GROUP BY device_id""")
+def graded_report(spark, sf):
+    raw = graded(spark, sf)
+    kept = D.dedup(raw, ["device_id"], forced_snapshot_s=SNAPSHOT_S, slice_s=SLICE_S)
+    counted = D.dedup_report(raw, kept, ["device_id"], slice_s=5 * DAY)
+    return counted.withColumn("reduction", F.round("reduction", 9))
