@@ -216,14 +216,16 @@ def report(spark, sf):
     return counted.withColumn("reduction", F.round("reduction", 9))
 
 
-LOOP = "WITH RECURSIVE " + (DAY_TICKS + CAPTURED.strip().replace("WITH read AS", "read AS") + f""",
+LOOP_ROWS = "WITH RECURSIVE " + (DAY_TICKS + CAPTURED.strip().replace("WITH read AS", "read AS") + f""",
 good AS (SELECT DISTINCT device_id, tick_ts FROM observations WHERE {VISIBLE} AND matched),
 active AS (
  SELECT c.*, c.tick_ts AS ts, e.epoch FROM captured c
  JOIN (SELECT id FROM observations WHERE {VISIBLE}) v ON v.id = c.id
  JOIN good g ON g.device_id = c.device_id AND g.tick_ts = c.tick_ts
  JOIN epochs e ON e.device_id = c.device_id AND e.tick_ts = c.tick_ts AND NOT e.is_idle),
-""").strip()[len("WITH "):] + kept_sql("active", ["device_id", "window_id", "epoch"], 10)
+""").strip()[len("WITH "):]
+LOOP_KEYS = ["device_id", "window_id", "epoch"]
+LOOP = LOOP_ROWS + kept_sql("active", LOOP_KEYS, 10)
 
 
 @query("L1_capture_loop", "observations", oracle=LOOP + """

@@ -8,12 +8,17 @@ exactly twice the shorter beginning over both lengths.
 
 from pyspark.sql import Column, functions as F
 
+from tickloom import settings as S
 from tickloom.functions.similarity import text_similarity
 from tickloom.operators import dedup as D
 from tickloom.operators.sequence import Order, with_earlier
+from tickloom.plans.batch_loop import CaptureLoop
 from tickloom.plans.registry import query
-from tickloom.plans.sequences import ACTIVE, DAY, SLICE_S, SNAPSHOT_S, in_epochs, kept_sql
-from tickloom.plans.views import view
+from tickloom.plans.sequences import (
+    ACTIVE, DAY, LOOP_KEYS, LOOP_ROWS, SLICE_S, SNAPSHOT_S, day_ticks, in_epochs, kept_sql,
+)
+from tickloom.plans.streams import capture_stream
+from tickloom.plans.views import dealt, view
 
 # Characters of the beginning and of the tails; no tail shares a character with
 # another one or with the beginning.
@@ -98,3 +103,35 @@ def graded_report(spark, sf):
     kept = D.dedup(raw, ["device_id"], forced_snapshot_s=SNAPSHOT_S, slice_s=SLICE_S)
     counted = D.dedup_report(raw, kept, ["device_id"], slice_s=5 * DAY)
     return counted.withColumn("reduction", F.round("reduction", 9))
+
+
+# A capture without text is a masked one, or one without an element.
+GRADED_LOOP = LOOP_ROWS.replace("WITH RECURSIVE ", f"""WITH RECURSIVE graded AS (
+ SELECT * REPLACE ([repeat('x', {HEAD_N} + {TAIL_N})] AS texts) FROM observations),
+""").replace("'' END AS t FROM observations", "'' END AS t FROM graded") + kept_sql(
+    "active", LOOP_KEYS, 10, f"(s.text <> '' AND {DIFFERS})") + """
+SELECT a.id, a.device_id, a.ts, a.app, a.title, length(a.text) AS n_chars, a.filtered
+FROM walk w JOIN active a ON a.id = w.id WHERE w.keep"""
+
+
+def graded_windows(seen):
+    """Observations whose only text is the graded one."""
+    return seen.withColumn("texts", F.array(graded_text()))
+
+
+def loop_columns(captures):
+    return captures.select(
+        "id", "device_id", "ts", "app", "title", F.length("text").alias("n_chars"), "filtered")
+
+
+@query("L1_graded_loop", "observations", oracle=GRADED_LOOP)
+def graded_loop(spark, sf):
+    seen = graded_windows(dealt(view(spark, sf, "observations")))
+    return loop_columns(CaptureLoop(
+        day_ticks(seen), seen, forced_snapshot_s=SNAPSHOT_S, slice_s=SLICE_S, dedup_slice_s=SLICE_S).captures)
+
+
+@query("G1_graded_stream", "observations", oracle=GRADED_LOOP)
+def graded_stream(spark, sf):
+    out = capture_stream(spark, sf, threshold=S.SIMILARITY_THRESHOLD, prepare=graded_windows)
+    return loop_columns(out.filter(F.col("kind") == "capture"))

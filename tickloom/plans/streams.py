@@ -16,17 +16,17 @@ from tickloom.streaming.sessions import ended_sessions
 STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
-def _stream(spark, sf):
+def capture_stream(spark, sf, threshold=0, prepare=lambda seen: seen):
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set(STORE, SETTINGS[STORE])
-    seen = shaped(table_stream(spark, sf, "events"), "observations")
+    seen = prepare(shaped(table_stream(spark, sf, "events"), "observations"))
     rows = loop_rows(seen.select("device_id", "tick_ts", "idle_s"), seen)
-    return _run(spark, rows, late="0 seconds")
+    return _run(spark, rows, late="0 seconds", threshold=threshold)
 
 
-def _run(spark, rows, late):
+def _run(spark, rows, late, threshold=0):
     # Events of one user are hours apart, so a slot is as long as some weeks.
-    out = run_stream(rows, late=late, threshold=0, forced_snapshot_s=SNAPSHOT_S, slot_s=2 * SNAPSHOT_S)
+    out = run_stream(rows, late=late, threshold=threshold, forced_snapshot_s=SNAPSHOT_S, slot_s=2 * SNAPSHOT_S)
     base = f"{stage_folder(spark)}/loop-{uuid.uuid4().hex}"
     start_loop(out, f"{base}/tables", f"{base}/progress", seconds=None).awaitTermination()
     return spark.read.schema(OUTPUT).parquet(f"{base}/tables")
@@ -36,7 +36,7 @@ def _run(spark, rows, late):
 SELECT a.id, a.device_id, a.ts, a.app, a.title, a.text, a.url, a.filtered
 FROM walk w JOIN active a ON a.id = w.id WHERE w.keep""")
 def stream_captures(spark, sf):
-    return _stream(spark, sf).filter(F.col("kind") == "capture").select(
+    return capture_stream(spark, sf).filter(F.col("kind") == "capture").select(
         "id", "device_id", "ts", "app", "title", "text", "url", "filtered"
     )
 
@@ -47,7 +47,7 @@ looked AS (SELECT *, idle_s >= 180 AS i, coalesce(lag(idle_s >= 180)
  OVER (PARTITION BY device_id ORDER BY tick_ts), false) AS was FROM ticks)
 SELECT device_id, tick_ts AS ts, idle_s, true AS idle FROM looked WHERE i AND NOT was""")
 def stream_idle(spark, sf):
-    return _stream(spark, sf).filter(F.col("kind") == "idle").select(
+    return capture_stream(spark, sf).filter(F.col("kind") == "idle").select(
         "device_id", "ts", "idle_s", "idle"
     )
 
