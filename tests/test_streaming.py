@@ -1,13 +1,18 @@
 """The stream gives what the batch gives."""
 
 import datetime as dt
+import json
 import random
 
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
+from tickloom.operators.dedup import CaptureRule
 from tickloom.operators.windows import panes_json
 from tickloom.plans.batch_loop import CaptureLoop
-from tickloom.streaming.capture_loop import INPUT, loop_rows, run_stream, start_loop
+from tickloom.plans.views import in_order
+from tickloom.session import stage_folder
+from tickloom.streaming import capture_loop
+from tickloom.streaming.capture_loop import INPUT, Epochs, Kept, loop_rows, run_stream, start_loop
 from tickloom.streaming.rolling import rolling_activity
 
 T0 = dt.datetime(2026, 4, 5, 10, 0, 0)
@@ -105,6 +110,107 @@ def test_late_rows_are_counted(spark, tmp_path):
         1: rows.filter(parts[2]).count()}
 
 
+class Handle:
+    """State of one key in memory; counts how often it is used."""
+
+    def __init__(self):
+        self.values, self.calls, self.timers = {}, 0, []
+
+    def getMapState(self, *_):
+        return self
+
+    getValueState = getMapState
+
+    def registerTimer(self, millis):
+        self.calls += 1
+        self.timers.append(millis)
+
+    def exists(self):
+        return self.get() is not None
+
+    def get(self, key=None):
+        self.calls += 1
+        return self.values.get(key)
+
+    def update(self, value, key=None):
+        self.calls += 1
+        self.values[key] = value
+
+    def clear(self):
+        self.calls += 1
+        self.values.pop(None, None)
+
+    def updateValue(self, key, value):
+        self.update(value, key)
+
+    getValue = get
+
+
+class Watermark:
+    def __init__(self, millis):
+        self.millis = millis
+
+    def getCurrentWatermarkInMs(self):
+        return self.millis
+
+
+def test_state_is_used_by_bucket_not_by_window():
+    """A bucket costs the same few round trips whatever it holds; what no longer matters is not stored."""
+    def rows(n, epoch, ts):
+        return [Row(kind="tick", device_id=i, window=1, known=True, epoch=epoch, micros=ts, z=0, id=i, app="a", title="t",
+                    text="same text", url=None, pid=1, window_id=1, idle_s=0.0, filtered=None) for i in range(n)]
+
+    calls = []
+    for n in (2, 500):
+        handle, rule = Handle(), CaptureRule(0.85, 45)
+        kept = Kept(rule, 2000)
+        kept.init(handle)
+        assert len(list(kept.handleInputRows((0,), iter(rows(n, 0, 1_000_000)), Watermark(2000)))) == n
+        assert list(kept.handleInputRows((0,), iter(rows(n, 0, 4_000_000)), Watermark(5000))) == []
+        assert len(list(kept.handleInputRows((0,), iter(rows(n, 1, 7_000_000)), Watermark(8000)))) == n
+        list(kept.handleExpiredTimer((0,), Watermark(46_000), None))
+        assert kept._stored() and handle.timers == [46_000, 52_000]
+        list(kept.handleExpiredTimer((0,), Watermark(52_000), None))
+        assert not handle.values
+        # A snapshot is due already.
+        list(kept.handleInputRows((0,), iter(rows(n, 1, 60_000_000)), Watermark(200_000)))
+        assert not handle.values and len(handle.timers) == 2
+        calls.append(handle.calls)
+    assert calls[0] == calls[1] <= 15
+
+
+def test_a_bucket_of_devices_is_held_in_entries(monkeypatch):
+    monkeypatch.setattr(capture_loop, "_ENTRY", 7)
+    handle, epochs = Handle(), Epochs(180, 600)
+    epochs.init(handle)
+    rows = [Row(micros=1_000_000 * t, device_id=d, z=None, window_id=None, pane_app=None, pane_title=None, pane=None,
+                matched=None, idle_s=200.0 if t > 7 else 1.0) for t in range(10) for d in (1, 2)]
+    taken = list(epochs.handleInputRows((0,), iter(rows), Watermark(0)))
+    assert [(r.kind, r.device_id, r.n) for r in taken] == [("taken", 1, 10), ("taken", 2, 10)]
+    entries = {k: json.loads(v[0]) for k, v in handle.values.items() if k is not None}
+    assert [len(e) for e in entries.values()] == [7, 7, 6]
+    handle.keys = lambda: iter([k for k in handle.values if k is not None])
+    handle.removeKey = lambda key: handle.values.pop(key)
+    found = list(epochs.handleExpiredTimer((0,), Watermark(8_000), None))
+    assert [(r.kind, r.device_id, r.ts.second) for r in found] == [("idle", 1, 8), ("idle", 2, 8)]
+    left = [row for k, v in handle.values.items() if k is not None for row in json.loads(v[0])]
+    assert [(row[0], row[1]) for row in left] == [(9_000_000, 1), (9_000_000, 2)]
+    assert list(epochs.handleExpiredTimer((0,), Watermark(9_000), None)) == []
+
+
+def test_parts_in_order_are_written_by_all_tasks(spark):
+    df = spark.range(1000).repartition(4)
+    stream = in_order(spark, df, "id < 600", "id > 5000", "id >= 600")
+    seen = {}
+    stream.writeStream.foreachBatch(
+        lambda batch, n: seen.update({n: (sorted(r.id for r in batch.collect()), len(batch.inputFiles()))})
+    ).trigger(availableNow=True).start().awaitTermination()
+    assert {n: rows for n, (rows, _) in seen.items()} == {0: list(range(600)), 1: [], 2: list(range(600, 1000))}
+    files = [r.f for r in spark.read.option("recursiveFileLookup", "true").schema("id long").parquet(
+        f"{stage_folder(spark)}/source-*/parts/0").select(F.input_file_name().alias("f")).distinct().collect()]
+    assert len(files) >= 4
+
+
 def _rows(df, cols):
     return sorted(map(str, df.select(*cols).collect()))
 
