@@ -75,3 +75,23 @@ def test_many_hits_are_joined(stored, monkeypatch):
     want = [r.id for r in Q.search(docs, ["heron"], 40).collect()]
     monkeypatch.setattr(Q, "FEW", 7)
     assert [r.id for r in Q.search(kept, ["heron"], 40).collect()] == want and len(want) == 40
+
+
+def test_postings_and_blocks_need_one_shuffle_each(spark, tmp_path):
+    """Documents dealt by id are counted without another shuffle; blocks are made in the ranges they are stored in."""
+    docs = corpus(spark, 200)
+    postings = Q.build_postings(docs.repartition("id"))
+    assert shuffles(postings) == 1
+    assert shuffles(Q.build_postings(docs)) == 2  # one deals the test's rows
+    assert sorted(postings.collect()) == sorted(Q.build_postings(docs).collect())
+    postings.write.parquet(f"{tmp_path}/postings")
+    blocks = K.build_blocks(spark.read.parquet(f"{tmp_path}/postings"), span=32)
+    K.write_blocks(blocks, f"{tmp_path}/blocks")
+    stored = spark.read.parquet(f"{tmp_path}/blocks")
+    assert stored.count() == stored.select("term", "block").distinct().count()
+    plan = blocks._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange rangepartitioning(term") == 1 and "hashpartitioning(term" not in plan
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")

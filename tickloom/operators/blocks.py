@@ -33,9 +33,13 @@ def _weight(tf: Column, length: Column, average: Column) -> Column:
 
 def build_blocks(postings: DataFrame, span: int = SPAN) -> DataFrame:
     """Postings (term, doc_id, tf, doc_len) in blocks: (term, block, n, max_tf, min_len,
-    average, weight, entries). A block holds at most ``span`` postings."""
+    average, weight, entries). A block holds at most ``span`` postings.
+
+    Postings are read several times: give stored ones. They are dealt out in ranges of
+    (term, block), in which blocks are then made and may be written."""
     average = postings.select("doc_id", "doc_len").distinct().agg(F.avg("doc_len").alias("average")).scalar()
-    blocks = postings.groupBy("term", F.floor(F.col("doc_id") / span).alias("block")).agg(
+    placed = postings.withColumn("block", F.floor(F.col("doc_id") / span)).repartitionByRange("term", "block")
+    blocks = placed.groupBy("term", "block").agg(
         F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("doc_len").alias("min_len"),
         F.collect_list(F.struct("doc_id", "tf", "doc_len")).alias("entries"))
     return blocks.withColumn("average", average).select(
@@ -44,9 +48,9 @@ def build_blocks(postings: DataFrame, span: int = SPAN) -> DataFrame:
 
 
 def write_blocks(blocks: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Store blocks by term and falling weight."""
-    order = ["term", F.desc("weight"), "block"]
-    blocks.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).parquet(path)
+    """Store blocks, in the ranges of terms that ``build_blocks`` gives them in, by term and
+    falling weight in each file."""
+    blocks.sortWithinPartitions("term", F.desc("weight"), "block").write.mode(mode).parquet(path)
 
 
 class _Query(NamedTuple):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tickloom.operators import blocks as K, index as I, search as Q
 from tickloom.plans.registry import query
 from tickloom.plans.views import dealt, in_order, table, view
-from tickloom.session import stage_folder, write_and_reread
+from tickloom.session import discard, stage_folder, write_and_reread
 
 WORDS = """
 words AS MATERIALIZED (
@@ -71,8 +71,8 @@ def search_nothing(spark, sf):
 
 @query("J1_search_over_index", "summaries", oracle=ranked(["starts_with(term, 'thr')", "term = 'with'"], 200))
 def search_index(spark, sf):
-        # The index and the corpus figures are stored first, as they would be.
-    docs = dealt(view(spark, sf, "summaries"))
+    # The index and the corpus figures are stored first, as they would be.
+    docs = dealt(view(spark, sf, "summaries"), "id")
     path = f"{stage_folder(spark)}/index-{uuid.uuid4().hex}"
     Q.write_postings(Q.build_postings(docs), path)
     found = Q.search_postings(
@@ -84,12 +84,16 @@ def search_index(spark, sf):
 
 def _stored(spark, sf):
     """Documents, blocks of postings and corpus figures, as a service would keep them."""
-    docs = dealt(view(spark, sf, "summaries"))
+    docs = view(spark, sf, "summaries")
     path = f"{stage_folder(spark)}/search-{uuid.uuid4().hex}"
     Q.write_documents(docs, f"{path}/docs", parts=16)
-    K.write_blocks(K.build_blocks(Q.build_postings(docs), span=64), f"{path}/blocks")
-    return (spark.read.parquet(f"{path}/blocks"), spark.read.parquet(f"{path}/docs"),
-            write_and_reread(Q.corpus_stats(docs)))
+    postings = write_and_reread(
+        Q.build_postings(dealt(docs, "id")).sortWithinPartitions("term", "doc_id"))
+    K.write_blocks(K.build_blocks(postings, span=64), f"{path}/blocks")
+    discard(postings)
+    # Stored documents are many files, which need no dealing.
+    kept = spark.read.parquet(f"{path}/docs")
+    return spark.read.parquet(f"{path}/blocks"), kept, write_and_reread(Q.corpus_stats(kept))
 
 
 @query("T4_top_hits_in_blocks", "summaries", oracle=ranked(["term = 'the'"], 10))
@@ -129,7 +133,7 @@ def corpus(spark, sf):
 @query("A3_document_frequency", "summaries", oracle=ALL_WORDS + """
 SELECT term, count(DISTINCT id) AS df FROM words GROUP BY term""")
 def frequencies(spark, sf):
-    return Q.document_frequency(Q.build_postings(dealt(view(spark, sf, "summaries"))))
+    return Q.document_frequency(Q.build_postings(dealt(view(spark, sf, "summaries"), "id")))
 
 
 @query("K5_index_after_changes", "summaries", oracle="""
