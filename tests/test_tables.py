@@ -263,6 +263,48 @@ def test_match(spark):
     assert len(got) == len(wins)
 
 
+def test_match_few_and_many(spark):
+    """The same matches however many elements are held together; then windows and elements are dealt out once."""
+    rng = random.Random(9)
+    bounds = lambda: rng.choice([None, tuple(rng.choice([0, 3, 36, 39, 41, 2**31 - 1, None]) for _ in range(4))])
+    wins = [(rng.choice([None, *range(30)]), i, rng.choice(["", None, "a", "b"]), bounds()) for i in range(300)]
+    els = [(rng.choice([None, *range(45)]), rng.choice([None, i, i]), rng.choice(["", None, "a", "c"]), bounds())
+           for i in range(80)]
+
+    def near(a, b):
+        return a and b and all(x is not None and y is not None and abs(x - y) <= 5 for x, y in zip(a, b))
+
+    def partner(win):
+        mine = [e for e in els if win[0] is not None and e[0] == win[0]]
+        kinds = [("title", lambda e: e[2] and e[2] == win[2]), ("bounds", lambda e: near(win[3], e[3])),
+                 ("only", lambda e: len(mine) == 1)]
+        for kind, fits in kinds:
+            found = [e[1] for e in mine if fits(e) and e[1] is not None]
+            if found:
+                return min(found), kind
+        return None, None
+
+    kind = "struct<X int, Y int, Width int, Height int>"
+    wdf = spark.createDataFrame(wins, f"pid int, window_id long, title string, bounds {kind}")
+    edf = spark.createDataFrame(els, f"pid int, ax_order long, title string, bounds {kind}")
+    want = {w[1]: partner(w) for w in wins}
+    # The joins by place look one tolerance around a side, which must be in range.
+    small = [w for w in wins if not w[3] or all(x is None or x < 2**31 - 1 for x in w[3])]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for few, some in ((64, wins), (2, small), (1, small)):
+            got = W.match_windows(
+                wdf.where(F.col("window_id").isin([w[1] for w in some])), edf, ["pid"], few=few)
+            assert {r.window_id: (r.ax_order, r.match_kind) for r in got.collect()} == {w[1]: want[w[1]] for w in some}
+            assert got.columns == ["pid", "window_id", "title", "bounds", "ax_order", "match_kind"]
+        once = W.match_windows(wdf, edf, ["pid"])._jdf.queryExecution().executedPlan().toString()
+        assert once.count("Exchange hashpartitioning") == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    with pytest.raises(ValueError):
+        W.match_windows(wdf, edf, ["pid"], few=0)
+
+
 def test_dedup_keeps_input(spark):
     empty = captures(spark, []).selectExpr("1L AS device_id", "1L AS window_id", "1L AS id", "*", "'' AS url")
     assert dedup(empty).count() == 0
