@@ -246,15 +246,18 @@ def keep_against_last(
 
     ``order.tie`` must be a BIGINT that makes (ts, tie) unique in a sequence.
     ``slice_s`` is two horizons at least. The decided rows are stored once in
-    the shared folder, so that the Python pass over all texts runs a single time.
+    the shared folder, so that the Python pass over all texts runs a single time; so
+    are the rows of ``df`` before it, which the cuts, the slices and the lead-ins read.
     """
     keys, payload = list(keys), df.columns
     horizon = rule.horizon_s
     if slice_s < 2 * horizon:
         raise ValueError(f"slice_s must be two horizons at least, {2 * horizon} seconds")
+    df = write_and_reread(df)
     nowhere = df.where(F.col(order.ts).isNull())
     df = df.where(F.col(order.ts).isNotNull())
     heads = write_and_reread(_heads(df, keys, order, rule, slice_s, longest))
+    divided = not heads.where("_open").isEmpty()
     named = heads.select(
         *(F.col(k).alias(f"_h{k}") for k in keys), F.col("_home").alias("_hhome"), "_cut", "_owner", "_open")
     home = slice_of(F.col(order.ts), slice_s)
@@ -268,14 +271,15 @@ def keep_against_last(
         .when(early, 2 * F.col("_owner") + 1).otherwise(2 * F.col("_home") + 1))
     columns = [*payload, _MICROS]
     own = here.select(*columns, unit.alias(_SLICE), F.lit(False).alias(_LEAD))
-    reach = F.floor(
-        (F.col(_MICROS) + F.lit(int(2 * horizon * 1_000_000))) / F.lit(int(slice_s * 1_000_000)))
-    leads = placed.where(reach > F.col("_home")).join(
-        named.where("_open"), [*_same(keys, "_h"), F.col("_home") + 1 == F.col("_hhome")]
-    ).select(*columns, (2 * F.col("_hhome")).alias(_SLICE), F.lit(True).alias(_LEAD))
+    if divided:
+        reach = F.floor(
+            (F.col(_MICROS) + F.lit(int(2 * horizon * 1_000_000))) / F.lit(int(slice_s * 1_000_000)))
+        leads = placed.where(reach > F.col("_home")).join(
+            named.where("_open"), [*_same(keys, "_h"), F.col("_home") + 1 == F.col("_hhome")]
+        ).select(*columns, (2 * F.col("_hhome")).alias(_SLICE), F.lit(True).alias(_LEAD))
+        own = own.unionByName(leads)
     sliced = (
-        own.unionByName(leads)
-        .repartition(*keys, _SLICE)
+        own.repartition(*keys, _SLICE)
         .sortWithinPartitions(*keys, _SLICE, F.col(_LEAD).desc(), _MICROS, order.tie)
     )
     label = T.ArrayType(
@@ -287,6 +291,10 @@ def keep_against_last(
         sliced.mapInArrow(lambda it: _decide_slices(it, rule, keys, tie), out)
     )
 
+    if not divided:
+        # Every slice starts with a certain row: nothing is left undecided.
+        return decided.select(*payload).unionByName(nowhere)
+
     # Slices with undecided rows, and the last certain row of the slices they
     # may have to look back to: ids only.
     open_rows = decided.filter(F.col(_ONLY_IF).isNotNull())

@@ -15,7 +15,7 @@ from tickloom.operators.sequence import Order, with_earlier
 from tickloom.plans.batch_loop import CaptureLoop
 from tickloom.plans.registry import query
 from tickloom.plans.sequences import (
-    ACTIVE, DAY, LOOP_KEYS, LOOP_ROWS, SLICE_S, SNAPSHOT_S, day_ticks, in_epochs, kept_sql,
+    ACTIVE, DAY, LOOP_KEYS, LOOP_ROWS, SLICE_S, SNAPSHOT_S, day_ticks, idle_times, in_epochs, kept_sql,
 )
 from tickloom.plans.streams import capture_stream
 from tickloom.plans.views import dealt, view
@@ -81,7 +81,7 @@ def graded_dedup(spark, sf):
     "active", ["device_id", "gapp", "epoch"], 10, DIFFERS) + """
 SELECT id, device_id, ts FROM walk JOIN (SELECT id, ts FROM repeats) USING (id) WHERE keep""")
 def graded_per_epoch(spark, sf):
-    kept = D.dedup(in_epochs(graded(spark, sf, "idle_s")), ["device_id", "app", "epoch"],
+    kept = D.dedup(in_epochs(graded(spark, sf), idle_times(spark, sf)), ["device_id", "app", "epoch"],
                    forced_snapshot_s=SNAPSHOT_S, slice_s=SLICE_S)
     return kept.select("id", "device_id", "ts")
 
